@@ -1,0 +1 @@
+"""The workload is batch only: no query of it needs state, watermarks or a stream."""
