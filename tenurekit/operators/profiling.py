@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -59,46 +59,42 @@ def unpivot_features(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def _pair_correlation(x: str, y: str) -> Column:
-    """Pearson over rows where both are present; NULL for a constant column."""
-    both = F.col(x).isNotNull() & F.col(y).isNotNull()
-    a, b = F.when(both, F.col(x)).cast("double"), F.when(both, F.col(y)).cast("double")
-    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
-
-
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Upper triangle of the correlation matrix as (x, y, r), from one aggregate."""
-    pairs = list(combinations(columns, 2))
-    wide = df.agg(*(_pair_correlation(x, y).alias(f"r{i}") for i, (x, y) in enumerate(pairs)))
-    rows = F.array(
+    """Upper triangle of the Pearson matrix as (x, y, r), over rows where both are present.
+
+    NULL for a constant column. One row per pair goes into one small aggregate,
+    which combines on the map side to as many rows as there are pairs.
+    """
+    pairs = F.array(
         *(
-            F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"r{i}").alias("r"))
-            for i, (x, y) in enumerate(pairs)
+            F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
+            for i, j in combinations(range(len(columns)), 2)
         )
     )
-    return wide.select(F.inline(rows))
+    names = F.array(*map(F.lit, columns))
+    values = F.array(*(F.col(c).cast("double") for c in columns))
+    spread = F.stddev_pop("a") * F.stddev_pop("b")
+    return (
+        df.select(values.alias("v"), F.explode(pairs).alias("p"))
+        .select("p", F.col("v")[F.col("p.i")].alias("a"), F.col("v")[F.col("p.j")].alias("b"))
+        .filter(F.col("a").isNotNull() & F.col("b").isNotNull())
+        .groupBy("p")
+        .agg((F.covar_pop("a", "b") / F.nullif(spread, F.lit(0.0))).alias("r"))
+        .select(names[F.col("p.i")].alias("x"), names[F.col("p.j")].alias("y"), "r")
+    )
 
 
 def feature_histograms(df: DataFrame, columns: list[str], bins: int) -> DataFrame:
     """Equal-width counts per feature, each on its own range; the top value is in the last bin."""
-    wide = df.select(*(F.col(c).cast("double").alias(c) for c in columns))
-    ranges = wide.agg(
-        F.struct(
-            *(F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in columns)
-        ).alias("s")
-    ).scalar()
-
-    def bin_of(c: str) -> Column:
-        lo, hi = ranges[c]["lo"], ranges[c]["hi"]
-        step = F.floor(F.lit(float(bins)) * (F.col(c) - lo) / F.nullif(hi - lo, F.lit(0.0)))
-        placed = F.least(step + 1, F.lit(bins).cast("long"))
-        return F.when(F.col(c).isNotNull(), F.coalesce(placed, F.lit(1).cast("long")))
-
+    long = unpivot_features(df, columns).filter("value IS NOT NULL")
+    ranges = long.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    width = F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
+    step = F.floor(F.lit(float(bins)) * (F.col("value") - F.col("lo")) / width)
+    placed = F.coalesce(F.least(step + 1, F.lit(bins).cast("long")), F.lit(1).cast("long"))
+    # One row per feature name, so the broadcast does not grow with the data.
     return (
-        wide.select(*(bin_of(c).alias(c) for c in columns))
-        .unpivot([], columns, "feature", "bin")
-        .filter("bin IS NOT NULL")
-        .groupBy("feature", "bin")
+        long.join(F.broadcast(ranges), "feature")
+        .groupBy("feature", placed.alias("bin"))
         .agg(F.count("*").alias("n"))
     )
 

@@ -30,7 +30,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MAX_EVENT_TIMES = 50_000
 ROWS_PER_PARTITION = 16_384
 DIRECT_MERGE = 8
-FAN_IN = 64
+MODEL_CHUNK = 64
+TWO_LEVEL_MERGE = 64
 BLOCK_SCHEMA = "n int, time binary, event binary, fold binary, x binary"
 SUM_SCHEMA = "model int, slot int, payload binary"
 
@@ -92,8 +93,9 @@ class RiskSetData:
     def evaluate(self, batch: ModelBatch) -> RiskSums:
         """One pass over the rows for all models of the batch."""
         n_times, q = len(self.times), batch.beta.shape[1]
-        sums = self.blocks.mapInArrow(_PartitionSums(batch, n_times), SUM_SCHEMA)
-        if self.partitions > FAN_IN:
+        slots = max(1, round(self.partitions**0.5))
+        sums = self.blocks.mapInArrow(_PartitionSums(batch, n_times, slots), SUM_SCHEMA)
+        if self.partitions > TWO_LEVEL_MERGE:
             sums = sums.groupBy("model", "slot").applyInArrow(_add_payloads, SUM_SCHEMA)
         if self.partitions > DIRECT_MERGE:
             sums = (
@@ -119,24 +121,26 @@ def _unflatten(flat: np.ndarray, n_times: int, q: int, split_ties: bool) -> Risk
     if split_ties:
         parts.append(n_times * q)
     pieces = np.split(flat, np.cumsum(parts), axis=1)
-    s1 = pieces[2].reshape(m, n_times, q)
-    s1_events = pieces[3].reshape(m, n_times, q) if split_ties else None
+    s1 = np.swapaxes(pieces[2].reshape(m, q, n_times), 1, 2)
+    s1_events = (
+        np.swapaxes(pieces[3].reshape(m, q, n_times), 1, 2) if split_ties else None
+    )
     return RiskSums(pieces[0], pieces[1], s1, s1_events, pieces[-1].reshape(m, q, q))
 
 
 class _PartitionSums:
     """Task function: packed rows of a partition to one payload per model."""
 
-    def __init__(self, batch: ModelBatch, n_times: int):
-        self.batch, self.n_times = batch, n_times
+    def __init__(self, batch: ModelBatch, n_times: int, slots: int):
+        self.batch, self.n_times, self.slots = batch, n_times, slots
 
     def __call__(self, batches):
         b, n_times = self.batch, self.n_times
         m, q = b.beta.shape
         split_ties = b.event_hazard is not None
         s0, other = np.zeros((m, n_times)), np.zeros((m, n_times))
-        s1 = np.zeros((m, n_times, q))
-        s1_events = np.zeros((m, n_times, q)) if split_ties else None
+        s1 = np.zeros((m, q, n_times))
+        s1_events = np.zeros((m, q, n_times)) if split_ties else None
         cross = np.zeros((m, q, q))
         for arrow in batches:
             for i in range(arrow.num_rows):
@@ -146,36 +150,51 @@ class _PartitionSums:
                 x = np.frombuffer(arrow["x"][i].as_buffer()).reshape(len(time), -1)
                 start = np.flatnonzero(np.r_[True, time[1:] != time[:-1]])
                 at = time[start]
-                for k in range(m):
-                    xk = x[:, b.columns[k]]
-                    w = np.exp(xk @ b.beta[k])
-                    used = w if b.left_out[k] < 0 else np.where(fold == b.left_out[k], 0.0, w)
-                    s0[k, at] += np.add.reduceat(used, start)
-                    weight = used * b.hazard[k, time]
+
+                def by_time(values):
+                    return np.add.reduceat(values, start, axis=0).T
+
+                for first in range(0, m, MODEL_CHUNK):
+                    part = slice(first, min(first + MODEL_CHUNK, m))
+                    columns = b.columns[part]
+                    full = np.zeros((len(columns), x.shape[1]))
+                    np.put_along_axis(full, columns, b.beta[part], axis=1)
+                    w = np.exp(x @ full.T)
+                    used = w * (fold[:, None] != b.left_out[part])
+                    weight = used * b.hazard[part][:, time].T
+                    s0[part, at] += by_time(used)
                     if split_ties:
-                        failed = used * event
-                        other[k, at] += np.add.reduceat(failed, start)
-                        s1_events[k, at] += np.add.reduceat(failed[:, None] * xk, start)
-                        weight = weight - failed * b.event_hazard[k, time]
-                    elif used is not w:
-                        other[k, at] += np.add.reduceat(w - used, start)
-                    s1[k, at] += np.add.reduceat(used[:, None] * xk, start)
-                    cross[k] += xk.T @ (xk * weight[:, None])
-        slot = TaskContext.get().partitionId() % FAN_IN
-        for k in range(m):
-            parts = [s0[k], other[k], s1[k].ravel()]
-            if split_ties:
-                parts.append(s1_events[k].ravel())
-            payload = np.concatenate([*parts, cross[k].ravel()]).tobytes()
-            yield _sum_row(k, slot, payload)
-
-
-def _sum_row(model: int, slot: int, payload: bytes) -> pa.RecordBatch:
+                        failed = used * event[:, None]
+                        other[part, at] += by_time(failed)
+                        weight -= failed * b.event_hazard[part][:, time].T
+                    else:
+                        other[part, at] += by_time(w - used)
+                    for j in range(q):
+                        xj = x[:, columns[:, j]]
+                        s1[part, j, at] += by_time(used * xj)
+                        if split_ties:
+                            s1_events[part, j, at] += by_time(failed * xj)
+                    for k in range(len(columns)):
+                        xk = x[:, columns[k]]
+                        cross[first + k] += xk.T @ (xk * weight[:, k : k + 1])
+        slot = TaskContext.get().partitionId() % self.slots
+        for first in range(0, m, MODEL_CHUNK):
+            models = range(first, min(first + MODEL_CHUNK, m))
+            payloads = []
+            for k in models:
+                parts = [s0[k], other[k], s1[k].ravel()]
+                if split_ties:
+                    parts.append(s1_events[k].ravel())
+                payloads.append(np.concatenate([*parts, cross[k].ravel()]).tobytes())
+            yield _sum_rows(list(models), slot, payloads)
+
+
+def _sum_rows(models: list[int], slot: int, payloads: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([model], pa.int32()),
-            pa.array([slot], pa.int32()),
-            pa.array([payload], pa.binary()),
+            pa.array(models, pa.int32()),
+            pa.array([slot] * len(models), pa.int32()),
+            pa.array(payloads, pa.binary()),
         ],
         names=["model", "slot", "payload"],
     )
@@ -185,7 +204,7 @@ def _add_payloads(table: pa.Table) -> pa.Table:
     total = 0.0
     for payload in table["payload"]:
         total = total + np.frombuffer(payload.as_buffer(), dtype=np.float64)
-    row = _sum_row(table["model"][0].as_py(), table["slot"][0].as_py(), total.tobytes())
+    row = _sum_rows([table["model"][0].as_py()], table["slot"][0].as_py(), [total.tobytes()])
     return pa.Table.from_batches([row])
 
 

@@ -127,7 +127,8 @@ def extract_years(df: DataFrame, column: str, year: str) -> DataFrame:
     found = F.regexp_extract_all(column, F.lit("[0-9]{4}"), 0)
     return (
         df.filter(F.col(column).isNotNull())
-        .withColumn(year, F.explode(found).cast("int"))
+        .withColumn(year, F.explode(found))
+        .withColumn(year, F.col(year).cast("int"))
         .drop(column)
     )
 
