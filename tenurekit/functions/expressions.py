@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +15,7 @@ def ratio(top: Column, bottom: Column) -> Column:
 
 def total(columns: Iterable[str]) -> Column:
     """Sum of columns; NULL as soon as one of them is NULL."""
-    return reduce(add, (F.col(c) for c in columns))
+    return F.expr(" + ".join(f"`{c}`" for c in columns))
 
 
 def days_between(end: Column, start: Column) -> Column:

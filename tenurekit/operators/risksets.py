@@ -135,6 +135,10 @@ class _PartitionSums:
         self.batch, self.n_times, self.slots = batch, n_times, slots
 
     def __call__(self, batches):
+        with np.errstate(over="ignore", invalid="ignore"):
+            yield from self._add(batches)
+
+    def _add(self, batches):
         b, n_times = self.batch, self.n_times
         m, q = b.beta.shape
         split_ties = b.event_hazard is not None
@@ -159,8 +163,10 @@ class _PartitionSums:
                     columns = b.columns[part]
                     full = np.zeros((len(columns), x.shape[1]))
                     np.put_along_axis(full, columns, b.beta[part], axis=1)
+                    # Coefficients far off may overflow; the caller then takes a shorter step.
                     w = np.exp(x @ full.T)
-                    used = w * (fold[:, None] != b.left_out[part])
+                    held = fold[:, None] == b.left_out[part]
+                    used = np.where(held, 0.0, w)
                     weight = used * b.hazard[part][:, time].T
                     s0[part, at] += by_time(used)
                     if split_ties:
@@ -168,7 +174,7 @@ class _PartitionSums:
                         other[part, at] += by_time(failed)
                         weight -= failed * b.event_hazard[part][:, time].T
                     else:
-                        other[part, at] += by_time(w - used)
+                        other[part, at] += by_time(np.where(held, w, 0.0))
                     for j in range(q):
                         xj = x[:, columns[:, j]]
                         s1[part, j, at] += by_time(used * xj)

@@ -61,8 +61,8 @@ def _breslow(data: RiskSetData, batch: ModelBatch, sums: RiskSums) -> _Likelihoo
         value = (used * batch.beta).sum(axis=1) - np.where(d > 0, d * np.log(r0), 0.0).sum(axis=1)
         on_all = (every * batch.beta).sum(axis=1) - (d_all * np.log(r0_all)).sum(axis=1)
         step = np.where(d > 0, d / r0, 0.0)
-    gradient = used - np.einsum("mt,mtj->mj", d, mean)
-    hessian = sums.cross - np.swapaxes(mean * d[:, :, None], 1, 2) @ mean
+        gradient = used - np.einsum("mt,mtj->mj", d, mean)
+        hessian = sums.cross - np.swapaxes(mean * d[:, :, None], 1, 2) @ mean
     return _Likelihood(value, on_all, gradient, hessian, np.cumsum(step, axis=1))
 
 
@@ -165,7 +165,8 @@ def fit_paths(
         if folds:
             deviance = -2.0 * (on_all[:, s, 1:] - value[:, s, 1:]) / np.maximum(events, 1)
             mean = np.average(deviance, axis=1, weights=events)
-            spread = np.average((deviance - mean[:, None]) ** 2, axis=1, weights=events)
+            with np.errstate(invalid="ignore"):
+                spread = np.average((deviance - mean[:, None]) ** 2, axis=1, weights=events)
             se = np.sqrt(spread / (folds - 1))
         else:
             mean, se = -2.0 * value[:, s, 0] / events.sum(), np.zeros(len(value))
@@ -183,15 +184,15 @@ def _solve(data: RiskSetData, batch: ModelBatch, n, l1, l2):
     active = np.arange(m)
     for _ in range(MAX_PASSES):
         part = ModelBatch(beta, batch.columns, batch.left_out, hazard).take(active)
-        with np.errstate(over="ignore"):
-            like = _breslow(data, part, data.evaluate(part))
+        like = _breslow(data, part, data.evaluate(part))
         b = beta[active]
         cost = (
             -like.value / n[active]
             + (finite_l1[active] * np.abs(b)).sum(axis=1)
             + (l2[active] * b**2).sum(axis=1) / 2
         )
-        worse = ~(cost <= best_cost[active] + 1e-12 * np.abs(cost))
+        usable = np.isfinite(like.gradient).all(axis=1) & np.isfinite(like.hessian).all(axis=(1, 2))
+        worse = ~(usable & (cost <= best_cost[active] + 1e-12 * np.abs(cost)))
         good, bad = np.flatnonzero(~worse), np.flatnonzero(worse)
         halved = (best[active[bad]] + b[bad]) / 2
         still = [active[bad][np.abs(halved - best[active[bad]]).max(axis=1) > COEFFICIENT_TOLERANCE]]
@@ -232,41 +233,70 @@ class CoxFit:
     expected: np.ndarray  # times x predictors: mean predictor of the risk set, original scale
     residual_sums: np.ndarray  # times x predictors: Schoenfeld residuals summed per time
 
+    dropped: tuple[str, ...] = ()  # predictors that depend on earlier ones
+
     def table(self, spark: SparkSession) -> DataFrame:
+        """Coefficients with standard errors; all NULL for dropped predictors."""
         rows = []
         for i, c in enumerate(self.columns):
             b, se = float(self.coefficients[i]), float(np.sqrt(self.variance[i, i]))
             rows.append((c, b, float(np.exp(b)), se, b / se, normal_two_sided(b / se)))
+        rows += [(c, None, None, None, None, None) for c in self.dropped]
         return spark.createDataFrame(
             rows,
             "variable string, coef double, hazard_ratio double, se double, z double, p double",
         )
 
 
-def _check_rank(hessian: np.ndarray, columns: list[str]) -> None:
-    values, vectors = np.linalg.eigh(hessian)
-    if values[0] <= 1e-9 * max(values[-1], 1e-30):
-        names = [c for c, v in zip(columns, vectors[:, 0]) if abs(v) > 1e-3]
-        raise ValueError(f"predictors are constant or linearly dependent: {names}")
+class DependentPredictors(ValueError):
+    def __init__(self, kept: np.ndarray, names: list[str]):
+        super().__init__(f"predictors are constant or linearly dependent: {names}")
+        self.kept, self.names = kept, names
+
+
+def _check_rank(information: np.ndarray, columns: list[str]) -> None:
+    """Raise unless every predictor adds information to the ones before it."""
+    rest, kept, names = information.copy(), [], []
+    for j, column in enumerate(columns):
+        if rest[j, j] <= 1e-9 * max(information[j, j], 1e-12):
+            names.append(column)
+            continue
+        kept.append(j)
+        rest -= np.outer(rest[:, j], rest[j]) / rest[j, j]
+    if names:
+        raise DependentPredictors(np.array(kept, dtype=int), names)
+
 
+def fit_unpenalised(
+    df: DataFrame, columns: list[str], drop_dependent: bool = False, **names: str
+) -> CoxFit:
+    """Cox regression by Newton steps.
 
-def fit_unpenalised(df: DataFrame, columns: list[str], **names: str) -> CoxFit:
-    """Cox regression by Newton steps; raises on constant or dependent predictors."""
+    Constant or linearly dependent predictors are an error, or with
+    ``drop_dependent`` are left out, the first ones of a dependent set staying.
+    """
     data = prepare(df, columns, **names)
     try:
-        return _newton(data)
+        return _newton(data, np.arange(len(columns)))
+    except DependentPredictors as found:
+        if not drop_dependent or not len(found.kept):
+            raise
+        fit = _newton(data, found.kept)
+        fit.dropped = tuple(found.names)
+        return fit
     finally:
         data.close()
 
 
-def _newton(data: RiskSetData) -> CoxFit:
-    q, n_times = len(data.columns), len(data.times)
-    d, event_x = data.events.sum(axis=0), data.event_x.sum(axis=0)
+def _newton(data: RiskSetData, use: np.ndarray) -> CoxFit:
+    q, n_times = len(use), len(data.times)
+    columns = [data.columns[j] for j in use]
+    d, event_x = data.events.sum(axis=0), data.event_x.sum(axis=0)[:, use]
     beta, best, best_value = np.zeros(q), None, -np.inf
     hazard, event_hazard, at_risk = np.zeros(n_times), np.zeros(n_times), None
     for _ in range(MAX_PASSES):
         batch = ModelBatch(
-            beta[None], np.arange(q)[None], np.array([-1]), hazard[None], event_hazard[None]
+            beta[None], use[None], np.array([-1]), hazard[None], event_hazard[None]
         )
         sums = data.evaluate(batch)
         r0, e0 = _reverse_cumulative(sums.s0)[0], sums.s0_other[0]
@@ -293,14 +323,14 @@ def _newton(data: RiskSetData) -> CoxFit:
             - (e1 * ties["c2"][:, None]).T @ e1
         )
         if not beta.any():
-            _check_rank(information, data.columns)
+            _check_rank(information, columns)
         step = np.linalg.solve(nearest_psd(information), event_x.sum(axis=0) - expected.sum(axis=0))
         drift = max(np.abs(hazard - previous[0]).max(), np.abs(event_hazard - previous[1]).max())
         if np.abs(step).max() < 1e-8 and drift < 1e-6 * hazard.max():
-            scale = data.scale
-            mean_x = expected / np.maximum(d, 1)[:, None] * scale + data.mean
+            scale = data.scale[use]
+            mean_x = expected / np.maximum(d, 1)[:, None] * scale + data.mean[use]
             return CoxFit(
-                data.columns,
+                columns,
                 beta / scale,
                 np.linalg.inv(information) / np.outer(scale, scale),
                 value,

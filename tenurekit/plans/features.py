@@ -102,16 +102,21 @@ def _with_social(timeline: DataFrame) -> DataFrame:
     """Friends, recognition and status, absolute and per year of tenure."""
     tenure = F.col("tenure_years")
     zero = F.lit(0)
-    return (
-        timeline.withColumn("ever_elite", flag(F.col("years_elite").isNotNull()))
-        .withColumn("years_elite", F.coalesce("years_elite", zero))
-        .withColumn("friend_count", F.coalesce("friend_count", zero))
-        .withColumn("total_votes_received", F.coalesce("total_votes_received", zero))
-        .withColumn("avg_votes_per_review", F.coalesce("avg_votes_per_review", F.lit(0.0)))
-        .withColumn("total_compliments", F.coalesce(total(COMPLIMENTS), zero))
-        .withColumn("friends_per_year", ratio(F.col("friend_count"), tenure))
-        .withColumn("compliments_per_year", ratio(F.col("total_compliments"), tenure))
-        .withColumn("votes_per_year", ratio(F.col("total_votes_received"), tenure))
+    counts = ("friend_count", "total_votes_received", "years_elite")
+    absolute = timeline.withColumns(
+        {
+            "ever_elite": flag(F.col("years_elite").isNotNull()),
+            "avg_votes_per_review": F.coalesce("avg_votes_per_review", F.lit(0.0)),
+            "total_compliments": F.coalesce(total(COMPLIMENTS), zero),
+            **{c: F.coalesce(c, zero) for c in counts},
+        }
+    )
+    return absolute.withColumns(
+        {
+            "friends_per_year": ratio(F.col("friend_count"), tenure),
+            "compliments_per_year": ratio(F.col("total_compliments"), tenure),
+            "votes_per_year": ratio(F.col("total_votes_received"), tenure),
+        }
     )
 
 

@@ -97,7 +97,7 @@ def model_reports(engineered: DataFrame, study: StudyConfig) -> dict[str, DataFr
         "leakage_sensitivity": models.leakage_sensitivity(engineered, study),
     }
     if safe.path.beta:
-        plain = fit_unpenalised(safe.train, list(safe.path.beta))
+        plain = fit_unpenalised(safe.train, list(safe.path.beta), drop_dependent=True)
         reports["time_safe_plain_fit"] = plain.table(spark)
         reports["ph_test"] = ph_test(plain, spark)
         reports["schoenfeld_residuals"] = schoenfeld_residuals(plain, safe.train)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenurekit.columns import (
@@ -41,15 +41,12 @@ def query(f: Query) -> Query:
 def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
     """Doubles rounded, decimals as doubles, so both engines print the same values."""
 
-    def cell(name: str, kind: str) -> Column:
-        c = F.col(name)
-        if kind.startswith("decimal"):
-            c = c.cast("double")
-        elif kind != "double":
-            return c
-        return F.round(c, digits).alias(name)
+    def cell(name: str, kind: str) -> str:
+        if kind == "double" or kind.startswith("decimal"):
+            return f"round(CAST(`{name}` AS DOUBLE), {digits}) AS `{name}`"
+        return f"`{name}`"
 
-    return df.select(*(cell(c, t) for c, t in df.dtypes))
+    return df.selectExpr(*(cell(c, t) for c, t in df.dtypes))
 
 
 def _trimmed(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -595,7 +592,7 @@ def leakage_sensitivity(spark, folder):
 
 def _plain_fit(spark: SparkSession, folder: str) -> tuple[CoxFit, DataFrame]:
     safe = models.time_safe_model(_engineered(spark, folder), STUDY)
-    return fit_unpenalised(safe.train, list(safe.path.beta)), safe.train
+    return fit_unpenalised(safe.train, list(safe.path.beta), drop_dependent=True), safe.train
 
 
 @query

@@ -19,16 +19,33 @@ ROLE_STUDY = StudyConfig(
 )
 
 
+# Declared, so that opening a table needs no job that reads file footers.
+SCHEMAS = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+    "c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+    "p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+    "value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
 def all_businesses(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "part").select(
-        F.col("p_partkey").alias("business_id"),
-        F.col("p_name").alias("name"),
-        F.concat("p_type", F.lit(", "), "p_name").alias("categories"),
-        (F.lit(1) + F.col("p_size") % 5).cast("decimal(3,2)").alias("stars"),
+    return table(spark, folder, "part").selectExpr(
+        "p_partkey AS business_id",
+        "p_name AS name",
+        "concat(p_type, ', ', p_name) AS categories",
+        "CAST(1 + p_size % 5 AS DECIMAL(3,2)) AS stars",
     )
 
 
@@ -38,66 +55,52 @@ def kept_businesses(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def all_reviews(spark: SparkSession, folder: str) -> DataFrame:
+def _order_lines(spark: SparkSession, folder: str, keep: str = "true") -> DataFrame:
     lines, orders = table(spark, folder, "lineitem"), table(spark, folder, "orders")
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        F.col("o_custkey").alias("user_id"),
-        F.col("l_partkey").alias("business_id"),
+    return lines.filter(keep).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+
+
+def all_reviews(spark: SparkSession, folder: str) -> DataFrame:
+    return _order_lines(spark, folder).selectExpr(
+        "o_custkey AS user_id",
+        "l_partkey AS business_id",
         "l_orderkey",
         "l_linenumber",
-        F.col("l_shipdate").cast("date").alias("date"),
-        F.col("l_quantity").cast("int").alias("useful_per_review"),
-        F.col("l_linenumber").cast("int").alias("funny_per_review"),
-        (F.round(F.col("l_discount") * 100).cast("int") - 1).alias("cool_per_review"),
+        "CAST(l_shipdate AS DATE) AS date",
+        "CAST(l_quantity AS INT) AS useful_per_review",
+        "CAST(l_linenumber AS INT) AS funny_per_review",
+        "CAST(round(l_discount * 100) AS INT) - 1 AS cool_per_review",
     )
 
 
 def all_tips(spark: SparkSession, folder: str) -> DataFrame:
-    return (
-        table(spark, folder, "orders")
-        .filter(F.col("o_orderpriority") == "1-URGENT")
-        .select(
-            F.col("o_orderkey").alias("tip_key"),
-            F.col("o_custkey").alias("user_id"),
-            F.col("o_orderdate").cast("date").alias("date"),
-        )
+    urgent = table(spark, folder, "orders").filter("o_orderpriority = '1-URGENT'")
+    return urgent.selectExpr(
+        "o_orderkey AS tip_key", "o_custkey AS user_id", "CAST(o_orderdate AS DATE) AS date"
     )
 
 
 def users(spark: SparkSession, folder: str) -> DataFrame:
-    key = F.col("c_custkey")
-    compliments = [
-        ((key * k) % 4).cast("int").alias(name) for k, name in enumerate(COMPLIMENTS, start=1)
-    ]
-    compliments[0] = (
-        F.when(F.col("c_acctbal") < 0, 0).otherwise((key % 4).cast("int")).alias(COMPLIMENTS[0])
-    )
-    since = F.date_add(F.lit(date(1994, 1, 1)), ((key * 37) % 2000).cast("int"))
-    return table(spark, folder, "customer").select(
-        key.alias("user_id"), F.col("c_name").alias("name"), since.alias(SINCE), *compliments
+    first, *others = COMPLIMENTS
+    return table(spark, folder, "customer").selectExpr(
+        "c_custkey AS user_id",
+        "c_name AS name",
+        f"date_add(DATE '1994-01-01', CAST((c_custkey * 37) % 2000 AS INT)) AS {SINCE}",
+        f"CASE WHEN c_acctbal < 0 THEN 0 ELSE CAST(c_custkey % 4 AS INT) END AS {first}",
+        *(f"CAST((c_custkey * {k}) % 4 AS INT) AS {c}" for k, c in enumerate(others, start=2)),
     )
 
 
 def user_friends(spark: SparkSession, folder: str) -> DataFrame:
-    lines, orders = table(spark, folder, "lineitem"), table(spark, folder, "orders")
-    return (
-        lines.filter(F.col("l_returnflag") == "R")
-        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .select(F.col("o_custkey").alias("user_id"), F.col("l_suppkey").alias("friend_id"))
-        .distinct()
-    )
+    returned = _order_lines(spark, folder, "l_returnflag = 'R'")
+    return returned.selectExpr("o_custkey AS user_id", "l_suppkey AS friend_id").distinct()
 
 
 def user_elite_years(spark: SparkSession, folder: str) -> DataFrame:
-    return (
-        table(spark, folder, "orders")
-        .filter(F.col("o_totalprice") > 450000)
-        .select(
-            F.col("o_custkey").alias("user_id"),
-            F.year("o_orderdate").cast("int").alias("elite_year"),
-        )
-        .distinct()
-    )
+    dear = table(spark, folder, "orders").filter("o_totalprice > 450000")
+    return dear.selectExpr(
+        "o_custkey AS user_id", "CAST(year(o_orderdate) AS INT) AS elite_year"
+    ).distinct()
 
 
 def role_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
