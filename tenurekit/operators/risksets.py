@@ -1,11 +1,13 @@
 """Risk-set sums of Cox models, computed where the rows are.
 
-For coefficients b and weights w = exp(x b), a Cox likelihood needs, at every
-event time, sums of w and w x over the rows still at risk. One Spark pass adds
-these up per partition and event time for many models together; what leaves the
-executors has the size (models x event times x predictors), whatever the number
-of rows. The second-derivative term needs only a predictors x predictors matrix
-per model, weighted by the cumulative hazard of the pass before.
+For coefficients b and weights w = exp(x b), a Cox likelihood needs sums of w
+over the rows still at risk at every event time; its derivatives are sums of
+w x and w x x' weighted by the cumulative hazard at each row's time. One Spark
+pass adds these up per partition for many models together. The hazard used
+inside a pass is that of the pass before; sums of w x by bins of event times
+tell the caller what changed. With one bin per event time that correction is
+exact, with fewer it becomes exact as the coefficients settle. What leaves the
+executors does not depend on the number of rows.
 
 Survival times are whole days, so event times number in the thousands.
 """
@@ -28,10 +30,10 @@ from tenurekit.session import cut_lineage
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MAX_EVENT_TIMES = 50_000
-ROWS_PER_PARTITION = 16_384
-DIRECT_MERGE = 8
+ROWS_PER_PARTITION = 4096
+DIRECT_MERGE = 32
+TWO_LEVEL_MERGE = 256
 MODEL_CHUNK = 64
-TWO_LEVEL_MERGE = 64
 BLOCK_SCHEMA = "n int, time binary, event binary, fold binary, x binary"
 SUM_SCHEMA = "model int, slot int, payload binary"
 
@@ -43,25 +45,41 @@ class ModelBatch:
     beta: np.ndarray  # models x q, for standardised predictors
     columns: np.ndarray  # models x q, positions in the design
     left_out: np.ndarray  # models, fold not used for fitting, -1 for none
-    hazard: np.ndarray  # models x times, weight of w x x' by time
+    hazard: np.ndarray  # models x times, cumulative hazard of the pass before
+    bins: np.ndarray  # times, bin of each event time, ascending
     event_hazard: np.ndarray | None = None  # same for events only (tied events, Efron)
 
     def take(self, index: np.ndarray) -> ModelBatch:
         extra = None if self.event_hazard is None else self.event_hazard[index]
         return ModelBatch(
-            self.beta[index], self.columns[index], self.left_out[index], self.hazard[index], extra
+            self.beta[index], self.columns[index], self.left_out[index], self.hazard[index],
+            self.bins, extra,
         )
 
+    @property
+    def shapes(self) -> dict[str, tuple[int, ...]]:
+        """Parts of the sums of one model."""
+        q, n_bins = self.beta.shape[1], int(self.bins[-1]) + 1
+        parts = {
+            "s0": (len(self.bins),),
+            "s0_other": (len(self.bins),),
+            "s1": (n_bins, q),
+            "pull": (q,),
+            "cross": (q, q),
+        }
+        return parts if self.event_hazard is None else parts | {"s1_events": (n_bins, q)}
+
 
 @dataclass(frozen=True)
 class RiskSums:
-    """Per model: sums by event time bin, and the weighted cross products."""
+    """Sums per model (first axis); times are event times."""
 
-    s0: np.ndarray  # models x times, rows used for fitting
-    s0_other: np.ndarray  # held-out rows, or the events when ties are split
-    s1: np.ndarray  # models x times x q
-    s1_events: np.ndarray | None
-    cross: np.ndarray  # models x q x q
+    s0: np.ndarray  # times: w of rows used for fitting
+    s0_other: np.ndarray  # times: w of held-out rows, or of the events when ties are split
+    s1: np.ndarray  # bins x q: w x
+    pull: np.ndarray  # q: w x hazard
+    cross: np.ndarray  # q x q: w x x' hazard
+    s1_events: np.ndarray | None = None  # bins x q: w x of the events
 
 
 @dataclass
@@ -92,9 +110,8 @@ class RiskSetData:
 
     def evaluate(self, batch: ModelBatch) -> RiskSums:
         """One pass over the rows for all models of the batch."""
-        n_times, q = len(self.times), batch.beta.shape[1]
         slots = max(1, round(self.partitions**0.5))
-        sums = self.blocks.mapInArrow(_PartitionSums(batch, n_times, slots), SUM_SCHEMA)
+        sums = self.blocks.mapInArrow(_PartitionSums(batch, slots), SUM_SCHEMA)
         if self.partitions > TWO_LEVEL_MERGE:
             sums = sums.groupBy("model", "slot").applyInArrow(_add_payloads, SUM_SCHEMA)
         if self.partitions > DIRECT_MERGE:
@@ -104,96 +121,103 @@ class RiskSetData:
                 .applyInArrow(_add_payloads, SUM_SCHEMA)
             )
         table = sums.toArrow()
-        split_ties = batch.event_hazard is not None
-        width = _payload_size(n_times, q, split_ties)
-        flat = np.zeros((len(batch.beta), width))
+        shapes, m = batch.shapes, len(batch.beta)
+        sizes = [int(np.prod(shape)) for shape in shapes.values()]
+        flat = np.zeros((m, sum(sizes)))
         for model, payload in zip(table["model"].to_pylist(), table["payload"]):
             flat[model] += np.frombuffer(payload.as_buffer(), dtype=np.float64)
-        return _unflatten(flat, n_times, q, split_ties)
-
-
-def _payload_size(n_times: int, q: int, split_ties: bool) -> int:
-    return n_times * (2 + q * (2 if split_ties else 1)) + q * q
-
-
-def _unflatten(flat: np.ndarray, n_times: int, q: int, split_ties: bool) -> RiskSums:
-    m, parts = len(flat), [n_times, n_times, n_times * q]
-    if split_ties:
-        parts.append(n_times * q)
-    pieces = np.split(flat, np.cumsum(parts), axis=1)
-    s1 = np.swapaxes(pieces[2].reshape(m, q, n_times), 1, 2)
-    s1_events = (
-        np.swapaxes(pieces[3].reshape(m, q, n_times), 1, 2) if split_ties else None
-    )
-    return RiskSums(pieces[0], pieces[1], s1, s1_events, pieces[-1].reshape(m, q, q))
+        pieces = np.split(flat, np.cumsum(sizes)[:-1], axis=1)
+        return RiskSums(
+            **{k: x.reshape(m, *shape) for (k, shape), x in zip(shapes.items(), pieces)}
+        )
 
 
 class _PartitionSums:
     """Task function: packed rows of a partition to one payload per model."""
 
-    def __init__(self, batch: ModelBatch, n_times: int, slots: int):
-        self.batch, self.n_times, self.slots = batch, n_times, slots
+    def __init__(self, batch: ModelBatch, slots: int):
+        self.batch, self.slots = batch, slots
 
     def __call__(self, batches):
+        batch, m = self.batch, len(self.batch.beta)
+        sums = {k: np.zeros((m, *shape)) for k, shape in batch.shapes.items()}
+        # Coefficients far off may overflow; the caller then takes a shorter step.
         with np.errstate(over="ignore", invalid="ignore"):
-            yield from self._add(batches)
-
-    def _add(self, batches):
-        b, n_times = self.batch, self.n_times
-        m, q = b.beta.shape
-        split_ties = b.event_hazard is not None
-        s0, other = np.zeros((m, n_times)), np.zeros((m, n_times))
-        s1 = np.zeros((m, q, n_times))
-        s1_events = np.zeros((m, q, n_times)) if split_ties else None
-        cross = np.zeros((m, q, q))
-        for arrow in batches:
-            for i in range(arrow.num_rows):
-                time = np.frombuffer(arrow["time"][i].as_buffer(), dtype=np.int32)
-                event = np.frombuffer(arrow["event"][i].as_buffer(), dtype=np.int8)
-                fold = np.frombuffer(arrow["fold"][i].as_buffer(), dtype=np.int8)
-                x = np.frombuffer(arrow["x"][i].as_buffer()).reshape(len(time), -1)
-                start = np.flatnonzero(np.r_[True, time[1:] != time[:-1]])
-                at = time[start]
-
-                def by_time(values):
-                    return np.add.reduceat(values, start, axis=0).T
-
-                for first in range(0, m, MODEL_CHUNK):
-                    part = slice(first, min(first + MODEL_CHUNK, m))
-                    columns = b.columns[part]
-                    full = np.zeros((len(columns), x.shape[1]))
-                    np.put_along_axis(full, columns, b.beta[part], axis=1)
-                    # Coefficients far off may overflow; the caller then takes a shorter step.
-                    w = np.exp(x @ full.T)
-                    held = fold[:, None] == b.left_out[part]
-                    used = np.where(held, 0.0, w)
-                    weight = used * b.hazard[part][:, time].T
-                    s0[part, at] += by_time(used)
-                    if split_ties:
-                        failed = used * event[:, None]
-                        other[part, at] += by_time(failed)
-                        weight -= failed * b.event_hazard[part][:, time].T
-                    else:
-                        other[part, at] += by_time(np.where(held, w, 0.0))
-                    for j in range(q):
-                        xj = x[:, columns[:, j]]
-                        s1[part, j, at] += by_time(used * xj)
-                        if split_ties:
-                            s1_events[part, j, at] += by_time(failed * xj)
-                    for k in range(len(columns)):
-                        xk = x[:, columns[k]]
-                        cross[first + k] += xk.T @ (xk * weight[:, k : k + 1])
+            for arrow in batches:
+                for i in range(arrow.num_rows):
+                    self._add(sums, *_unpack(arrow, i))
         slot = TaskContext.get().partitionId() % self.slots
         for first in range(0, m, MODEL_CHUNK):
             models = range(first, min(first + MODEL_CHUNK, m))
-            payloads = []
-            for k in models:
-                parts = [s0[k], other[k], s1[k].ravel()]
-                if split_ties:
-                    parts.append(s1_events[k].ravel())
-                payloads.append(np.concatenate([*parts, cross[k].ravel()]).tobytes())
+            payloads = [
+                np.concatenate([x[k].ravel() for x in sums.values()]).tobytes() for k in models
+            ]
             yield _sum_rows(list(models), slot, payloads)
 
+    def _add(self, sums, time, event, fold, x):
+        b = self.batch
+        upper = np.triu_indices(x.shape[1])
+        products = x[:, upper[0]] * x[:, upper[1]]
+        times = _Runs(time)
+        bins = _Runs(b.bins[time])
+        for first in range(0, len(b.beta), MODEL_CHUNK):
+            part = slice(first, min(first + MODEL_CHUNK, len(b.beta)))
+            columns = b.columns[part]
+            full = np.zeros((len(columns), x.shape[1]))
+            np.put_along_axis(full, columns, b.beta[part], axis=1)
+            w = np.exp(x @ full.T)
+            held = fold[:, None] == b.left_out[part]
+            used = np.where(held, 0.0, w)
+            hazard = used * b.hazard[part][:, time].T
+            sums["s0"][part, times.value] += times.add(used)
+            sums["s1"][part, bins.value] += _gather(bins.cross(used, x), columns)
+            if b.event_hazard is None:
+                sums["s0_other"][part, times.value] += times.add(np.where(held, w, 0.0))
+            else:
+                failed = used * event[:, None]
+                sums["s0_other"][part, times.value] += times.add(failed)
+                sums["s1_events"][part, bins.value] += _gather(bins.cross(failed, x), columns)
+                hazard -= failed * b.event_hazard[part][:, time].T
+            sums["pull"][part] += np.take_along_axis(hazard.T @ x, columns, axis=1)
+            cross = np.zeros((len(columns), x.shape[1], x.shape[1]))
+            cross[:, upper[0], upper[1]] = cross[:, upper[1], upper[0]] = hazard.T @ products
+            row = np.arange(len(columns))[:, None, None]
+            sums["cross"][part] += cross[row, columns[:, :, None], columns[:, None, :]]
+
+
+def _unpack(arrow: pa.RecordBatch, i: int) -> tuple[np.ndarray, ...]:
+    time, event, fold, x = (
+        np.frombuffer(arrow[c][i].as_buffer(), dtype=kind)
+        for c, kind in (
+            ("time", np.int32), ("event", np.int8), ("fold", np.int8), ("x", np.float64)
+        )
+    )
+    return time, event, fold, x.reshape(len(time), -1)
+
+
+class _Runs:
+    """Runs of equal values in a sorted array, and sums over each of them."""
+
+    def __init__(self, values: np.ndarray):
+        self.start = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+        self.value = values[self.start]
+        self.end = np.r_[self.start[1:], len(values)]
+
+    def add(self, weights: np.ndarray) -> np.ndarray:
+        """rows x models to models x runs."""
+        return np.add.reduceat(weights, self.start, axis=0).T
+
+    def cross(self, weights: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """rows x models and rows x predictors to models x runs x predictors."""
+        out = np.empty((weights.shape[1], len(self.start), x.shape[1]))
+        for i, (a, z) in enumerate(zip(self.start, self.end)):
+            out[:, i] = weights[a:z].T @ x[a:z]
+        return out
+
+
+def _gather(by_run: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    return np.take_along_axis(by_run, columns[:, None, :], axis=2)
+
 
 def _sum_rows(models: list[int], slot: int, payloads: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(

@@ -7,7 +7,7 @@ penalty, left-out fold or predictor set share their passes.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +22,7 @@ from tenurekit.functions.numeric import (
 from tenurekit.operators.risksets import ModelBatch, RiskSetData, RiskSums, prepare
 
 LAMBDA_RATIO = 1e-4
+TIME_BINS = 64
 PAYLOAD_BYTES = 48e6
 MAX_LAMBDA_BATCH = 10
 COEFFICIENT_TOLERANCE = 1e-5
@@ -56,14 +57,33 @@ def _breslow(data: RiskSetData, batch: ModelBatch, sums: RiskSums) -> _Likelihoo
     with np.errstate(all="ignore"):
         r0 = _reverse_cumulative(sums.s0)
         r0_all = r0 + _reverse_cumulative(sums.s0_other)
-        mean = _reverse_cumulative(sums.s1) / r0[:, :, None]
-        mean[d == 0] = 0.0
         value = (used * batch.beta).sum(axis=1) - np.where(d > 0, d * np.log(r0), 0.0).sum(axis=1)
         on_all = (every * batch.beta).sum(axis=1) - (d_all * np.log(r0_all)).sum(axis=1)
-        step = np.where(d > 0, d / r0, 0.0)
-        gradient = used - np.einsum("mt,mtj->mj", d, mean)
+        hazard = np.cumsum(np.where(d > 0, d / r0, 0.0), axis=1)
+        change = _bin_means(hazard - batch.hazard, sums.s0, batch.bins)
+        gradient = used - sums.pull - np.einsum("mb,mbj->mj", change, sums.s1)
+        mean = _risk_means(sums, r0, batch.bins)
+        mean[d == 0] = 0.0
         hessian = sums.cross - np.swapaxes(mean * d[:, :, None], 1, 2) @ mean
-    return _Likelihood(value, on_all, gradient, hessian, np.cumsum(step, axis=1))
+    return _Likelihood(value, on_all, gradient, hessian, hazard)
+
+
+def _bin_means(values: np.ndarray, weights: np.ndarray, bins: np.ndarray) -> np.ndarray:
+    """Weighted mean of values over the event times of each bin."""
+    start = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]])
+    total = np.add.reduceat(weights, start, axis=1)
+    return np.add.reduceat(values * weights, start, axis=1) / np.where(total > 0, total, 1.0)
+
+
+def _risk_means(sums: RiskSums, r0: np.ndarray, bins: np.ndarray) -> np.ndarray:
+    """Mean predictors of the risk set at each event time, interpolated within bins."""
+    start = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]])
+    after1 = _reverse_cumulative(sums.s1) - sums.s1
+    in_bin = np.add.reduceat(sums.s0, start, axis=1)
+    after0 = r0[:, start] - in_bin
+    share = (r0 - after0[:, bins]) / np.where(in_bin > 0, in_bin, 1.0)[:, bins]
+    r1 = after1[:, bins] + share[:, :, None] * sums.s1[:, bins]
+    return r1 / r0[:, :, None]
 
 
 @dataclass
@@ -131,14 +151,17 @@ def fit_paths(
     scale = np.take_along_axis(data.fold_scale[out], columns, axis=1)
     unused = data.constant[columns] | (scale == 0)
 
-    start = ModelBatch(np.zeros((len(out), q)), columns, out, np.zeros((len(out), n_times)))
+    bins = np.arange(n_times) * min(TIME_BINS, n_times) // n_times
+    start = ModelBatch(np.zeros((len(out), q)), columns, out, np.zeros((len(out), n_times)), bins)
+    # At zero the hazard follows from row counts alone; the second look uses it.
+    start = replace(start, hazard=_breslow(data, start, data.evaluate(start)).hazard)
     null = _breslow(data, start, data.evaluate(start))
     full = np.arange(n_specs) * n_fits
     pull = np.where(unused[full], 0.0, np.abs(null.gradient[full]) / n[full, None])
     largest = pull.max(axis=1) / alpha
     lambdas = largest[:, None] * LAMBDA_RATIO ** (np.arange(n_lambdas) / max(n_lambdas - 1, 1))
 
-    per_lambda = len(out) * n_times * (q + 2) * 8
+    per_lambda = len(out) * (2 * n_times + (bins[-1] + 1 + q) * q) * 8
     size = int(min(max(1, PAYLOAD_BYTES // per_lambda), MAX_LAMBDA_BATCH))
     beta, hazard = start.beta, null.hazard
     solved, value, on_all = [], [], []
@@ -147,7 +170,8 @@ def fit_paths(
         k = len(index)
         lam = np.repeat(lambdas, n_fits, axis=0)[:, index].T.reshape(-1, 1)
         wide = ModelBatch(
-            np.tile(beta, (k, 1)), np.tile(columns, (k, 1)), np.tile(out, k), np.tile(hazard, (k, 1))
+            np.tile(beta, (k, 1)), np.tile(columns, (k, 1)), np.tile(out, k),
+            np.tile(hazard, (k, 1)), bins,
         )
         l1 = np.where(np.tile(unused, (k, 1)), np.inf, lam * alpha * np.tile(scale, (k, 1)))
         l2 = lam * (1 - alpha) * np.tile(scale, (k, 1)) ** 2
@@ -183,7 +207,7 @@ def _solve(data: RiskSetData, batch: ModelBatch, n, l1, l2):
     finite_l1 = np.where(np.isinf(l1), 0.0, l1)
     active = np.arange(m)
     for _ in range(MAX_PASSES):
-        part = ModelBatch(beta, batch.columns, batch.left_out, hazard).take(active)
+        part = replace(batch, beta=beta, hazard=hazard).take(active)
         like = _breslow(data, part, data.evaluate(part))
         b = beta[active]
         cost = (
@@ -296,7 +320,8 @@ def _newton(data: RiskSetData, use: np.ndarray) -> CoxFit:
     hazard, event_hazard, at_risk = np.zeros(n_times), np.zeros(n_times), None
     for _ in range(MAX_PASSES):
         batch = ModelBatch(
-            beta[None], use[None], np.array([-1]), hazard[None], event_hazard[None]
+            beta[None], use[None], np.array([-1]), hazard[None], np.arange(n_times),
+            event_hazard[None],
         )
         sums = data.evaluate(batch)
         r0, e0 = _reverse_cumulative(sums.s0)[0], sums.s0_other[0]

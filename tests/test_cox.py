@@ -113,7 +113,7 @@ def test_path_meets_its_optimality_conditions(sample):
     assert set(path.beta) >= {"a", "b"}
 
 
-@pytest.mark.parametrize("rows, two_level", [(150, 64), (60, 8)])
+@pytest.mark.parametrize("rows, two_level", [(30, 256), (20, 48)])
 def test_merging_partitions_changes_nothing(sample, monkeypatch, plain, rows, two_level):
     monkeypatch.setattr(risksets, "ROWS_PER_PARTITION", rows)
     monkeypatch.setattr(risksets, "TWO_LEVEL_MERGE", two_level)
