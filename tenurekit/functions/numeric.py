@@ -81,8 +81,15 @@ def penalised_step(
     """
     b, linear = beta.copy(), gradient + np.einsum("mjk,mk->mj", hessian, beta)
     diagonal = np.einsum("mjj->mj", hessian) + l2
-    todo = np.arange(len(b))
-    for _ in range(max_rounds):
+    todo = []
+    for i in range(len(b)):
+        exact = _settle(b[i], linear[i], hessian[i], l1[i], l2[i]) if b[i].any() else None
+        if exact is None:
+            todo.append(i)
+        else:
+            b[i] = exact
+    todo = np.array(todo, dtype=int)
+    for _ in range(max_rounds if len(todo) else 0):
         h, x, threshold, curve = hessian[todo], b[todo], l1[todo], diagonal[todo]
         rest = linear[todo] - np.einsum("mjk,mk->mj", h, x) - l2[todo] * x
         before = x

@@ -22,10 +22,11 @@ from tenurekit.functions.numeric import (
 from tenurekit.operators.risksets import ModelBatch, RiskSetData, RiskSums, prepare
 
 LAMBDA_RATIO = 1e-4
-TIME_BINS = 64
+TIME_BINS = 256
 PAYLOAD_BYTES = 48e6
-MAX_LAMBDA_BATCH = 10
+MAX_LAMBDA_BATCH = 5
 COEFFICIENT_TOLERANCE = 1e-5
+HAZARD_TOLERANCE = 1e-3
 MAX_PASSES = 60
 
 
@@ -225,6 +226,7 @@ def _solve(data: RiskSetData, batch: ModelBatch, n, l1, l2):
             at = active[good]
             best[at], best_cost[at] = b[good], cost[good]
             value[at], on_all[at] = like.value[good], like.on_all_rows[good]
+            drift = np.abs(like.hazard[good] - hazard[at]).max(axis=1)
             hazard[at] = like.hazard[good]
             scaled = n[at, None]
             step = penalised_step(
@@ -236,7 +238,8 @@ def _solve(data: RiskSetData, batch: ModelBatch, n, l1, l2):
             )
             moved = np.abs(step - b[good]).max(axis=1)
             beta[at] = step
-            still.append(at[moved > COEFFICIENT_TOLERANCE])
+            settled = drift <= HAZARD_TOLERANCE * hazard[at].max(axis=1)
+            still.append(at[(moved > COEFFICIENT_TOLERANCE) | ~settled])
         active = np.sort(np.concatenate(still))
         if not len(active):
             return best, value, on_all, hazard
