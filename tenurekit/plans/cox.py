@@ -7,6 +7,7 @@ penalty, left-out fold or predictor set share their passes.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -24,9 +25,12 @@ from tenurekit.operators.risksets import ModelBatch, RiskSetData, RiskSums, prep
 LAMBDA_RATIO = 1e-4
 TIME_BINS = 256
 PAYLOAD_BYTES = 48e6
-MAX_LAMBDA_BATCH = 5
+EXACT_BYTES = 4e6
+MAX_LAMBDA_BATCH = 17
 COEFFICIENT_TOLERANCE = 1e-5
+COST_TOLERANCE = 1e-10
 HAZARD_TOLERANCE = 1e-3
+LONGEST_STEP = 1.0
 MAX_PASSES = 60
 
 
@@ -201,7 +205,7 @@ def fit_paths(
 
 def _solve(data: RiskSetData, batch: ModelBatch, n, l1, l2):
     """Proximal Newton for every model of a batch; converged models leave the passes."""
-    m = len(batch.beta)
+    m, n_times = batch.hazard.shape
     beta, hazard = batch.beta.copy(), batch.hazard.copy()
     best, best_cost = beta.copy(), np.full(m, np.inf)
     value, on_all = np.zeros(m), np.zeros(m)
@@ -209,6 +213,8 @@ def _solve(data: RiskSetData, batch: ModelBatch, n, l1, l2):
     active = np.arange(m)
     for _ in range(MAX_PASSES):
         part = replace(batch, beta=beta, hazard=hazard).take(active)
+        if len(active) * n_times * (part.beta.shape[1] + 2) * 8 <= EXACT_BYTES:
+            part = replace(part, bins=np.arange(n_times))
         like = _breslow(data, part, data.evaluate(part))
         b = beta[active]
         cost = (
@@ -217,13 +223,15 @@ def _solve(data: RiskSetData, batch: ModelBatch, n, l1, l2):
             + (l2[active] * b**2).sum(axis=1) / 2
         )
         usable = np.isfinite(like.gradient).all(axis=1) & np.isfinite(like.hessian).all(axis=(1, 2))
-        worse = ~(usable & (cost <= best_cost[active] + 1e-12 * np.abs(cost)))
+        worse = ~(usable & (cost <= best_cost[active] + COST_TOLERANCE * np.abs(cost)))
         good, bad = np.flatnonzero(~worse), np.flatnonzero(worse)
-        halved = (best[active[bad]] + b[bad]) / 2
-        still = [active[bad][np.abs(halved - best[active[bad]]).max(axis=1) > COEFFICIENT_TOLERANCE]]
-        beta[active[bad]] = halved
+        shorter = best[active[bad]] + (b[bad] - best[active[bad]]) / 4
+        left = np.abs(shorter - best[active[bad]]).max(axis=1)
+        still = [active[bad][left > COEFFICIENT_TOLERANCE]]
+        beta[active[bad]] = shorter
         if len(good):
             at = active[good]
+            gain = best_cost[at] - cost[good]
             best[at], best_cost[at] = b[good], cost[good]
             value[at], on_all[at] = like.value[good], like.on_all_rows[good]
             drift = np.abs(like.hazard[good] - hazard[at]).max(axis=1)
@@ -237,13 +245,20 @@ def _solve(data: RiskSetData, batch: ModelBatch, n, l1, l2):
                 l2[at],
             )
             moved = np.abs(step - b[good]).max(axis=1)
-            beta[at] = step
+            step = b[good] + np.minimum(1.0, LONGEST_STEP / np.maximum(moved, 1e-30))[:, None] * (
+                step - b[good]
+            )
             settled = drift <= HAZARD_TOLERANCE * hazard[at].max(axis=1)
-            still.append(at[(moved > COEFFICIENT_TOLERANCE) | ~settled])
+            # Along flat directions coefficients may wander without any gain: stay there, and
+            # look once more if the hazard of this pass was not yet that of its coefficients.
+            moving = (moved > COEFFICIENT_TOLERANCE) & (gain > COST_TOLERANCE * np.abs(cost[good]))
+            beta[at] = np.where(moving[:, None], step, b[good])
+            still.append(at[moving | ~settled])
         active = np.sort(np.concatenate(still))
         if not len(active):
             return best, value, on_all, hazard
-    raise RuntimeError(f"{len(active)} models did not converge")
+    warnings.warn(f"{len(active)} of {m} models stopped before they converged", stacklevel=2)
+    return best, value, on_all, hazard
 
 
 @dataclass
