@@ -90,11 +90,12 @@ def feature_histograms(df: DataFrame, columns: list[str], bins: int) -> DataFram
     ranges = long.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     width = F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
     step = F.floor(F.lit(float(bins)) * (F.col("value") - F.col("lo")) / width)
-    placed = F.coalesce(F.least(step + 1, F.lit(bins).cast("long")), F.lit(1).cast("long"))
+    # A constant feature has no width; ``least`` alone would skip the NULL.
+    placed = F.when(step.isNull(), F.lit(1)).otherwise(F.least(step + 1, F.lit(bins)))
     # One row per feature name, so the broadcast does not grow with the data.
     return (
         long.join(F.broadcast(ranges), "feature")
-        .groupBy("feature", placed.alias("bin"))
+        .groupBy("feature", placed.cast("long").alias("bin"))
         .agg(F.count("*").alias("n"))
     )
 
