@@ -27,3 +27,23 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hw.n, 0) AS n_hit, co
        coalesce(hw.n, 0) > 0 AND 20 * coalesce(hw.n, 0) >= len(w) AS contaminated
 FROM docs LEFT JOIN hit_words hw USING (r) LEFT JOIN hit_items hi USING (r)
 """
+
+NEAR_DUPLICATES = f"""
+WITH RECURSIVE docs AS (
+    SELECT doc_id, regexp_extract_all(coalesce({_LOWER}, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingles AS (
+    SELECT DISTINCT doc_id, s
+    FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                     WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM docs)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+    FROM shingles x JOIN shingles y USING (s) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (
+    SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+    WHERE 100 * c >= 75 * (p.n + q.n - c)),
+reach AS (SELECT doc_id, doc_id AS other FROM docs UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = other),
+least_of AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM docs LEFT JOIN sizes USING (doc_id) JOIN least_of USING (doc_id)
+"""

@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from tenurekit.llm import oracle
 from tenurekit.llm.common import table
 from tenurekit.llm.decontamination import contamination
+from tenurekit.llm.minhash import near_duplicates
 from tenurekit.llm.packing import pack
 from tenurekit.llm.quality import score_documents
 from tenurekit.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {"op9_decontamination": oracle.DECONTAMINATION}
+ORACLES: dict[str, str] = {"op6_near_duplicates": oracle.NEAR_DUPLICATES, "op9_decontamination": oracle.DECONTAMINATION}
 
 
 def query(f: Query) -> Query:
@@ -33,6 +34,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
