@@ -11,6 +11,7 @@ from tenurekit.llm.common import table
 from tenurekit.llm.decontamination import contamination
 from tenurekit.llm.minhash import near_duplicates
 from tenurekit.llm.packing import pack
+from tenurekit.llm.personal_data import personal_data
 from tenurekit.llm.quality import score_documents
 from tenurekit.llm.token_counts import token_counts
 
@@ -29,6 +30,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
