@@ -5,18 +5,63 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tenurekit.llm.common import stored, table
+from tenurekit.llm.decontamination import contamination
+from tenurekit.llm.minhash import near_duplicates
 from tenurekit.llm.packing import pack
+from tenurekit.llm.personal_data import candidates, fit_spans, redacted
+from tenurekit.llm.quality import CUT, fit_quality, quality_score
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learnt from labelled ones among them, doesn't reject."""
+    model = fit_quality(docs, table(spark, sf_dir, "labels"))
+    return docs.filter(quality_score(model, F.col("text")) >= CUT)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest id.
+
+    Documents without an id stay; repeated rows of one id and text become one.
+    """
+    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    found = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["kept_id"]), "left_semi")
+    return found.dropDuplicates(["doc_id", "text"]).select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without too many benchmark words; a document is told by its id and text together."""
+    key = F.xxhash64("doc_id", "text")
+    judged = contamination(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    bad = judged.filter("contaminated").select(F.col("doc_id").alias("bad_key")).distinct()
+    return docs.join(bad, key == F.col("bad_key"), "left_anti").select(docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data in their texts masked."""
+    found, _ = stored(candidates(docs), "span-candidates")
+    clean = docs.withColumn("text", redacted(fit_spans(found), F.col("text")))
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return clean.select(docs.columns)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences with what is left: one row per piece."""
     return pack(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("packing", packing)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("packing", packing),
+]
 
 #: Trained models, tokenizer ids and sketches have no SQL form; tests hold stages against plain versions.
 ORACLE_SQL = None

@@ -330,6 +330,6 @@ def redacted(model: SpanModel, text: Column) -> Column:
 
     @arrow_udf("string")
     def mask(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else masked(t, _kept(model, _found(t))) for t in map(pa.Scalar.as_py, texts)], pa.string())
+        return pa.array([None if t is None else masked(t, _kept(model, _found(t))) for t in (x.as_py() for x in texts)], pa.string())
 
     return mask(text.cast("string"))
