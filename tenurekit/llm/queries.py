@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tenurekit.llm import oracle
 from tenurekit.llm.common import table
 from tenurekit.llm.decontamination import contamination
+from tenurekit.llm.epsilon_join import near_vectors
+from tenurekit.llm.language import identify
 from tenurekit.llm.minhash import near_duplicates
 from tenurekit.llm.packing import pack
 from tenurekit.llm.personal_data import personal_data
@@ -17,7 +19,11 @@ from tenurekit.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {"op6_near_duplicates": oracle.NEAR_DUPLICATES, "op9_decontamination": oracle.DECONTAMINATION}
+ORACLES: dict[str, str] = {
+    "op2_epsilon_join": oracle.NEAR_VECTORS,
+    "op6_near_duplicates": oracle.NEAR_DUPLICATES,
+    "op9_decontamination": oracle.DECONTAMINATION,
+}
 
 
 def query(f: Query) -> Query:
@@ -30,6 +36,16 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_epsilon_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
