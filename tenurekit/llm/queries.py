@@ -15,6 +15,7 @@ from tenurekit.llm.minhash import near_duplicates
 from tenurekit.llm.packing import pack
 from tenurekit.llm.personal_data import personal_data
 from tenurekit.llm.quality import score_documents
+from tenurekit.llm.suffix_index import remove_repeats
 from tenurekit.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +62,11 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
