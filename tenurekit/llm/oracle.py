@@ -63,3 +63,67 @@ counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
 FROM v JOIN least_of USING (vec_id) LEFT JOIN counts USING (vec_id)
 """
+
+#: Where a document lies in the tree of files, in SQL that both engines read.
+FILE_PATH = """concat(coalesce(source, 'none'), '/',
+    CASE WHEN CAST(floor(doc_id / 20) AS BIGINT) % 1000 = 0 THEN ''
+         WHEN CAST(floor(doc_id / 20) AS BIGINT) % 100 = 0 THEN concat('d', CAST(CAST(floor(doc_id / 2000) AS BIGINT) AS STRING), '/')
+         ELSE concat('d', CAST(CAST(floor(doc_id / 2000) AS BIGINT) AS STRING), '/e', CAST(CAST(floor(doc_id / 200) AS BIGINT) % 10 AS STRING), '/') END,
+    CASE WHEN CAST(floor(doc_id / 20) AS BIGINT) % 5 = 0 THEN 'LICENSE' ELSE concat('part-', CAST(doc_id AS STRING)) END)"""
+
+_STATEMENTS = (
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
+    ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("ISC", "Released under the ISC License."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("MIT", "Released under the MIT License."),
+    ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0."),
+    ("Proprietary", "All rights reserved."),
+    ("Unlicense", "Released into the public domain under the Unlicense."),
+)
+_VALUES = ", ".join(f"('{name}', '{text}')" for name, text in _STATEMENTS)
+_WORDS = "regexp_extract_all({}, '[a-z0-9]+')"
+
+LICENCES = f"""
+WITH templates(licence, statement) AS (VALUES {_VALUES}),
+template_terms AS (
+    SELECT licence, term, count(*) AS tf
+    FROM (SELECT licence, unnest({_WORDS.format("lower(statement)")}) AS term FROM templates) GROUP BY ALL),
+inverse AS (
+    SELECT term, ln((1.0 + (SELECT count(*) FROM templates)) / (1 + count(*))) + 1 AS idf FROM template_terms GROUP BY term),
+template_norm AS (
+    SELECT licence, sqrt(sum((tf * idf) ** 2)) AS size FROM template_terms JOIN inverse USING (term) GROUP BY licence),
+files AS (SELECT row_number() OVER () AS r, doc_id, {FILE_PATH} AS path, coalesce({_LOWER}, '') AS low FROM documents),
+statements AS (
+    SELECT row_number() OVER () AS s, r, statement
+    FROM (SELECT r, unnest(string_split(regexp_replace(low, '([.!?;]) +', '\\1' || chr(10), 'g'), chr(10))) AS statement FROM files)),
+terms AS (
+    SELECT s, r, term, count(*) AS tf FROM (SELECT s, r, unnest({_WORDS.format("statement")}) AS term FROM statements) GROUP BY ALL),
+norms AS (
+    SELECT s, sqrt(sum((tf * coalesce(idf, ln(1.0 + (SELECT count(*) FROM templates)) + 1)) ** 2)) AS size
+    FROM terms LEFT JOIN inverse USING (term) GROUP BY s),
+scores AS (
+    SELECT terms.r, licence, round(sum(terms.tf * t.tf * idf * idf) / (any_value(n.size) * any_value(tn.size)), 6) AS score
+    FROM terms JOIN template_terms t USING (term) JOIN inverse USING (term) JOIN norms n USING (s) JOIN template_norm tn USING (licence)
+    GROUP BY terms.r, terms.s, licence),
+best AS (SELECT r, max(struct_pack(score := score, licence := licence)) AS own FROM scores WHERE score >= 0.7 GROUP BY r),
+own AS (
+    SELECT doc_id, path, own, array_to_string(string_split(path, '/')[:-2], '/') AS dir, string_split(path, '/')[-1] AS name
+    FROM files LEFT JOIN best USING (r)),
+by_dir AS (SELECT dir AS above, max(own) AS found FROM own WHERE own IS NOT NULL AND name = 'LICENSE' GROUP BY dir),
+nearest AS (
+    SELECT d.dir, arg_max(struct_pack(above := above, found := found), length(above)) AS nearest
+    FROM (SELECT DISTINCT dir FROM own) d JOIN by_dir b ON b.above = '' OR b.above = d.dir OR starts_with(d.dir, b.above || '/') GROUP BY d.dir)
+SELECT doc_id, path, coalesce(own.licence, nearest.found.licence) AS licence, coalesce(own.score, nearest.found.score) AS score,
+       CASE WHEN own IS NOT NULL THEN 'own' WHEN nearest IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+       CASE WHEN own IS NOT NULL THEN own.dir WHEN nearest IS NOT NULL THEN nearest.above END AS from_dir
+FROM own LEFT JOIN nearest ON own.dir = nearest.dir
+"""

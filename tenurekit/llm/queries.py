@@ -11,6 +11,7 @@ from tenurekit.llm.common import table
 from tenurekit.llm.decontamination import contamination
 from tenurekit.llm.epsilon_join import near_vectors
 from tenurekit.llm.language import identify
+from tenurekit.llm.licences import scan
 from tenurekit.llm.minhash import near_duplicates
 from tenurekit.llm.packing import pack
 from tenurekit.llm.personal_data import personal_data
@@ -23,6 +24,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {
     "op2_epsilon_join": oracle.NEAR_VECTORS,
     "op6_near_duplicates": oracle.NEAR_DUPLICATES,
+    "op8_licences": oracle.LICENCES,
     "op9_decontamination": oracle.DECONTAMINATION,
 }
 
@@ -67,6 +69,13 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a made-up tree: sources, then directories by ranges of ids; some are licence files."""
+    files = table(spark, sf_dir, "documents").selectExpr("doc_id AS file_id", f"{oracle.FILE_PATH} AS path", "text")
+    return scan(files).withColumnRenamed("file_id", "doc_id")
+
+
 @query
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
