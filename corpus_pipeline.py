@@ -30,15 +30,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     found = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["kept_id"]), "left_semi")
-    return found.dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    return found.dropDuplicates(["doc_id", "text"])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without too many benchmark words; a document is told by its id and text together."""
-    key = F.xxhash64("doc_id", "text")
-    judged = contamination(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    judged = contamination(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     bad = judged.filter("contaminated").select(F.col("doc_id").alias("bad_key")).distinct()
-    return docs.join(bad, key == F.col("bad_key"), "left_anti").select(docs.columns)
+    return docs.join(bad, F.xxhash64(docs["doc_id"], docs["text"]) == bad["bad_key"], "left_anti")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +46,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     clean = docs.withColumn("text", redacted(fit_spans(found), F.col("text")))
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.select(docs.columns)
+    return clean
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

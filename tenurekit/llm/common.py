@@ -28,11 +28,21 @@ def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> tupl
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Delete scratch tables that no later step reads."""
     for path in paths:
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        place, system = _place(spark, path)
+        system.delete(place, True)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    place, system = _place(spark, path)
+    system.mkdirs(place)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tenurekit.llm.common import id_and_text, stored
+from tenurekit.llm.common import id_and_text, make_folder, stored
 from tenurekit.llm.tokens import END_OF_TEXT_ID, VOCABULARY, token_ids
 from tenurekit.session import scratch_path
 
@@ -50,11 +50,11 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY
     A file belongs to one attempt of a task. Only rows of attempts that Spark commits are in the
     returned frame once it is stored, so files of failed or doubled attempts are never read.
     """
+    make_folder(docs.sparkSession, folder)
     folder = _uri(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = _at(folder)
-        system.create_dir(root, recursive=True)
         name = f"{TaskContext.get().partitionId():08d}-{uuid.uuid4().hex}.tok"
         kind, end = f"<u{width}", np.array([separator], f"<u{width}").tobytes()
         ordinal = 0
@@ -113,7 +113,7 @@ def stitch(found: DataFrame) -> DataFrame:
     group = F.floor(F.col("block") / GROUP_BLOCKS)
     summaries = found.select(
         "file", "block", group.alias("group"), F.size("ends").cast("long").alias("n_ends"),
-        F.element_at("ends", -1).alias("last_end"), (F.col("first") + F.col("n_ids")).alias("stop"),
+        F.try_element_at("ends", F.lit(-1)).alias("last_end"), (F.col("first") + F.col("n_ids")).alias("stop"),
     )
     groups = summaries.groupBy("file", "group").agg(F.sum("n_ends").alias("n_ends"), F.max("last_end").alias("last_end"))
     earlier = Window.partitionBy("file").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
