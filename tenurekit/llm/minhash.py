@@ -9,7 +9,8 @@ Equal sets are one node. Buckets of any size are worked on by stars: each node i
 the most popular node it shares a bucket with, popular meaning large buckets, so the original of many
 copies comes first. Links are confirmed on full sets and joined to components. Then only pairs of one
 bucket whose components differ are left, and those whose sketches allow the similarity are confirmed
-too, so no pair of a shared bucket is passed over and no group is written out as all its pairs.
+too, block by block, so no pair of a shared bucket is passed over and no group is written out as all
+its pairs.
 
 Defined cases: a text of fewer words than a shingle is one shingle; null and empty texts, and texts of
 white space, have an empty set and link with nothing; documents without an id link with nothing and
@@ -19,6 +20,8 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import collections
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +43,9 @@ SKETCH_WORDS = 16
 #: lies six standard deviations below.
 MOST_BITS = 137
 
+#: Nodes of one block where nodes of a bucket meet in blocks.
+BLOCK_NODES = 256
+
 _RNG = np.random.default_rng(20_240_607)
 _MASKS = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)[:, None]
 _FACTORS = (_RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1))[:, None]
@@ -129,6 +135,16 @@ def _near(a: str, b: str) -> Column:
     return _bits(F.col(a), F.col(b)) <= MOST_BITS
 
 
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets have enough in common."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    if 100 * len(small) < PERCENT * len(large):
+        return False
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    common = int((large[at] == small).sum())
+    return 100 * common >= PERCENT * (len(x) + len(y) - common)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those pairs (a, b) of nodes whose full sets are similar enough."""
 
@@ -137,10 +153,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             keep = []
             for one, other in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
                 x, y = (np.frombuffer(s.as_buffer(), "<u8") for s in (one, other))
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                common = int((large[at] == small).sum())
-                keep.append(100 * common >= PERCENT * (len(x) + len(y) - common))
+                keep.append(similar(x, y))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     own = sets.select("node", "set")
@@ -201,23 +214,132 @@ def star_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def rest_pairs(members: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """All pairs of a shared bucket whose components differ and whose sketches allow the similarity.
+def _against_main(known: DataFrame, centres: DataFrame) -> DataFrame:
+    """Groups that set a bucket's other nodes against all of its main component, both sides in blocks."""
+    others = known.join(centres.select("key", "main"), "key").filter("label <> main").select("node", "label", "main").distinct()
+    nodes = known.select("node", "label").distinct()
+    mains = others.groupBy("main").agg(F.count("*").alias("others"))
+    blocks = F.ceil(F.col("size") / BLOCK_NODES).cast("int")
+    strips = F.ceil(F.col("others") / (16 * BLOCK_NODES)).cast("int")
+    sizes = mains.join(nodes.withColumnRenamed("label", "main"), "main").groupBy("main", "others").agg(F.count("*").alias("size"))
+    sizes = sizes.select("main", blocks.alias("blocks"), strips.alias("strips"))
+    held = nodes.join(sizes, nodes["label"] == sizes["main"]).select(
+        F.col("main").alias("g1"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("g2"),
+        F.explode(F.sequence(F.lit(0), F.col("strips") - 1)).alias("g3"), F.lit(0).alias("kind"), "node", "label",
+    )
+    asked = others.join(sizes, "main").select(
+        F.col("main").alias("g1"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("g2"),
+        F.pmod(F.xxhash64("node"), F.col("strips")).cast("int").alias("g3"), F.lit(1).alias("kind"), "node", "label",
+    )
+    return held.unionByName(asked).withColumn("bucket", F.lit(False))
+
+
+def _among_rest(known: DataFrame, centres: DataFrame) -> DataFrame:
+    """Groups that set a bucket's other nodes against each other, in pairs of blocks."""
+    rest = known.join(centres.select("key", "main"), "key").filter("label <> main").select("key", "node", "label")
+    sizes = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_NODES).cast("int").alias("blocks"), F.count("*").alias("size")).filter("size > 1")
+    placed = rest.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    held = placed.select(F.col("key").alias("g1"), F.col("own").alias("g2"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("g3"), F.lit(0).alias("kind"), "node", "label")
+    asked = placed.select(F.col("key").alias("g1"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("g2"), F.col("own").alias("g3"), F.lit(1).alias("kind"), "node", "label")
+    return held.unionByName(asked).withColumn("bucket", F.lit(True))
+
+
+def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[dict], Iterator[dict]]]:
+    """(held rows, asking rows) of each group of a stream sorted by group and kind."""
+
+    def rows() -> Iterator[dict]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                yield from batch.slice(at, 256).to_pylist()
+
+    for _, group in itertools.groupby(rows(), key=lambda r: (r["g1"], r["g2"], r["g3"])):
+        held: list[dict] = []
+        for row in group:
+            if row["kind"] == 1:
+                yield held, itertools.chain([row], group)
+                break
+            held.append(row)
+
+
+_GROUP_SQL = "g1 long, g2 int, g3 int, kind int, node long, label long, near array<long>"
+
+
+def _near_in_groups(groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Asking nodes with the held nodes that their sketches allow, and those held nodes, by group.
+
+    In groups of a bucket a pair counts only in the smallest bucket that both nodes share.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, asking in _by_group(batches):
+            out: list[dict] = []
+            if held:
+                sketches = np.array([r["sketch"] for r in held], np.int64).view(np.uint64)
+                labels, names = (np.array([r[c] for r in held], np.int64) for c in ("label", "node"))
+                used: set[int] = set()
+                for row in asking:
+                    bits = np.bitwise_count(sketches ^ np.array(row["sketch"], np.int64).view(np.uint64)).sum(1)
+                    good = (bits <= MOST_BITS) & (labels != row["label"])
+                    if row["bucket"] and row["g2"] == row["g3"]:
+                        good &= names < row["node"]
+                    found = np.flatnonzero(good).tolist()
+                    if row["bucket"] and found:
+                        own = set(row["keys"])
+                        found = [k for k in found if min(own.intersection(held[k]["keys"])) == row["g1"]]
+                    if found:
+                        used.update(found)
+                        out.append({**row, "near": names[found].tolist()})
+                out += [{**held[k], "near": None} for k in sorted(used)]
+            else:
+                collections.deque(asking, maxlen=0)
+            columns = ("g1", pa.int64()), ("g2", pa.int32()), ("g3", pa.int32()), ("kind", pa.int32()), ("node", pa.int64()), ("label", pa.int64()), ("near", pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in columns], names=[c for c, _ in columns])
+
+    wide = groups.join(nodes.select("node", "keys", "sketch"), "node").withColumn("keys", F.when(F.col("bucket"), F.col("keys")))
+    order = ["g1", "g2", "g3"]
+    return wide.repartition(*order).sortWithinPartitions(*order, "kind").mapInArrow(run, _GROUP_SQL)
+
+
+def _linked_in_groups(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) confirmed on full sets that join what the groups' links join; pairs already joined are passed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, asking in _by_group(batches):
+            full = {r["node"]: (np.frombuffer(r["set"], "<u8"), r["label"]) for r in held}
+            top: dict[int, int] = {}
+
+            def root(x: int, top: dict[int, int] = top) -> int:
+                while top.get(x, x) != x:
+                    x = top[x]
+                return x
+
+            links = []
+            for row in asking:
+                own = np.frombuffer(row["set"], "<u8")
+                for name in row["near"]:
+                    other, label = full[name]
+                    one, two = root(row["label"]), root(label)
+                    if one != two and similar(own, other):
+                        top[max(one, two)] = min(one, two)
+                        links.append((row["node"], name))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    order = ["g1", "g2", "g3"]
+    wide = near.join(sets, "node")
+    return wide.repartition(*order).sortWithinPartitions(*order, "kind").mapInArrow(run, "a long, b long")
+
+
+def rest_links(members: DataFrame, nodes: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between nodes that share a bucket but not yet a component.
 
     In each bucket the component of its centre is set against the other nodes, and those against each
-    other; pairs inside a component are never formed.
+    other. Nodes meet in blocks, so tables hold a row per node and block, never one per pair.
     """
-    known = _labelled(members, labels)
-    mixed_buckets = known.join(_centres(known).select("key", "main"), "key").join(nodes.select("node", "sketch"), "node")
-    mixed_buckets, _ = stored(mixed_buckets.select("key", "node", "label", "main", "sketch"), "mixed-buckets")
-    rest = mixed_buckets.filter("label <> main").selectExpr("key", "node AS x", "label AS x_label", "sketch AS x_sketch")
-    every = mixed_buckets.selectExpr("key", "node AS y", "label AS y_label", "main", "sketch AS y_sketch")
-    return (
-        rest.join(every, "key")
-        .filter((F.col("x_label") != F.col("y_label")) & ((F.col("y_label") == F.col("main")) | (F.col("x") < F.col("y"))) & _near("x_sketch", "y_sketch"))
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
-    )
+    known, _ = stored(_labelled(members, labels), "labelled-members")
+    centres, _ = stored(_centres(known), "bucket-centres")
+    groups = _against_main(known, centres).unionByName(_among_rest(known, centres))
+    near, _ = stored(_near_in_groups(groups, nodes), "near-in-groups")
+    return _linked_in_groups(near, sets)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -236,8 +358,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars, _ = stored(star_pairs(members, nodes), "star-pairs")
     links, _ = stored(confirmed(stars, sets), "star-links")
     labels = components(links)
-    pairs, _ = stored(rest_pairs(members, nodes, labels).join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest-pairs")
-    more, _ = stored(confirmed(pairs, sets), "rest-links")
+    more, _ = stored(rest_links(members, nodes, labels, sets), "rest-links")
     drop(spark, sets_path)
     labels = components(links.unionByName(more))
     named = nodes.select(*key, "node").join(labels, "node", "left").select(*key, F.coalesce("component", "node").alias("component_id"))
