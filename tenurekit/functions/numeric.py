@@ -136,18 +136,24 @@ def tie_sums(s0: np.ndarray, s0_events: np.ndarray, d: np.ndarray) -> dict[str,
             "a2": 1 / u**2, "b2": share / u**2, "c2": (share / u) ** 2,
         }
 
-    nodes, weights = np.polynomial.legendre.leggauss(64)
+    nodes, weights = np.polynomial.legendre.leggauss(32)
     for i in np.flatnonzero(d > 0):
         first = max(0, int(d[i]) - DIRECT_TERMS)
         for k, v in terms(i, np.arange(first, int(d[i]), dtype=float)).items():
             out[k][i] += v.sum()
-        if first:
-            grid = terms(i, first / 2 * (nodes + 1))
-            ends = terms(i, np.array([0.0, first]))
-            near = terms(i, np.array([-0.5, 0.5, first - 0.5, first + 0.5]))
-            for k in names:
-                slope = (near[k][3] - near[k][2]) - (near[k][1] - near[k][0])
-                out[k][i] += (
-                    first / 2 * (weights @ grid[k]) + (ends[k][0] - ends[k][1]) / 2 + slope / 12
-                )
+        if not first:
+            continue
+        # Panels double away from the last term, where the functions may grow without bound.
+        edges = [float(first)]
+        while edges[-1] > 0:
+            edges.append(max(0.0, d[i] - 2 * (d[i] - edges[-1])))
+        for high, low in zip(edges, edges[1:]):
+            half = (high - low) / 2
+            for k, v in terms(i, low + half * (nodes + 1)).items():
+                out[k][i] += half * (weights @ v)
+        ends = terms(i, np.array([0.0, first]))
+        near = terms(i, np.array([-0.5, 0.5, first - 0.5, first + 0.5]))
+        for k in names:
+            slope = (near[k][3] - near[k][2]) - (near[k][1] - near[k][0])
+            out[k][i] += (ends[k][0] - ends[k][1]) / 2 + slope / 12
     return out

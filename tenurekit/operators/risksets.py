@@ -4,10 +4,9 @@ For coefficients b and weights w = exp(x b), a Cox likelihood needs sums of w
 over the rows still at risk at every event time; its derivatives are sums of
 w x and w x x' weighted by the cumulative hazard at each row's time. One Spark
 pass adds these up per partition for many models together. The hazard used
-inside a pass is that of the pass before; sums of w x by bins of event times
-tell the caller what changed. With one bin per event time that correction is
-exact, with fewer it becomes exact as the coefficients settle. What leaves the
-executors does not depend on the number of rows.
+inside a pass is that of the pass before; sums of w x by event time tell the
+caller what changed, so gradients are exact. Partial sums are added up on the
+executors: what leaves them depends neither on rows nor on partitions.
 
 Survival times are whole days, so event times number in the thousands.
 """
@@ -31,7 +30,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MAX_EVENT_TIMES = 50_000
 ROWS_PER_PARTITION = 4096
-DIRECT_MERGE = 32
+MOST_ROWS_PER_PARTITION = 1 << 18
 TWO_LEVEL_MERGE = 256
 MODEL_CHUNK = 64
 BLOCK_SCHEMA = "n int, time binary, event binary, fold binary, x binary"
@@ -114,12 +113,12 @@ class RiskSetData:
         sums = self.blocks.mapInArrow(_PartitionSums(batch, slots), SUM_SCHEMA)
         if self.partitions > TWO_LEVEL_MERGE:
             sums = sums.groupBy("model", "slot").applyInArrow(_add_payloads, SUM_SCHEMA)
-        if self.partitions > DIRECT_MERGE:
-            sums = (
-                sums.withColumn("slot", F.lit(0))
-                .groupBy("model", "slot")
-                .applyInArrow(_add_payloads, SUM_SCHEMA)
-            )
+        # One row per model reaches the driver, however many partitions there are.
+        sums = (
+            sums.withColumn("slot", F.lit(0))
+            .groupBy("model", "slot")
+            .applyInArrow(_add_payloads, SUM_SCHEMA)
+        )
         table = sums.toArrow()
         shapes, m = batch.shapes, len(batch.beta)
         sizes = [int(np.prod(shape)) for shape in shapes.values()]
@@ -189,7 +188,7 @@ def _unpack(arrow: pa.RecordBatch, i: int) -> tuple[np.ndarray, ...]:
     time, event, fold, x = (
         np.frombuffer(arrow[c][i].as_buffer(), dtype=kind)
         for c, kind in (
-            ("time", np.int32), ("event", np.int8), ("fold", np.int8), ("x", np.float64)
+            ("time", np.int32), ("event", np.int8), ("fold", np.int16), ("x", np.float64)
         )
     )
     return time, event, fold, x.reshape(len(time), -1)
@@ -209,10 +208,8 @@ class _Runs:
 
     def cross(self, weights: np.ndarray, x: np.ndarray) -> np.ndarray:
         """rows x models and rows x predictors to models x runs x predictors."""
-        out = np.empty((weights.shape[1], len(self.start), x.shape[1]))
-        for i, (a, z) in enumerate(zip(self.start, self.end)):
-            out[:, i] = weights[a:z].T @ x[a:z]
-        return out
+        products = weights[:, :, None] * x[:, None, :]
+        return np.add.reduceat(products, self.start, axis=0).swapaxes(0, 1)
 
 
 def _gather(by_run: np.ndarray, columns: np.ndarray) -> np.ndarray:
@@ -258,7 +255,7 @@ class _Pack:
             )
             x = (x - self.mean) / self.scale
             event = arrow["event"].to_numpy(zero_copy_only=False)[order].astype(np.int8)
-            fold = arrow["fold"].to_numpy(zero_copy_only=False)[order].astype(np.int8)
+            fold = arrow["fold"].to_numpy(zero_copy_only=False)[order].astype(np.int16)
             cells = [
                 where[order].astype(np.int32).tobytes(),
                 event.tobytes(),
@@ -287,6 +284,8 @@ def prepare(
 ) -> RiskSetData:
     """Pack a frame (with a ``fold`` column if there are several) for passes."""
     p = len(columns)
+    if folds > np.iinfo(np.int16).max:
+        raise ValueError(f"at most {np.iinfo(np.int16).max} folds")
     fold = F.col("fold") if folds > 1 else F.lit(0)
     frame = cut_lineage(
         df.select(
@@ -337,8 +336,10 @@ def prepare(
     sums = np.column_stack([small[f"x{i}"].to_numpy() for i in range(p)])
     event_x[in_fold, where] = (sums - events[in_fold, where][:, None] * mean) / scale
 
-    most = 4 * frame.sparkSession.sparkContext.defaultParallelism
-    partitions = int(min(max(1, -(-n.sum() // ROWS_PER_PARTITION)), most))
+    # Small designs take as many tasks as there are cores, large ones as many as their rows need.
+    busy = 4 * frame.sparkSession.sparkContext.defaultParallelism
+    wanted = min(-(-n.sum() // ROWS_PER_PARTITION), busy)
+    partitions = int(max(1, wanted, -(-n.sum() // MOST_ROWS_PER_PARTITION)))
     blocks = cut_lineage(
         frame.repartition(partitions).mapInArrow(_Pack(columns, times, mean, scale), BLOCK_SCHEMA)
     ).persist()

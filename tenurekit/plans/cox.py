@@ -8,7 +8,7 @@ penalty, left-out fold or predictor set share their passes.
 from __future__ import annotations
 
 import warnings
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, fields, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,15 +23,15 @@ from tenurekit.functions.numeric import (
 from tenurekit.operators.risksets import ModelBatch, RiskSetData, RiskSums, prepare
 
 LAMBDA_RATIO = 1e-4
-TIME_BINS = 256
+#: Penalties fitted side by side, all from the solution before them.
+LAMBDA_BATCH = 3
+#: Sums of so many bytes come from one pass; more models take further passes.
 PAYLOAD_BYTES = 48e6
-EXACT_BYTES = 4e6
-MAX_LAMBDA_BATCH = 17
-COEFFICIENT_TOLERANCE = 1e-5
-COST_TOLERANCE = 1e-10
-HAZARD_TOLERANCE = 1e-3
+#: A penalised fit has converged when its optimality conditions hold to this share of the penalty.
+OPTIMALITY_TOLERANCE = 1e-6
+COST_TOLERANCE = 1e-12
 LONGEST_STEP = 1.0
-MAX_PASSES = 60
+MAX_PASSES = 150
 
 
 def _reverse_cumulative(a: np.ndarray) -> np.ndarray:
@@ -101,6 +101,7 @@ class CoxPath:
     mean_deviance: np.ndarray
     deviance_se: np.ndarray
     standardised: np.ndarray  # same for standardised predictors
+    converged: np.ndarray  # per penalty: the full fit and those of all folds
 
     @property
     def best(self) -> int:
@@ -115,15 +116,18 @@ class CoxPath:
 
     def cv_table(self, spark: SparkSession) -> DataFrame:
         rows = [
-            (i, float(lam), float(m), float(s), int((c != 0).sum()), i == self.best)
-            for i, (lam, m, s, c) in enumerate(
-                zip(self.lambdas, self.mean_deviance, self.deviance_se, self.coefficients)
+            (i, float(lam), float(m), float(s), int((c != 0).sum()), i == self.best, bool(done))
+            for i, (lam, m, s, c, done) in enumerate(
+                zip(
+                    self.lambdas, self.mean_deviance, self.deviance_se, self.coefficients,
+                    self.converged,
+                )
             )
         ]
         return spark.createDataFrame(
             rows,
             "lambda_index int, lambda double, mean_deviance double, se double, nonzero int, "
-            "is_min boolean",
+            "is_min boolean, converged boolean",
         )
 
 
@@ -156,22 +160,20 @@ def fit_paths(
     scale = np.take_along_axis(data.fold_scale[out], columns, axis=1)
     unused = data.constant[columns] | (scale == 0)
 
-    bins = np.arange(n_times) * min(TIME_BINS, n_times) // n_times
+    bins = np.arange(n_times)
     start = ModelBatch(np.zeros((len(out), q)), columns, out, np.zeros((len(out), n_times)), bins)
     # At zero the hazard follows from row counts alone; the second look uses it.
-    start = replace(start, hazard=_breslow(data, start, data.evaluate(start)).hazard)
-    null = _breslow(data, start, data.evaluate(start))
+    start = replace(start, hazard=_likelihood(data, start).hazard)
+    null = _likelihood(data, start)
     full = np.arange(n_specs) * n_fits
     pull = np.where(unused[full], 0.0, np.abs(null.gradient[full]) / n[full, None])
     largest = pull.max(axis=1) / alpha
     lambdas = largest[:, None] * LAMBDA_RATIO ** (np.arange(n_lambdas) / max(n_lambdas - 1, 1))
 
-    per_lambda = len(out) * (2 * n_times + (bins[-1] + 1 + q) * q) * 8
-    size = int(min(max(1, PAYLOAD_BYTES // per_lambda), MAX_LAMBDA_BATCH))
     beta, hazard = start.beta, null.hazard
-    solved, value, on_all = [], [], []
-    for first in range(0, n_lambdas, size):
-        index = np.arange(first, min(first + size, n_lambdas))
+    solved, value, on_all, done = [], [], [], []
+    for first in range(0, n_lambdas, LAMBDA_BATCH):
+        index = np.arange(first, min(first + LAMBDA_BATCH, n_lambdas))
         k = len(index)
         lam = np.repeat(lambdas, n_fits, axis=0)[:, index].T.reshape(-1, 1)
         wide = ModelBatch(
@@ -180,13 +182,16 @@ def fit_paths(
         )
         l1 = np.where(np.tile(unused, (k, 1)), np.inf, lam * alpha * np.tile(scale, (k, 1)))
         l2 = lam * (1 - alpha) * np.tile(scale, (k, 1)) ** 2
-        fit = _solve(data, wide, np.tile(n, k), l1, l2)
+        fit = _solve(data, wide, np.tile(n, k), l1, l2, lam[:, 0])
         solved.append(fit[0].reshape(k, n_specs, n_fits, q))
         value.append(fit[1].reshape(k, n_specs, n_fits))
         on_all.append(fit[2].reshape(k, n_specs, n_fits))
+        done.append(fit[4].reshape(k, n_specs, n_fits).all(axis=2))
         beta, hazard = fit[0].reshape(k, -1, q)[-1], fit[3].reshape(k, -1, n_times)[-1]
 
-    solved, value, on_all = (np.concatenate(x) for x in (solved, value, on_all))
+    solved, value, on_all, done = (np.concatenate(x) for x in (solved, value, on_all, done))
+    if not done.all():
+        warnings.warn(f"{(~done).sum()} of {done.size} penalties did not converge", stacklevel=2)
     events = data.events.sum(axis=1)
     paths = []
     for s, spec in enumerate(specs):
@@ -199,23 +204,48 @@ def fit_paths(
             se = np.sqrt(spread / (folds - 1))
         else:
             mean, se = -2.0 * value[:, s, 0] / events.sum(), np.zeros(len(value))
-        paths.append(CoxPath(list(spec), lambdas[s], raw, mean, se, solved[:, s, 0]))
+        paths.append(CoxPath(list(spec), lambdas[s], raw, mean, se, solved[:, s, 0], done[:, s]))
     return paths
 
 
-def _solve(data: RiskSetData, batch: ModelBatch, n, l1, l2):
-    """Proximal Newton for every model of a batch; converged models leave the passes."""
-    m, n_times = batch.hazard.shape
+def _likelihood(data: RiskSetData, batch: ModelBatch) -> _Likelihood:
+    """The likelihood of every model, in as many passes as the bytes of their sums take."""
+    each = 8 * sum(int(np.prod(shape)) for shape in batch.shapes.values())
+    size = max(1, int(PAYLOAD_BYTES // each))
+    parts = []
+    for first in range(0, len(batch.beta), size):
+        part = batch.take(np.arange(first, min(first + size, len(batch.beta))))
+        parts.append(_breslow(data, part, data.evaluate(part)))
+    return _Likelihood(
+        *(np.concatenate([getattr(p, f.name) for p in parts]) for f in fields(_Likelihood))
+    )
+
+
+def optimality_residual(b, gradient, l1, l2) -> np.ndarray:
+    """How far the gradient of each model is from what its penalties ask for; the worst predictor."""
+    with np.errstate(invalid="ignore"):
+        free = np.where(np.isinf(l1), 0.0, np.maximum(np.abs(gradient) - l1, 0.0))
+        held = np.abs(gradient - np.where(np.isinf(l1), 0.0, l1) * np.sign(b) - l2 * b)
+    return np.where(b != 0, held, free).max(axis=1, initial=0.0)
+
+
+def _solve(data: RiskSetData, batch: ModelBatch, n, l1, l2, lam):
+    """Proximal Newton until each model's optimality conditions hold; those leave the passes.
+
+    Sums come by event time, so the gradient is exact whatever hazard a pass was given. A step that
+    raises the cost is shortened towards the best point so far, where the next pass takes the
+    curvature anew; no model is given up before ``MAX_PASSES``.
+    """
+    m = len(batch.beta)
     beta, hazard = batch.beta.copy(), batch.hazard.copy()
     best, best_cost = beta.copy(), np.full(m, np.inf)
-    value, on_all = np.zeros(m), np.zeros(m)
+    value, on_all, done = np.zeros(m), np.zeros(m), np.zeros(m, dtype=bool)
     finite_l1 = np.where(np.isinf(l1), 0.0, l1)
-    active = np.arange(m)
     for _ in range(MAX_PASSES):
-        part = replace(batch, beta=beta, hazard=hazard).take(active)
-        if len(active) * n_times * (part.beta.shape[1] + 2) * 8 <= EXACT_BYTES:
-            part = replace(part, bins=np.arange(n_times))
-        like = _breslow(data, part, data.evaluate(part))
+        active = np.flatnonzero(~done)
+        if not len(active):
+            break
+        like = _likelihood(data, replace(batch, beta=beta, hazard=hazard).take(active))
         b = beta[active]
         cost = (
             -like.value / n[active]
@@ -224,41 +254,29 @@ def _solve(data: RiskSetData, batch: ModelBatch, n, l1, l2):
         )
         usable = np.isfinite(like.gradient).all(axis=1) & np.isfinite(like.hessian).all(axis=(1, 2))
         worse = ~(usable & (cost <= best_cost[active] + COST_TOLERANCE * np.abs(cost)))
-        good, bad = np.flatnonzero(~worse), np.flatnonzero(worse)
-        shorter = best[active[bad]] + (b[bad] - best[active[bad]]) / 4
-        left = np.abs(shorter - best[active[bad]]).max(axis=1)
-        still = [active[bad][left > COEFFICIENT_TOLERANCE]]
-        beta[active[bad]] = shorter
-        if len(good):
-            at = active[good]
-            gain = best_cost[at] - cost[good]
-            best[at], best_cost[at] = b[good], cost[good]
-            value[at], on_all[at] = like.value[good], like.on_all_rows[good]
-            drift = np.abs(like.hazard[good] - hazard[at]).max(axis=1)
-            hazard[at] = like.hazard[good]
-            scaled = n[at, None]
-            step = penalised_step(
-                b[good],
-                like.gradient[good] / scaled,
-                nearest_psd(like.hessian[good] / scaled[:, :, None]),
-                l1[at],
-                l2[at],
-            )
-            moved = np.abs(step - b[good]).max(axis=1)
-            step = b[good] + np.minimum(1.0, LONGEST_STEP / np.maximum(moved, 1e-30))[:, None] * (
-                step - b[good]
-            )
-            settled = drift <= HAZARD_TOLERANCE * hazard[at].max(axis=1)
-            # Along flat directions coefficients may wander without any gain: stay there, and
-            # look once more if the hazard of this pass was not yet that of its coefficients.
-            moving = (moved > COEFFICIENT_TOLERANCE) & (gain > COST_TOLERANCE * np.abs(cost[good]))
-            beta[at] = np.where(moving[:, None], step, b[good])
-            still.append(at[moving | ~settled])
-        active = np.sort(np.concatenate(still))
-        if not len(active):
-            return best, value, on_all, hazard
-    warnings.warn(f"{len(active)} of {m} models stopped before they converged", stacklevel=2)
-    return best, value, on_all, hazard
+        good, bad = np.flatnonzero(~worse), active[np.flatnonzero(worse)]
+        beta[bad] = best[bad] + (beta[bad] - best[bad]) / 4
+        if not len(good):
+            continue
+        at = active[good]
+        best[at], best_cost[at] = b[good], cost[good]
+        value[at], on_all[at] = like.value[good], like.on_all_rows[good]
+        hazard[at] = like.hazard[good]
+        scaled = n[at, None]
+        gradient = like.gradient[good] / scaled
+        off = optimality_residual(b[good], gradient, l1[at], l2[at])
+        done[at] = off <= OPTIMALITY_TOLERANCE * lam[at]
+        step = penalised_step(
+            b[good],
+            gradient,
+            nearest_psd(like.hessian[good] / scaled[:, :, None]),
+            l1[at],
+            l2[at],
+        )
+        moved = np.abs(step - b[good]).max(axis=1)
+        share = np.minimum(1.0, LONGEST_STEP / np.maximum(moved, 1e-30))[:, None]
+        beta[at] = np.where(done[at, None], b[good], b[good] + share * (step - b[good]))
+    return best, value, on_all, hazard, done
 
 
 @dataclass

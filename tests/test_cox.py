@@ -158,10 +158,11 @@ def test_missing_predictor_fails(spark):
 
 
 def test_tie_sums_beyond_direct_terms():
-    d = np.array([5000.0, 60000.0])
-    s0, lost = np.array([9000.0, 200000.0]), np.array([5000.0, 70000.0])
+    d = np.repeat([1.0, 4096.0, 4097.0, 5000.0, 60000.0, 1e6], 3)
+    lost = d * 1.25
+    s0 = lost * np.tile([1.0, 1.0001, 2.0], 6)
     found = tie_sums(s0, lost, d)
-    for i in range(2):
+    for i in range(len(d)):
         share = np.arange(d[i]) / d[i]
         u = s0[i] - share * lost[i]
         wanted = {"log": np.log(u), "a": 1 / u, "b": share / u, "a2": 1 / u**2,
