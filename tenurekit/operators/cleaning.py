@@ -46,14 +46,12 @@ def apply_min_actions(tables: Tables, min_actions: int) -> Tables:
 
 def reactivated_users(activity: DataFrame, cutoff: date, idle_days: int) -> DataFrame:
     """Users idle for ``idle_days`` or more at the cutoff who came back after it."""
-    day = F.lit(cutoff)
-    sides = activity.groupBy("user_id").agg(
-        F.max(F.when(F.col("date") <= day, F.col("date"))).alias("last_pre"),
-        F.min(F.when(F.col("date") > day, F.col("date"))).alias("first_post"),
+    idle_since = F.datediff(F.lit(cutoff), "date")
+    seen = activity.groupBy("user_id").agg(
+        F.bool_or(idle_since < 0).alias("came_back"),
+        F.min(F.when(idle_since >= 0, idle_since)).alias("idle"),
     )
-    return sides.filter(
-        F.col("first_post").isNotNull() & (F.datediff(day, F.col("last_pre")) >= idle_days)
-    ).select("user_id")
+    return seen.filter(F.col("came_back") & (F.col("idle") >= idle_days)).select("user_id")
 
 
 def drop_reactivated(tables: Tables, cutoff: date, idle_days: int) -> Tables:

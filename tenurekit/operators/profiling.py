@@ -4,51 +4,70 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: So many rows are put in order on the driver.
+SMALL = 100_000
+#: Edges that a round of narrowing takes from a sketch.
+EDGES = 64
+
+
+def _order_statistic(values: DataFrame, index: int, n: int, accuracy: int) -> float:
+    """The value at a 0-based position of the column ``v`` in ascending order.
+
+    A sketch proposes edges, exact counts tell between which of them the position lies, and the rows
+    between those go into the next round, about a hundredth each time. Edges are values of the column,
+    so a round ends at a value that fills the position or leaves fewer rows.
+    """
+    v, inside, before = F.col("v"), values, 0
+    while n > SMALL:
+        shares = F.array(*(F.lit(k / EDGES) for k in range(EDGES + 1)))
+        sketch, least, most = inside.agg(
+            F.percentile_approx("v", shares, accuracy), F.min("v"), F.max("v")
+        ).first()
+        edges = sorted({*sketch, least, least / 2 + most / 2, most})
+        counts = inside.agg(
+            *(F.count_if(v < e) for e in edges), *(F.count_if(v <= e) for e in edges)
+        ).first()
+        low, high = None, None
+        for e, less, upto in zip(edges, counts[: len(edges)], counts[len(edges) :]):
+            if before + less <= index < before + upto:
+                return e
+            if before + upto <= index:
+                low, under = e, upto
+            elif high is None:
+                high, over = e, less
+        under, over = under if low is not None else 0, over if high is not None else n
+        inside = inside.filter(F.lit(low is None) | (v > F.lit(low))).filter(
+            F.lit(high is None) | (v < F.lit(high))
+        )
+        before, n = before + under, over - under
+    rows = inside.groupBy("v").agg(F.count("*").alias("c")).toArrow().to_pandas().sort_values("v")
+    return float(rows["v"].iloc[int(rows["c"].cumsum().searchsorted(index - before, side="right"))])
+
+
 def exact_quantile(
-    df: DataFrame, column: str, probability: float, accuracy: int = 50_000
+    df: DataFrame, column: str, probability: float, accuracy: int = 10_000
 ) -> float | None:
     """Exact interpolated quantile of a numeric column; pass a materialised frame.
 
-    Spark's exact percentile keeps every different value in one buffer, which
-    does not fit for a column with a value per user. Here a sketch brackets the
-    two order statistics that matter, a count checks the bracket, and only the
-    different values inside it (about 4 n / accuracy) are put in order. Should
-    the sketch have missed, the bracket opens to the whole column, so the result
-    is exact either way.
+    Spark's exact percentile keeps every different value in one buffer, which does not fit for a
+    column with a value per user. The two order statistics that matter are found by narrowing.
     """
     value = F.col(column).cast("double")
     values = df.select(value.alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    slack = 2.0 / accuracy
-    ends = F.array(F.lit(max(0.0, probability - slack)), F.lit(min(1.0, probability + slack)))
-    n, bracket = values.agg(F.count("*"), F.percentile_approx("v", ends, accuracy)).first()
+    n = values.count()
     if n == 0:
         return None
-    low, high = bracket
     position = (n - 1) * probability
     index = int(position)
-    following = min(index + 1, n - 1)
-
-    below, upto = values.agg(
-        F.count_if(F.col("v") < low), F.count_if(F.col("v") <= high)
-    ).first()
-    if below <= index and upto > following:
-        values = values.filter(F.col("v").between(low, high))
-    else:
-        below = 0
-    ranked = (
-        values.groupBy("v")
-        .agg(F.count("*").alias("c"))
-        .withColumn("upto", F.sum("c").over(Window.orderBy("v")) + below)
-    )
-    first, second = ranked.agg(
-        F.min(F.when(F.col("upto") > index, F.col("v"))),
-        F.min(F.when(F.col("upto") > following, F.col("v"))),
-    ).first()
+    first = _order_statistic(values, index, n, accuracy)
     weight = position - index
+    if weight == 0:
+        return first
+    second = _order_statistic(values, min(index + 1, n - 1), n, accuracy)
     return first * (1 - weight) + second * weight
 
 
@@ -59,43 +78,60 @@ def unpivot_features(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
+def _pearson(x: str, y: str) -> Column:
+    """Correlation over rows where both are present."""
+    own, other = F.when(F.col(y).isNotNull(), F.col(x)), F.when(F.col(x).isNotNull(), F.col(y))
+    spread = F.stddev_pop(own) * F.stddev_pop(other)
+    return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
+
+
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Upper triangle of the Pearson matrix as (x, y, r), over rows where both are present.
 
-    NULL for a constant column. One row per pair goes into one small aggregate,
-    which combines on the map side to as many rows as there are pairs.
+    NULL for a constant column. One aggregate over each input row; the one row it gives is turned
+    into a row per pair.
     """
-    pairs = F.array(
+    pairs = list(combinations(columns, 2))
+    wide = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).agg(
+        *(_pearson(x, y).alias(f"r{k}") for k, (x, y) in enumerate(pairs))
+    )
+    rows = F.array(
         *(
-            F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
-            for i, j in combinations(range(len(columns)), 2)
+            F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"r{k}").alias("r"))
+            for k, (x, y) in enumerate(pairs)
         )
     )
-    names = F.array(*map(F.lit, columns))
-    values = F.array(*(F.col(c).cast("double") for c in columns))
-    spread = F.stddev_pop("a") * F.stddev_pop("b")
-    return (
-        df.select(values.alias("v"), F.explode(pairs).alias("p"))
-        .select("p", F.col("v")[F.col("p.i")].alias("a"), F.col("v")[F.col("p.j")].alias("b"))
-        .filter(F.col("a").isNotNull() & F.col("b").isNotNull())
-        .groupBy("p")
-        .agg((F.covar_pop("a", "b") / F.nullif(spread, F.lit(0.0))).alias("r"))
-        .select(names[F.col("p.i")].alias("x"), names[F.col("p.j")].alias("y"), "r")
-    )
+    return wide.select(F.inline(rows))
 
 
 def feature_histograms(df: DataFrame, columns: list[str], bins: int) -> DataFrame:
-    """Equal-width counts per feature, each on its own range; the top value is in the last bin."""
-    long = unpivot_features(df, columns).filter("value IS NOT NULL")
-    ranges = long.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    width = F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
-    step = F.floor(F.lit(float(bins)) * (F.col("value") - F.col("lo")) / width)
-    # A constant feature has no width; ``least`` alone would skip the NULL.
-    placed = F.when(step.isNull(), F.lit(1)).otherwise(F.least(step + 1, F.lit(bins)))
-    # One row per feature name, so the broadcast does not grow with the data.
+    """Equal-width counts per feature, each on its own range; the top value is in the last bin.
+
+    Ranges come from one wide aggregate; then each row gives an array of bins, counted on the map side.
+    """
+    numeric = df.select(*(F.col(c).cast("double").alias(c) for c in columns))
+    ends = numeric.agg(
+        *(F.min(c).alias(f"lo{k}") for k, c in enumerate(columns)),
+        *(F.max(c).alias(f"hi{k}") for k, c in enumerate(columns)),
+    ).first()
+    placed = []
+    for k, c in enumerate(columns):
+        low, high = ends[f"lo{k}"], ends[f"hi{k}"]
+        if low is None:
+            continue
+        if high > low:
+            step = F.floor(F.lit(float(bins)) * (F.col(c) - F.lit(low)) / F.lit(high - low))
+            place = F.least(step + 1, F.lit(bins))
+        else:
+            place = F.lit(1)
+        place = F.when(F.col(c).isNotNull(), place.cast("long"))
+        placed.append(F.struct(F.lit(c).alias("feature"), place.alias("bin")))
+    if not placed:
+        return numeric.sparkSession.createDataFrame([], "feature string, bin long, n long")
     return (
-        long.join(F.broadcast(ranges), "feature")
-        .groupBy("feature", placed.cast("long").alias("bin"))
+        numeric.select(F.inline(F.array(*placed)))
+        .filter("bin IS NOT NULL")
+        .groupBy("feature", "bin")
         .agg(F.count("*").alias("n"))
     )
 

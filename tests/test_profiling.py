@@ -85,3 +85,14 @@ def test_feature_matrix_rejects_missing_values(spark):
     assert good.first().features == [2.0, 1.0]
     with pytest.raises(Exception):
         feature_matrix(frame, ["a", "b"]).collect()
+
+
+@pytest.mark.parametrize("values", [
+    [float(x % 37) for x in range(500)], [1.0] * 300, [float(x) for x in range(400)], [0.0] * 200 + [5.0], [2.5],
+])
+def test_quantile_narrows_to_the_exact_value(spark, monkeypatch, values):
+    monkeypatch.setattr(profiling, "SMALL", 10)
+    monkeypatch.setattr(profiling, "EDGES", 4)
+    frame = spark.createDataFrame([(v,) for v in values], "x double").repartition(3)
+    for p in (0.0, 0.31, 0.5, 0.99, 1.0):
+        assert profiling.exact_quantile(frame, "x", p) == pytest.approx(np.quantile(values, p), abs=1e-12)
