@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenurekit.operators.activity import user_activity
+from tenurekit.session import cut_lineage
 
 Tables = dict[str, DataFrame]
 
@@ -40,7 +41,9 @@ def drop_users(df: DataFrame, users: DataFrame) -> DataFrame:
 
 def apply_min_actions(tables: Tables, min_actions: int) -> Tables:
     """All tables reduced to users with enough events."""
-    keep = qualifying_users(user_activity(tables["reviews"], tables["tips"]), min_actions)
+    activity = user_activity(tables["reviews"], tables["tips"])
+    # Stored once; five tables are reduced by it.
+    keep = cut_lineage(qualifying_users(activity, min_actions))
     return {name: keep_users(df, keep) for name, df in tables.items()}
 
 
@@ -57,5 +60,5 @@ def reactivated_users(activity: DataFrame, cutoff: date, idle_days: int) -> Data
 def drop_reactivated(tables: Tables, cutoff: date, idle_days: int) -> Tables:
     """All tables without the reactivated users."""
     activity = user_activity(tables["reviews"], tables["tips"])
-    gone = reactivated_users(activity, cutoff, idle_days)
+    gone = cut_lineage(reactivated_users(activity, cutoff, idle_days))
     return {name: drop_users(df, gone) for name, df in tables.items()}

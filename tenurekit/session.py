@@ -36,7 +36,10 @@ def shared_folder(spark: SparkSession) -> str:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="tenurekit-")
         context.setCheckpointDir(folder)
-    return context.getCheckpointDir()
+    folder = context.getCheckpointDir()
+    if folder.startswith("file:") and not context.master.startswith("local"):
+        raise RuntimeError(f"{folder} is a folder of one machine; executors cannot share it")
+    return folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -14,6 +14,7 @@ from tenurekit.columns import COMPLIMENTS, SINCE
 from tenurekit.functions.expressions import whole_number
 from tenurekit.operators.cleaning import require_key
 from tenurekit.operators.numbering import number_rows
+from tenurekit.session import cut_lineage
 
 # Fields of the input files, in file order.
 BUSINESS_FIELDS = (
@@ -144,9 +145,12 @@ def user_elite_years(users: DataFrame) -> DataFrame:
 def load_tables(
     spark: SparkSession, paths: dict[str, str], category: str
 ) -> dict[str, DataFrame]:
-    """All five tables from the four files (``business``, ``user``, ``review``, ``tip``)."""
-    businesses = scan_businesses(spark, paths["business"], category)
-    users = require_key(scan_users(spark, paths["user"]))
+    """All five tables from the four files (``business``, ``user``, ``review``, ``tip``).
+
+    Businesses and users are stored once: two and three tables come from them.
+    """
+    businesses = cut_lineage(scan_businesses(spark, paths["business"], category))
+    users = cut_lineage(require_key(scan_users(spark, paths["user"])))
     return {
         "users": users.drop("friends_json", "elite_json"),
         "user_friends": user_friends(users),
