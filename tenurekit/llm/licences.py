@@ -45,6 +45,8 @@ TEMPLATES = (
     ("Proprietary", "All rights reserved."),
     ("Unlicense", "Released into the public domain under the Unlicense."),
 )
+#: Words that say little; they only order the choice of anchors.
+EVERYDAY = frozenset("a all and by for in into is of on the this to under work".split())
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -66,15 +68,19 @@ def template_weights(templates: tuple[tuple[str, str], ...] = TEMPLATES) -> tupl
 
 
 def anchor_terms(vectors: dict[str, dict[str, float]], least: float) -> list[str]:
-    """Terms of which every statement within the least cosine of a template holds one."""
+    """Terms of which every statement within the least cosine of a template holds one.
+
+    A statement that shares only terms with a summed square below ``least ** 2`` stays below the least
+    cosine, so such terms may be left out: everyday words first, then light ones.
+    """
     found: set[str] = set()
     for weights in vectors.values():
-        left = 1.0
-        for term, weight in sorted(weights.items(), key=lambda x: (-x[1], x[0])):
-            if left < 0.99 * least * least:
-                break
-            found.add(term)
-            left -= weight * weight
+        left_out = 0.0
+        for term, weight in sorted(weights.items(), key=lambda x: (x[0] not in EVERYDAY, x[1], x[0])):
+            if left_out + weight * weight < 0.99 * least * least:
+                left_out += weight * weight
+            else:
+                found.add(term)
     return sorted(found)
 
 
