@@ -1,7 +1,6 @@
 import hashlib
 import random
 import re
-import sys
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -19,7 +18,6 @@ from tenurekit.llm.words import ALPHANUMERIC, SPACED, word_hashes
 from tenurekit.llm import words as w
 from pyspark.sql import functions as F
 
-sys.path.insert(0, "/root/repo/tools")
 MEDIUM = "/root/testdata/sf0.01"
 
 
