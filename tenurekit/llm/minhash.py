@@ -39,8 +39,8 @@ PERCENT = 75
 BANDS = 40
 ROWS = 4
 SKETCH_WORDS = 16
-#: Odd sketches that differ in more bits are of sets less than about 0.5 alike; at 0.75 the count
-#: lies six standard deviations below.
+#: Odd sketches that differ in more bits are of sets less than about 0.5 alike; at 0.75 the count lies
+#: about five standard deviations below (measured: 11.8 bits).
 MOST_BITS = 137
 
 #: Nodes of one block where nodes of a bucket meet in blocks.
