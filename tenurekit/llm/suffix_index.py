@@ -218,7 +218,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
         found = index.add(every.filter(F.col("batch") == b).select("name"))
         matched = found if matched is None else matched.unionByName(found)
     index.close(spark)
-    suspects, _ = stored(every.join(matched.distinct(), "name", "left_semi").select("doc_key", "name", "place", "print"), "suspects")
+    # Stored first, so that the side with the hot names can be split.
+    matched, _ = stored(matched.distinct(), "matched")
+    suspects, _ = stored(every.join(matched, "name", "left_semi").select("doc_key", "name", "place", "print"), "suspects")
     drop(spark, every_path)
 
     shape = F.col("place").bitwiseAND(F.lit((1 << 20) - 1)).alias("shape")
