@@ -3,16 +3,20 @@
 Only DataFrame functions run here. A text is cut into statements (lines and sentences). The weights of
 template terms give, for a given least cosine, a small set of anchor terms without which no statement can
 reach it (by the Cauchy-Schwarz inequality), so one pattern picks the statements that are scored at all.
-Scoring stays inside the row: there is no join or shuffle of texts. Files without a statement of their
+Beside them whole texts and runs of up to ``RUN`` paragraphs, line breaks and comment marks joined, are
+compared with whole licences, headers and titles, again only where an anchor stands, and SPDX lines are read.
+Scoring stays inside the row: there is no join or shuffle of texts. Files without a licence of their
 own take the licence of the licence files in the nearest directory above them, by a join of directories.
 
-Defined cases: null and empty texts have no licence of their own; several statements give the best one,
-ties the name last in order; several licence files of a directory likewise; null paths lie in the root
+Defined cases: null and empty texts have no licence of their own; several finds give the best one,
+ties the name last in order, but a bare reservation of rights (``Proprietary``) counts only where no whole
+licence, header or SPDX line is found, since licences quote it; several licence files of a directory likewise; null paths lie in the root
 directory and inherit from it; repeated rows are judged each on its own; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -21,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenurekit.llm.common import stored
+from tenurekit.llm.licence_templates import SPDX, WHOLE
 
 LEAST_COSINE = 0.7
 DIGITS = 6
@@ -47,6 +52,26 @@ TEMPLATES = (
 )
 #: Words that say little; they only order the choice of anchors.
 EVERYDAY = frozenset("a all and by for in into is of on the this to under work".split())
+#: Words of prose; they have no weight in whole licences.
+PROSE = EVERYDAY | frozenset(
+    "an any are as at be been but can do does each either even from has have if it its may more must no not one only other "
+    "or our out s shall should so such than that their them then these they those use used was we were what when where which "
+    "who will with within without would you your see copy".split()
+)
+#: Further terms of many texts, less fit as anchors; they do have weight.
+FREQUENT = PROSE | frozenset(
+    "0 1 2 3 4 19 29 1991 1999 2004 2007 january february june november action application author authors code commercial "
+    "conditions copies covered creative distribute distributed domain file following form free general including "
+    "international library list mean merge notice option product program provided public related rights source version "
+    "view visit works write zero".split()
+)
+#: Paragraphs that a header or a short licence may run over.
+RUN = 8
+_MARK = "[ \\t]*(?:#|//|;|--|%)"
+#: A marked line before one without a mark ends a comment.
+_COMMENT_END = f"(\\n{_MARK}[^\\n]*)\\n(?!{_MARK})"
+_BLANK = "\\n[^a-z0-9\\n]*(?=\\n)"
+_SPDX_LINE = "spdx-license-identifier:[ \\t]*([a-z0-9.+() \\t-]+)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -67,16 +92,16 @@ def template_weights(templates: tuple[tuple[str, str], ...] = TEMPLATES) -> tupl
     return inverse, math.log(1 + len(documents)) + 1, vectors
 
 
-def anchor_terms(vectors: dict[str, dict[str, float]], least: float) -> list[str]:
+def anchor_terms(vectors: dict, least: float, rank=lambda term, weight: (term not in EVERYDAY, weight)) -> list[str]:
     """Terms of which every statement within the least cosine of a template holds one.
 
     A statement that shares only terms with a summed square below ``least ** 2`` stays below the least
-    cosine, so such terms may be left out: everyday words first, then light ones.
+    cosine, so such terms may be left out, by rank: everyday words first, then light ones.
     """
     found: set[str] = set()
     for weights in vectors.values():
         left_out = 0.0
-        for term, weight in sorted(weights.items(), key=lambda x: (x[0] not in EVERYDAY, x[1], x[0])):
+        for term, weight in sorted(weights.items(), key=lambda x: (rank(*x), x[0])):
             if left_out + weight * weight < 0.99 * least * least:
                 left_out += weight * weight
             else:
@@ -119,11 +144,114 @@ def _statement_licence(statement: Column, templates: tuple[tuple[str, str], ...]
     return F.array_max(F.array(*scores))
 
 
+def whole_weights(whole: tuple[tuple[str, str], ...] = WHOLE) -> tuple[dict[str, float], float, list[dict[str, float]]]:
+    """As ``template_weights``, for texts of which several may share a name, without words of prose."""
+    inverse, other, vectors = template_weights(tuple((str(k), " ".join(t for t in _terms(text) if t not in PROSE)) for k, (_, text) in enumerate(whole)))
+    return inverse, other, [vectors[str(k)] for k in range(len(whole))]
+
+
+def whole_rank(term: str, weight: float) -> float:
+    """Order in which terms of whole licences are left out as anchors: light ones first, frequent ones sooner."""
+    return weight * weight / (10 if term in FREQUENT else 1)
+
+
+def _let(value: Column, then) -> Column:
+    """``then(value)``, with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _one_of(terms: list[str]) -> str:
+    """Pattern of a text that holds one of the terms, by first letters."""
+    by_first: dict[str, list[str]] = {}
+    for term in terms:
+        by_first.setdefault(term[0], []).append(term[1:])
+    return "(^|[^a-z0-9])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(by_first.items())) + ")([^a-z0-9]|$)"
+
+
+def _whole_licence(unit: Column, whole: tuple[tuple[str, str], ...]) -> Column:
+    """The best (score, licence) of a joined run of paragraphs, in lower case, that holds an anchor."""
+    inverse, other, vectors = whole_weights(whole)
+    places: dict[str, list[dict]] = {t: [] for t in inverse}
+    for k, weights in enumerate(vectors):
+        for t, w in weights.items():
+            places[t].append({"k": k, "w": w * inverse[t]})
+    known = F.from_json(
+        F.lit(json.dumps({t: {"idf": inverse[t], "at": at} for t, at in places.items()})),
+        "map<string, struct<idf: double, at: array<struct<k: int, w: double>>>>",
+    )
+    words = F.sort_array(F.filter(F.regexp_extract_all(unit, F.lit("([a-z0-9]+)"), F.lit(1)), lambda w: ~w.isin(*sorted(PROSE))))
+
+    def entries(sorted_words: Column, distinct: Column) -> Column:
+        firsts = F.transform(distinct, lambda w: F.array_position(sorted_words, w))
+        after = lambda at, i: F.coalesce(F.get(at, i + 1), F.size(sorted_words) + F.lit(1))
+        return _let(
+            firsts,
+            lambda at: F.transform(
+                distinct, lambda w, i: F.struct((after(at, i) - F.get(at, i)).cast("double").alias("n"), F.when(w.isin(*inverse), F.try_element_at(known, w)).alias("found"))
+            ),
+        )
+
+    def best(found: Column) -> Column:
+        norm = F.sqrt(F.aggregate(found, F.lit(0.0), lambda a, e: a + F.pow(e["n"] * F.coalesce(e["found"]["idf"], F.lit(other)), F.lit(2.0))))
+        hits = F.flatten(
+            F.transform(
+                F.filter(found, lambda e: e["found"].isNotNull()),
+                lambda e: F.transform(e["found"]["at"], lambda a: F.struct(a["k"].alias("k"), (a["w"] * e["n"]).alias("w"))),
+            )
+        )
+        names = F.array(*(F.lit(name) for name, _ in whole))
+
+        def scores(hit: Column, size: Column) -> Column:
+            dot = lambda k: F.aggregate(F.filter(hit, lambda h: h["k"] == k), F.lit(0.0), lambda a, h: a + h["w"])
+            return F.array_max(F.transform(names, lambda name, k: F.struct(F.round(dot(k) / size, DIGITS).alias("score"), name.alias("licence"))))
+
+        return _let(hits, lambda hit: _let(norm, lambda size: scores(hit, size)))
+
+    return _let(words, lambda ws: _let(F.array_distinct(ws), lambda ds: _let(entries(ws, ds), best)))
+
+
+def _units(low: Column, pattern: str) -> Column:
+    """The whole text and its runs of paragraphs that hold an anchor, each joined."""
+    lines = F.concat(F.lit("\n"), F.translate(low, "\r", ""))
+    pieces = F.filter(F.split(F.regexp_replace(lines, _COMMENT_END, "$1\n\n"), _BLANK), lambda p: p.rlike("[a-z0-9]"))
+
+    def runs(parts: Column, anchored: Column) -> Column:
+        of = lambda i: F.transform(
+            F.filter(F.sequence(F.lit(1), F.least(F.lit(RUN), F.size(parts) - i)), lambda n: F.exists(F.slice(anchored, i + 1, n), lambda a: a)),
+            lambda n: F.array_join(F.slice(parts, i + 1, n), " "),
+        )
+        return F.flatten(F.transform(parts, lambda _, i: of(i)))
+
+    found = _let(pieces, lambda parts: _let(F.transform(parts, lambda p: p.rlike(pattern)), lambda anchored: runs(parts, anchored)))
+    return F.array_distinct(F.concat(F.array(low), found))
+
+
+def whole_licence(low: Column, least: float = LEAST_COSINE, whole: tuple[tuple[str, str], ...] = WHOLE) -> Column:
+    """The best (score, licence) of the SPDX lines, headers and the whole of a text in lower case, or null."""
+    vectors = whole_weights(whole)[2]
+    pattern = _one_of(anchor_terms(dict(enumerate(vectors)), least, whole_rank))
+    scored = F.filter(F.transform(_units(low, pattern), lambda u: _whole_licence(u, whole)), lambda x: x["score"] >= least)
+    names = F.flatten(F.transform(F.regexp_extract_all(low, F.lit(_SPDX_LINE), F.lit(1)), lambda line: F.split(line, "[^a-z0-9.+-]+")))
+    spdx = F.filter(
+        F.transform(names, lambda x: F.struct(F.lit(1.0).alias("score"), F.try_element_at(F.create_map(*(F.lit(y) for pair in SPDX.items() for y in pair)), x).alias("licence"))),
+        lambda x: x["licence"].isNotNull(),
+    )
+    by_line = F.when(low.contains("spdx-license-identifier:"), F.array_max(spdx))
+    return F.coalesce(by_line, F.when(low.rlike(pattern), F.array_max(scored)))
+
+
 def own_licence(text: Column, least: float = LEAST_COSINE, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> Column:
-    """The best licence statement of a whole text as (score, licence), null if none reaches the least cosine."""
+    """The best licence of a text as (score, licence), null if nothing in it reaches the least cosine."""
+    low = _lowered(F.coalesce(text, F.lit("")))
+    both = F.struct(whole_licence(low, least).alias("whole"), _stated_licence(low, least, templates).alias("stated"))
+    bare = lambda x: x["whole"].isNotNull() & (x["stated"]["licence"] == "Proprietary")
+    return _let(both, lambda x: F.when(bare(x), x["whole"]).otherwise(F.greatest(x["whole"], x["stated"])))
+
+
+def _stated_licence(low: Column, least: float, templates: tuple[tuple[str, str], ...]) -> Column:
+    """The best statement of a text in lower case, null if none reaches the least cosine."""
     anchors = "|".join(anchor_terms(template_weights(templates)[2], least))
     pattern = f"(^|[^a-z0-9])({anchors})([^a-z0-9]|$)"
-    low = _lowered(F.coalesce(text, F.lit("")))
     statements = F.filter(F.split(F.regexp_replace(low, "([.!?;]) +", "$1\n"), "\n"), lambda s: s.rlike(pattern))
     found = F.filter(F.transform(statements, lambda s: _statement_licence(s, templates)), lambda x: x["score"] >= least)
     return F.when(low.rlike(pattern), F.array_max(found))

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -10,7 +11,7 @@ import corpus_pipeline
 from conftest import SMALL
 from helpers import ODD_TEXTS, no_documents, odd_documents
 from tenurekit.llm import decontamination as dc
-from tenurekit.llm import language, licences, quality
+from tenurekit.llm import language, licence_templates, licences, quality
 from tenurekit.llm import personal_data as pd_
 from tenurekit.llm.common import held_out
 from tenurekit.llm.queries import QUERIES
@@ -279,6 +280,46 @@ def test_licence_query_runs_no_python(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def wrapped(text, mark="", width=70):
+    paragraphs = ["\n".join(mark + x for x in textwrap.wrap(p, width - len(mark))) for p in re.split(r"\n\s*\n", text)]
+    return f"\n{mark}\n".join(paragraphs)
+
+
+def test_whole_headers_and_licence_files(spark):
+    whole = defaultdict(list)
+    for name, text in licence_templates.WHOLE:
+        whole[name].append(text)
+    gpl3, apache = whole["GPL-3.0"], whole["Apache-2.0"]
+    foundation = next(t for t in apache if t.startswith("Licensed to the Apache Software Foundation"))
+    code = "\nimport os\n\n\ndef f(x):\n    return os.path.join(x, 'y')\n"
+    holder = "Copyright (c) 2021, Jane Doe\nAll rights reserved.\n\n"
+    texts = {
+        "GPL-3.0": [wrapped(gpl3[2], "# ") + code, wrapped(gpl3[1], " * "), gpl3[0], "  GNU GENERAL PUBLIC LICENSE\n     Version 3\n\nsome words that follow"],
+        "Apache-2.0": [wrapped(foundation, "// ") + code, apache[0], "\n".join(apache[0].splitlines()[:12]), wrapped(apache[1], "# ", 60)],
+        "MIT": [wrapped(whole["MIT"][0]), "The MIT License (MIT)\r\n\r\n" + holder + whole["MIT"][0].replace("\n", "\r\n"), "// SPDX-License-Identifier: MIT\nint x;", "/* SPDX-License-Identifier: MIT */"],
+        "BSD-3-Clause": [holder + wrapped(whole["BSD-3-Clause"][0], width=50), "# " + holder + wrapped(whole["BSD-3-Clause"][0], "# ") + code],
+        "BSD-2-Clause": [holder + whole["BSD-2-Clause"][0]],
+        "ISC": [wrapped(whole["ISC"][0], "; ") + code],
+        "LGPL-2.1": [whole["LGPL-2.1"][0], wrapped(whole["LGPL-2.1"][1], "-- ") + code],
+        "GPL-2.0": [whole["GPL-2.0"][0], "# SPDX-License-Identifier: GPL-2.0-or-later\n" + code],
+        "Unlicense": [whole["Unlicense"][0]],
+        "MPL-2.0": [whole["MPL-2.0"][0], wrapped(whole["MPL-2.0"][1], "# ") + code],
+        "Proprietary": [holder + code],
+        None: [code, "SPDX-License-Identifier: Unheard-Of-1.0", "The software was sold with a warranty and a copy of the license."],
+    }
+    rows = [(k, f"d{k}/x", t, name) for k, (name, t) in enumerate((n, t) for n, ts in texts.items() for t in ts)]
+    files = spark.createDataFrame(rows, "file_id long, path string, text string, wanted string")
+    got = {r["file_id"]: r["licence"] for r in licences.scan(files.drop("wanted")).collect()}
+    assert {(k, got[k]) for k, *_ in rows} == {(k, name) for k, _, _, name in rows}
+
+
+def test_anchors_are_needed_for_whole_licences():
+    vectors = licences.whole_weights()[2]
+    anchors = set(licences.anchor_terms(dict(enumerate(vectors)), licences.LEAST_COSINE, licences.whole_rank))
+    for weights in vectors:
+        assert sum(v * v for t, v in weights.items() if t not in anchors) < licences.LEAST_COSINE**2
+
+
 # --- pipeline
 
 
