@@ -4,8 +4,9 @@ Base spans follow fixed patterns and always stay. Beside them, looser patterns p
 secrets, numbers that just miss a check, addresses spelled out. Regular expressions, gazetteers, context
 and checks vote on every proposed span, for, against or not at all. Expectation maximisation over the
 counts of vote patterns, which are few however large the corpus, estimates how reliable each labeler is
-for each kind. Its posteriors train a logistic classifier of span features on a bounded sample, and that
-classifier decides which proposed spans are added.
+for each kind. Its posteriors train a logistic classifier of span features, and that classifier decides which
+proposed spans are added. It learns from bounded samples of the base and of the proposed spans of each kind,
+weighted to their numbers; a kind with fewer than ``LEAST_ROWS`` spans decides by its posteriors instead.
 
 All patterns run in time proportional to the text. Positions are code points, ends exclusive.
 
@@ -33,7 +34,9 @@ from tenurekit.llm.common import id_and_text, stored
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
+#: Most spans learnt from, of each kind, base and proposed ones apart.
 SAMPLE_ROWS = 50_000
+LEAST_ROWS = 10
 MASKS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "secret": "<SECRET>"}
 Span = tuple[int, int, int]
 
@@ -207,22 +210,33 @@ def reliabilities(codes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> t
 
 @dataclasses.dataclass
 class SpanModel:
-    """Weights of the span classifier, one row per kind, and the reliabilities behind it."""
+    """Weights of the span classifier, one row per kind, and the reliabilities behind it.
+
+    Kinds without a row of weights (nan) decide by the posterior of their votes.
+    """
 
     weights: np.ndarray
     tables: dict[str, np.ndarray]
+    priors: dict[str, float] = dataclasses.field(default_factory=dict)
 
-    def keep(self, kind: int, features: list[float]) -> bool:
-        return float(self.weights[kind] @ np.array([*features, 1.0])) > 0
+    def keep(self, kind: int, features: list[float], votes: int) -> bool:
+        if not np.isnan(self.weights[kind, 0]):
+            return float(self.weights[kind] @ np.array([*features, 1.0])) > 0
+        table, prior = self.tables.get(KINDS[kind]), self.priors.get(KINDS[kind], 0.5)
+        cast = _decoded(np.array([votes]))[0]
+        if table is None:
+            return int(cast.sum()) > 0
+        log = np.log([1 - prior, prior]) + sum(np.log(table[k][:, v + 1]) for k, v in enumerate(cast))
+        return bool(log[1] > log[0])
 
 
-def _regression(x: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Penalised logistic weights for soft labels, by Newton steps."""
+def _regression(x: np.ndarray, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Penalised logistic weights for soft labels of weighted rows, by Newton steps."""
     x = np.column_stack([x, np.ones(len(x))])
     beta = np.zeros(x.shape[1])
     for _ in range(50):
         q = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve((x * (q * (1 - q) + 1e-3)[:, None]).T @ x + np.eye(len(beta)), x.T @ (q - p) + beta)
+        step = np.linalg.solve((x * (weight * (q * (1 - q) + 1e-3))[:, None]).T @ x + np.eye(len(beta)), x.T @ (weight * (q - p)) + beta)
         beta -= step
         if np.abs(step).max() < 1e-9:
             break
@@ -257,28 +271,32 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def fit_spans(found: DataFrame, sample_rows: int = SAMPLE_ROWS) -> SpanModel:
-    """Reliabilities from the vote patterns of all spans; the classifier from a sample by hash."""
+    """Reliabilities from the vote patterns of all spans; the classifier from samples by hash, one per kind and base."""
     spans = found.select("doc_id", F.explode("found").alias("s")).select("doc_id", "s.*")
-    patterns = spans.groupBy("kind", "votes").agg(F.count("*").alias("n")).toArrow().to_pandas()
-    sample = spans.withColumn("order", F.xxhash64("doc_id", "start", "kind")).orderBy("order").limit(sample_rows)
-    sample = sample.select("kind", "votes", "x").toArrow().to_pandas()
-    weights = np.zeros((len(KINDS), 9))
-    weights[:, -1] = -1.0
-    tables = {}
+    patterns = spans.groupBy("kind", "votes", "base").agg(F.count("*").alias("n")).toArrow().to_pandas()
+    ordered = spans.withColumn("order", F.xxhash64("doc_id", "start", "kind"))
+    weights = np.full((len(KINDS), 9), np.nan)
+    tables, priors = {}, {}
     for kind, name in enumerate(KINDS):
-        own = patterns[patterns.kind == kind].sort_values("votes")
+        both = patterns[patterns.kind == kind]
+        own = both.groupby("votes", as_index=False).n.sum().sort_values("votes")
         if own.empty:
             continue
-        posterior, tables[name], _ = reliabilities(own.votes.to_numpy(), own.n.to_numpy(dtype=float))
+        posterior, tables[name], priors[name] = reliabilities(own.votes.to_numpy(), own.n.to_numpy(dtype=float))
         of = dict(zip(own.votes, posterior, strict=True))
-        rows = sample[sample.kind == kind]
-        if len(rows):
-            weights[kind] = _regression(np.stack(rows.x.to_list()).astype(float), rows.votes.map(of).to_numpy(dtype=float))
-    return SpanModel(weights, tables)
+        x, p, weight = [], [], []
+        for base, count in both.groupby("base").n.sum().items():
+            rows = ordered.filter((F.col("kind") == kind) & (F.col("base") == bool(base))).orderBy("order").limit(sample_rows).select("votes", "x").toArrow()
+            x.append(np.array(rows["x"].combine_chunks().flatten()).reshape(-1, 8).astype(float))
+            p.append(np.array([of[v] for v in rows["votes"].to_pylist()]))
+            weight.append(np.full(rows.num_rows, count / rows.num_rows))
+        if own.n.sum() >= LEAST_ROWS:
+            weights[kind] = _regression(np.concatenate(x), np.concatenate(p), np.concatenate(weight))
+    return SpanModel(weights, tables, priors)
 
 
 def _kept(model: SpanModel, found: list[dict]) -> list[Span]:
-    return sorted((s["start"], s["kind"], s["end"]) for s in found if s["base"] or model.keep(s["kind"], s["x"]))
+    return sorted((s["start"], s["kind"], s["end"]) for s in found if s["base"] or model.keep(s["kind"], s["x"], s["votes"]))
 
 
 def _text_of(spans: list[Span]) -> str:

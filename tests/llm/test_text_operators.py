@@ -163,6 +163,16 @@ def test_secrets_are_added_and_masked(spark, medium):
     assert [r[0] for r in got] == ['ordinary words token = "<SECRET>" mail <EMAIL> <PHONE> end', None, ""]
 
 
+@pytest.mark.parametrize("rare", [3, 12])
+def test_rare_kinds_are_added_beside_a_hot_one(spark, rare):
+    # Far more emails than the sample has rows.
+    rows = [(k, " ".join(f"mail m{k}x{j}@host.example.com" for j in range(20))) for k in range(200)]
+    secrets = [(1000 + k, f'token = "{hashlib.sha1(str(k).encode()).hexdigest()}" end') for k in range(rare)]
+    docs = spark.createDataFrame(rows + secrets, "doc_id long, text string")
+    got = {r["doc_id"]: r["n_added"] for r in pd_.personal_data(docs, sample_rows=20).collect()}
+    assert [got[i] for i, _ in secrets] == [1] * rare
+
+
 def test_reliabilities_find_a_planted_truth():
     rng = np.random.default_rng(5)
     truth = rng.random(20_000) < 0.4
