@@ -46,30 +46,28 @@ _PIECES_SQL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens
 def shortest_pack_first(histogram: dict[int, int], limit: int = LIMIT) -> list[Pattern]:
     """Patterns of lengths, each with the number of sequences of that pattern.
 
-    ``open_at[r]`` holds patterns with ``r`` free ids. Lengths come longest first; as many pieces of a
-    length as there are sequences of the emptiest pattern are added to it at once.
+    ``open_at[r]`` holds patterns with ``r`` free ids. Lengths come longest first. A length goes to the open
+    patterns in rounds, emptiest first, as long as one has room for it: in a round each sequence takes one
+    piece, or as many as there are to each if that is more. New sequences open only for what is left then.
     """
     open_at: dict[int, list[Pattern]] = defaultdict(list)
     closed: list[Pattern] = []
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
-        grown: list[tuple[int, Pattern]] = []
-        for room in sorted((r for r in open_at if r >= length and open_at[r]), reverse=True):
-            while left and open_at[room]:
-                items, count = open_at[room].pop()
-                used = min(left, count)
-                if count > used:
-                    open_at[room].append((items, count - used))
-                times = 1
-                if used == left or not any(open_at[r] for r in open_at if r >= length):
-                    # The last pattern with room for this length may take several of them.
-                    times = max(1, min(room // length, left // used))
-                left -= used * times
-                grown.append((room - length * times, (items + (length,) * times, used)))
-            if not left:
-                break
-        for room, pattern in grown:
-            (open_at[room] if room else closed).append(pattern)
+        while left and (rooms := sorted((r for r in open_at if r >= length and open_at[r]), reverse=True)):
+            each = max(1, left // sum(count for r in rooms for _, count in open_at[r]))
+            grown: list[tuple[int, Pattern]] = []
+            for room in rooms:
+                while left and open_at[room]:
+                    items, count = open_at[room].pop()
+                    times = min(each, room // length, left)
+                    used = min(left // times, count)
+                    if count > used:
+                        open_at[room].append((items, count - used))
+                    left -= used * times
+                    grown.append((room - length * times, (items + (length,) * times, used)))
+            for room, pattern in grown:
+                (open_at[room] if room else closed).append(pattern)
         if left:
             per = max(1, min(limit // length, left))
             full, rest = divmod(left, per)

@@ -105,6 +105,19 @@ def test_little_padding():
     assert sum(n for _, n in patterns) * LIMIT < 1.005 * lengths.sum()
 
 
+def test_one_dominant_length_fills_open_sequences():
+    histogram = {n: 10 for n in range(600, 901)} | {100: 10_000}
+    patterns = shortest_pack_first(histogram, 1024)
+    found = Counter()
+    for items, count in patterns:
+        assert sum(items) <= 1024 and count > 0
+        for x in items:
+            found[x] += count
+    assert found == Counter(histogram)
+    room = sum(10 * ((1024 - n) // 100) for n in range(600, 901))
+    assert sum(n for _, n in patterns) == 3010 + -(-(10_000 - room) // 10)
+
+
 @pytest.mark.parametrize("limit", [64, 1024])
 def test_pack(spark, library, limit):
     docs = odd_documents(spark).repartition(3)
