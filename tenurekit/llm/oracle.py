@@ -64,6 +64,85 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS
 FROM v JOIN least_of USING (vec_id) LEFT JOIN counts USING (vec_id)
 """
 
+_PART_ROUNDS = 4
+
+
+def _vector_codes() -> str:
+    """Codebooks by plain search, round after round."""
+    apart = "list_sum(list_transform(list_zip(parts.s, c.s), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = []
+    for k in range(_PART_ROUNDS + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (
+    SELECT r, parts.p, min(struct_pack(d := coalesce({apart}, 0), e := c.e)) AS best FROM parts JOIN c{k} c ON c.p = parts.p GROUP BY r, parts.p)""")
+        if k < _PART_ROUNDS:
+            steps.append(f"""m{k} AS (
+    SELECT p, e, i, CAST((t - ((t % n) + n) % n) // n AS BIGINT) AS x
+    FROM (SELECT parts.p, best.e AS e, i, sum(s[i]) AS t, count(*) AS n
+          FROM parts JOIN a{k} USING (r, p), (SELECT unnest(range(1, (SELECT max(len(s)) FROM parts) + 1)) AS i) GROUP BY ALL)),
+c{k + 1} AS MATERIALIZED (
+    SELECT p, e, coalesce(n.s, c.s) AS s FROM c{k} c LEFT JOIN (SELECT p, e, list(x ORDER BY i) AS s FROM m{k} GROUP BY p, e) n USING (p, e))""")
+    last = _PART_ROUNDS
+    return f"""
+WITH vectors AS (
+    SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label,
+           list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT r, p, v[p * len(v) // 4 + 1:(p + 1) * len(v) // 4] AS s FROM vectors, (SELECT unnest(range(4)) AS p)),
+c0 AS (SELECT p, r - 1 AS e, s FROM parts WHERE r <= 256),
+{", ".join(steps)},
+codes AS (
+    SELECT r, string_agg(lpad(lower(to_hex(best.e)), 2, '0'), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error
+    FROM a{last} GROUP BY r),
+books AS (
+    SELECT sha256(string_agg(CAST(s[i] AS VARCHAR), ',' ORDER BY p, e, i)) AS digest
+    FROM c{last}, (SELECT unnest(range(1, (SELECT max(len(s)) FROM parts) + 1)) AS i))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, digest AS codebooks_sha256
+FROM vectors JOIN codes USING (r), books
+"""
+
+
+VECTOR_CODES = _vector_codes()
+
+_TERMS = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+RANKED_SEARCH = f"""
+WITH docs AS (
+    SELECT r, doc_id, w, len(w) AS n
+    FROM (SELECT row_number() OVER () AS r, doc_id, {_TERMS.format(f"coalesce({_LOWER}, '')")} AS w FROM documents) WHERE len(w) > 0),
+size AS (SELECT count(*) AS n_docs, sum(n) AS n_words FROM docs),
+postings AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM docs) GROUP BY r, t),
+weights AS (
+    SELECT t, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight
+    FROM postings, size GROUP BY t),
+item_terms AS (
+    SELECT item_id, t, count(*) AS repeats
+    FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL), (SELECT unnest({_TERMS.format(_LOWER)}) AS t) GROUP BY ALL),
+shares AS (
+    SELECT r, t, (1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + CAST((75 * n * n_docs) // n_words AS BIGINT))) AS share
+    FROM postings JOIN docs USING (r), size),
+scores AS (
+    SELECT item_id, r, CAST(sum(repeats * weight * share) AS BIGINT) AS score
+    FROM item_terms JOIN weights USING (t) JOIN shares USING (t) GROUP BY item_id, r)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+      FROM scores JOIN docs USING (r) WHERE score > 0) WHERE rank <= 10
+"""
+
+WORD_REPEATS = """
+WITH docs AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+windows AS (
+    SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS phrase
+    FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM docs WHERE len(w) >= 13)),
+earliest AS (SELECT phrase, min(doc_id) AS first_id FROM windows GROUP BY phrase HAVING count(*) > 1),
+gone AS (
+    SELECT r, list(DISTINCT p) AS places
+    FROM (SELECT r, unnest(range(i, i + 13)) AS p FROM windows JOIN earliest USING (phrase) WHERE first_id < doc_id) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(places), 0) AS BIGINT) AS n_removed,
+       sha256(CASE WHEN places IS NULL THEN array_to_string(w, ' ')
+              ELSE array_to_string(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda z: NOT list_contains(places, z[2])), lambda z: z[1]), ' ') END) AS kept_sha256
+FROM docs LEFT JOIN gone USING (r)
+"""
+
 #: Where a document lies in the tree of files, in SQL that both engines read.
 FILE_PATH = """concat(coalesce(source, 'none'), '/',
     CASE WHEN CAST(floor(doc_id / 20) AS BIGINT) % 1000 = 0 THEN ''

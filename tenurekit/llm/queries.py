@@ -11,6 +11,7 @@ from tenurekit.llm.common import table
 from tenurekit.llm.decontamination import contamination
 from tenurekit.llm.epsilon_join import near_vectors
 from tenurekit.llm.language import identify
+from tenurekit.llm.lexical_search import ranked_search
 from tenurekit.llm.licences import scan
 from tenurekit.llm.minhash import near_duplicates
 from tenurekit.llm.packing import pack
@@ -18,6 +19,8 @@ from tenurekit.llm.personal_data import personal_data
 from tenurekit.llm.quality import score_documents
 from tenurekit.llm.suffix_index import remove_repeats
 from tenurekit.llm.token_counts import token_counts
+from tenurekit.llm.vector_codes import compress
+from tenurekit.llm.word_repeats import remove_repeated_words
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,6 +29,9 @@ ORACLES: dict[str, str] = {
     "op6_near_duplicates": oracle.NEAR_DUPLICATES,
     "op8_licences": oracle.LICENCES,
     "op9_decontamination": oracle.DECONTAMINATION,
+    "op11_vector_codes": oracle.VECTOR_CODES,
+    "op12_lexical_search": oracle.RANKED_SEARCH,
+    "op13_word_repeats": oracle.WORD_REPEATS,
 }
 
 
@@ -84,3 +90,18 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_word_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_words(table(spark, sf_dir, "documents"))
