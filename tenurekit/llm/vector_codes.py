@@ -146,7 +146,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 def _needs_wide(most: float, m: int) -> bool:
     """Whether a scaled squared distance of components up to ``most`` could leave 62 bits."""
-    return (2 * (most * SCALE + 1)) ** 2 * m * m >= 2.0**62
+    return 2 * (most * SCALE + 1) * m >= 2.0**31
 
 
 def _added(old: np.ndarray | None, new: np.ndarray) -> np.ndarray:
