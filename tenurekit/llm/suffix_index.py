@@ -121,7 +121,7 @@ class SuffixIndex:
         array, path = stored(names.groupBy("name").agg(F.count("*").alias("n")).sortWithinPartitions("name"), "suffix-array")
         found = array.filter("n > 1").select("name")
         for _, level, _ in self.levels:
-            found = found.unionByName(array.select("name").join(level.select("name"), "name"))
+            found = found.unionByName(array.select("name").join(level.select("name").hint("merge"), "name"))
         matched, _ = stored(found.distinct(), "matched-names")
         self.levels.append((max(LEVEL_ROWS, array.count()).bit_length(), array.select("name"), path))
         while len(self.levels) > 1 and self.levels[-1][0] >= self.levels[-2][0]:
@@ -158,7 +158,7 @@ def _contexts(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
 
     lists = places.groupBy("doc_key").agg(F.collect_set(F.struct("name", "salt", "salts", "place", "whole")).alias("rows"))
     shape = "name long, salt int, salts int, doc_key long, place long, whole boolean, bytes binary"
-    return docs.select("text", "doc_key").join(lists, "doc_key").select("text", "rows", "doc_key").mapInArrow(run, shape)
+    return docs.select("text", "doc_key").join(lists.hint("merge"), "doc_key").select("text", "rows", "doc_key").mapInArrow(run, shape)
 
 
 def _group_findings(rows: list[dict], length: int) -> Iterator[tuple[int, int, int, int | None]]:
@@ -218,27 +218,28 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
         found = index.add(every.filter(F.col("batch") == b).select("name"))
         matched = found if matched is None else matched.unionByName(found)
     index.close(spark)
-    # Stored first, so that the side with the hot names can be split.
+    # Stored first, so that the side with the hot names can be split. Tables of names and prints grow with
+    # the corpus, so none of these joins may turn into a broadcast.
     matched, _ = stored(matched.distinct(), "matched")
-    suspects, _ = stored(every.join(matched, "name", "left_semi").select("doc_key", "name", "place", "print"), "suspects")
+    suspects, _ = stored(every.join(matched.hint("merge"), "name", "left_semi").select("doc_key", "name", "place", "print"), "suspects")
     drop(spark, every_path)
 
     shape = F.col("place").bitwiseAND(F.lit((1 << 20) - 1)).alias("shape")
     around, _ = stored(
         suspects.groupBy("name", shape, "print").agg(F.count("*").alias("n"), F.min(F.struct("doc_key", "place")).alias("one")), "contexts"
     )
-    whole = suspects.withColumn("shape", shape).join(around.filter("n > 1").select("name", "shape", "print"), ["name", "shape", "print"], "left_semi")
+    whole = suspects.withColumn("shape", shape).join(around.filter("n > 1").select("name", "shape", "print").hint("merge"), ["name", "shape", "print"], "left_semi")
     start, more = F.shiftright("place", 20), F.col("place").bitwiseAND(F.lit(1023))
     spans = whole.select("doc_key", start.alias("first"), (start + more).alias("last")).distinct()
 
     # Places that equal no other as a whole, with one of each that does, where they share a name.
     open_names = around.filter("n = 1").groupBy("name").agg(F.count("*").alias("open"))
-    places = around.join(open_names, "name").select("name", "one.doc_key", "one.place", (F.col("n") > 1).alias("whole"))
+    places = around.join(open_names.hint("merge"), "name").select("name", "one.doc_key", "one.place", (F.col("n") > 1).alias("whole"))
     sizes = places.groupBy("name").agg(F.ceil(F.count("*") / group).cast("int").alias("salts"), F.count("*").alias("size")).filter("size > 1")
-    salted = places.join(sizes.select("name", "salts"), "name").withColumn("salt", F.pmod(F.xxhash64("doc_key", "place"), F.col("salts")).cast("int"))
+    salted = places.join(sizes.select("name", "salts").hint("merge"), "name").withColumn("salt", F.pmod(F.xxhash64("doc_key", "place"), F.col("salts")).cast("int"))
     found, _ = stored(_findings(_contexts(docs, salted, length), length), "findings")
     strings = found.filter("print IS NOT NULL")
-    again = strings.join(strings.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print"), "print", "left_semi")
+    again = strings.join(strings.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print").hint("merge"), "print", "left_semi")
     parts = [spans, found.filter("print IS NULL").select("doc_key", "first", "last"), again.select("doc_key", "first", "last")]
     union = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return union.select("doc_key", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
@@ -280,6 +281,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
     keyed = _keyed(docs)
     spans, _ = stored(repeated_spans(keyed, length, batches, group), "repeated-spans")
     lists = spans.distinct().groupBy("doc_key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return keyed.join(lists, "doc_key", "left").select("doc_id", "text", "spans").mapInArrow(
+    return keyed.join(lists.hint("merge"), "doc_key", "left").select("doc_id", "text", "spans").mapInArrow(
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
