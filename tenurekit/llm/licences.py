@@ -3,8 +3,10 @@
 Only DataFrame functions run here. A text is cut into statements (lines and sentences). The weights of
 template terms give, for a given least cosine, a small set of anchor terms without which no statement can
 reach it (by the Cauchy-Schwarz inequality), so one pattern picks the statements that are scored at all.
-Beside them whole texts and runs of up to ``RUN`` paragraphs, line breaks and comment marks joined, are
-compared with whole licences, headers and titles, again only where an anchor stands, and SPDX lines are read.
+Beside them whole texts, runs of up to ``RUN`` paragraphs, and all between the first and the last paragraph
+with an anchor, line breaks and comment marks joined, are compared with whole licences, headers and titles,
+again only where an anchor stands, and SPDX lines are read. What holds too few template words to reach the
+least cosine, by the number of its words alone, is not scored; the rest is scored in one pass over sorted words.
 Scoring stays inside the row: there is no join or shuffle of texts. Files without a licence of their
 own take the licence of the licence files in the nearest directory above them, by a join of directories.
 
@@ -113,35 +115,67 @@ def _lowered(text: Column) -> Column:
     return F.translate(text, _UPPER, _LOWER)
 
 
-def _lookup(values: dict[str, float], term: Column, default: float) -> Column:
-    pairs = [F.lit(x) for t, v in values.items() for x in (t, v)]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), term), F.lit(default))
+def _let(value: Column, then) -> Column:
+    """``then(value)``, with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def _adding(values: dict[str, float]):
-    return lambda total, word: total + _lookup(values, word, 0.0)
+def _counted(words: Column) -> Column:
+    """(w, n) of each different one of sorted words, in one pass."""
+    firsts = F.array_compact(F.transform(words, lambda w, i: F.when((i == 0) | (w != F.get(words, i - 1)), i)))
+    count = lambda at, p, j: (F.coalesce(F.get(at, j + 1), F.size(words)) - p).cast("double")
+    return _let(firsts, lambda at: F.transform(at, lambda p, j: F.struct(F.get(words, p).alias("w"), count(at, p, j).alias("n"))))
 
 
-def _statement_licence(statement: Column, templates: tuple[tuple[str, str], ...]) -> Column:
-    """The best (score, licence) of one statement, in lower case."""
-    inverse, other, vectors = template_weights(templates)
-    words = F.sort_array(F.regexp_extract_all(statement, F.lit("([a-z0-9]+)"), F.lit(1)))
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit("").alias("last"), F.lit(0.0).alias("run"))
+def _squares(counted: Column) -> Column:
+    return F.aggregate(counted, F.lit(0.0), lambda a, e: a + e["n"] * e["n"])
+
 
-    def step(state: Column, word: Column) -> Column:
-        weight = _lookup(inverse, word, other)
-        run = F.when(word == state["last"], state["run"] + 1).otherwise(F.lit(1.0))
-        before = F.when(word == state["last"], state["run"]).otherwise(F.lit(0.0))
-        gain = weight * weight * (run * run - before * before)
-        return F.struct((state["sum"] + gain).alias("sum"), word.alias("last"), run.alias("run"))
+def _best_match(words: Column, weights: tuple[dict[str, float], float, list[dict[str, float]]], names: list[str], least: float) -> Column:
+    """The best (score, licence) of words in any order, null where none can reach the least cosine.
 
-    norm = F.aggregate(words, start, step, lambda state: F.sqrt(state["sum"]))
-    scores = []
-    for name, weights in vectors.items():
-        product = {t: w * inverse[t] for t, w in weights.items()}
-        dot = F.aggregate(words, F.lit(0.0), _adding(product))
-        scores.append(F.struct(F.round(dot / norm, DIGITS).alias("score"), F.lit(name).alias("licence")))
-    return F.array_max(F.array(*scores))
+    The cosine is at most the share of template terms in the text's length. Where even the greatest weight
+    for each of these and one place for each other word stay below, no word is looked up.
+    """
+    inverse, other, vectors = weights
+    places: dict[str, list[dict]] = {t: [] for t in inverse}
+    for k, vector in enumerate(vectors):
+        for t, w in vector.items():
+            places[t].append({"k": k, "w": w * inverse[t]})
+    table = F.from_json(
+        F.lit(json.dumps({t: {"idf": inverse[t], "at": at} for t, at in places.items()})),
+        "map<string, struct<idf: double, at: array<struct<k: int, w: double>>>>",
+    )
+    ratio = least * least / (1 - least * least) * (other / max(inverse.values())) ** 2 * (1 - 1e-9)
+    licences = F.array(*(F.lit(name) for name in names))
+
+    def scored(found: Column, rest: Column) -> Column:
+        known = F.aggregate(found, F.lit(0.0), lambda a, e: a + F.pow(e["n"] * e["of"]["idf"], F.lit(2.0)))
+        norm = F.sqrt(known + rest * F.lit(other * other))
+        hits = F.flatten(F.transform(found, lambda e: F.transform(e["of"]["at"], lambda a: F.struct(a["k"].alias("k"), (a["w"] * e["n"]).alias("w")))))
+
+        def best(hit: Column, size: Column) -> Column:
+            dot = lambda k: F.aggregate(F.filter(hit, lambda h: h["k"] == k), F.lit(0.0), lambda a, h: a + h["w"])
+            return F.array_max(F.transform(licences, lambda name, k: F.struct(F.round(dot(k) / size, DIGITS).alias("score"), name.alias("licence"))))
+
+        return _let(hits, lambda hit: _let(norm, lambda size: best(hit, size)))
+
+    def among(ws: Column, known: Column, counted: Column) -> Column:
+        possible = _squares(counted) >= F.lit(ratio) * (F.size(ws) - F.size(known))
+        found = F.transform(counted, lambda e: F.struct(e["n"].alias("n"), F.try_element_at(table, e["w"]).alias("of")))
+        others = F.sort_array(F.filter(ws, lambda w: ~w.isin(*inverse)))
+        rest = _let(others, lambda x: _squares(_counted(x)))
+        return F.when(possible & (F.size(known) > 0), _let(found, lambda f: _let(rest, lambda r: scored(f, r))))
+
+    known_words = lambda ws: F.sort_array(F.filter(ws, lambda w: w.isin(*inverse)))
+    return _let(words, lambda ws: _let(known_words(ws), lambda known: _let(_counted(known), lambda counted: among(ws, known, counted))))
+
+
+def _statement_licence(statement: Column, least: float, templates: tuple[tuple[str, str], ...]) -> Column:
+    """The best (score, licence) of one statement, in lower case."""
+    inverse, other, vectors = template_weights(templates)
+    words = F.regexp_extract_all(statement, F.lit("([a-z0-9]+)"), F.lit(1))
+    return _best_match(words, (inverse, other, list(vectors.values())), list(vectors), least)
 
 
 def whole_weights(whole: tuple[tuple[str, str], ...] = WHOLE) -> tuple[dict[str, float], float, list[dict[str, float]]]:
@@ -155,11 +189,6 @@ def whole_rank(term: str, weight: float) -> float:
     return weight * weight / (10 if term in FREQUENT else 1)
 
 
-def _let(value: Column, then) -> Column:
-    """``then(value)``, with the value worked out once."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
 def _one_of(terms: list[str]) -> str:
     """Pattern of a text that holds one of the terms, by first letters."""
     by_first: dict[str, list[str]] = {}
@@ -168,50 +197,14 @@ def _one_of(terms: list[str]) -> str:
     return "(^|[^a-z0-9])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(by_first.items())) + ")([^a-z0-9]|$)"
 
 
-def _whole_licence(unit: Column, whole: tuple[tuple[str, str], ...]) -> Column:
-    """The best (score, licence) of a joined run of paragraphs, in lower case, that holds an anchor."""
-    inverse, other, vectors = whole_weights(whole)
-    places: dict[str, list[dict]] = {t: [] for t in inverse}
-    for k, weights in enumerate(vectors):
-        for t, w in weights.items():
-            places[t].append({"k": k, "w": w * inverse[t]})
-    known = F.from_json(
-        F.lit(json.dumps({t: {"idf": inverse[t], "at": at} for t, at in places.items()})),
-        "map<string, struct<idf: double, at: array<struct<k: int, w: double>>>>",
-    )
-    words = F.sort_array(F.filter(F.regexp_extract_all(unit, F.lit("([a-z0-9]+)"), F.lit(1)), lambda w: ~w.isin(*sorted(PROSE))))
-
-    def entries(sorted_words: Column, distinct: Column) -> Column:
-        firsts = F.transform(distinct, lambda w: F.array_position(sorted_words, w))
-        after = lambda at, i: F.coalesce(F.get(at, i + 1), F.size(sorted_words) + F.lit(1))
-        return _let(
-            firsts,
-            lambda at: F.transform(
-                distinct, lambda w, i: F.struct((after(at, i) - F.get(at, i)).cast("double").alias("n"), F.when(w.isin(*inverse), F.try_element_at(known, w)).alias("found"))
-            ),
-        )
-
-    def best(found: Column) -> Column:
-        norm = F.sqrt(F.aggregate(found, F.lit(0.0), lambda a, e: a + F.pow(e["n"] * F.coalesce(e["found"]["idf"], F.lit(other)), F.lit(2.0))))
-        hits = F.flatten(
-            F.transform(
-                F.filter(found, lambda e: e["found"].isNotNull()),
-                lambda e: F.transform(e["found"]["at"], lambda a: F.struct(a["k"].alias("k"), (a["w"] * e["n"]).alias("w"))),
-            )
-        )
-        names = F.array(*(F.lit(name) for name, _ in whole))
-
-        def scores(hit: Column, size: Column) -> Column:
-            dot = lambda k: F.aggregate(F.filter(hit, lambda h: h["k"] == k), F.lit(0.0), lambda a, h: a + h["w"])
-            return F.array_max(F.transform(names, lambda name, k: F.struct(F.round(dot(k) / size, DIGITS).alias("score"), name.alias("licence"))))
-
-        return _let(hits, lambda hit: _let(norm, lambda size: scores(hit, size)))
-
-    return _let(words, lambda ws: _let(F.array_distinct(ws), lambda ds: _let(entries(ws, ds), best)))
+def _whole_licence(unit: Column, least: float, whole: tuple[tuple[str, str], ...]) -> Column:
+    """The best (score, licence) of a joined run of paragraphs, in lower case."""
+    words = F.filter(F.regexp_extract_all(unit, F.lit("([a-z0-9]+)"), F.lit(1)), lambda w: ~w.isin(*sorted(PROSE)))
+    return _best_match(words, whole_weights(whole), [name for name, _ in whole], least)
 
 
 def _units(low: Column, pattern: str) -> Column:
-    """The whole text and its runs of paragraphs that hold an anchor, each joined."""
+    """The whole text, its runs of paragraphs that hold an anchor, and all from the first to the last of these, each joined."""
     lines = F.concat(F.lit("\n"), F.translate(low, "\r", ""))
     pieces = F.filter(F.split(F.regexp_replace(lines, _COMMENT_END, "$1\n\n"), _BLANK), lambda p: p.rlike("[a-z0-9]"))
 
@@ -220,17 +213,27 @@ def _units(low: Column, pattern: str) -> Column:
             F.filter(F.sequence(F.lit(1), F.least(F.lit(RUN), F.size(parts) - i)), lambda n: F.exists(F.slice(anchored, i + 1, n), lambda a: a)),
             lambda n: F.array_join(F.slice(parts, i + 1, n), " "),
         )
-        return F.flatten(F.transform(parts, lambda _, i: of(i)))
+        first = F.array_position(anchored, True)
+        last = F.size(anchored) + 1 - F.array_position(F.reverse(anchored), True)
+        between = F.filter(F.array(F.array_join(F.slice(parts, F.greatest(first, F.lit(1)).cast("int"), F.greatest(last - first + 1, F.lit(0)).cast("int")), " ")), lambda u: first > 0)
+        return F.concat(F.flatten(F.transform(parts, lambda _, i: of(i))), between)
 
     found = _let(pieces, lambda parts: _let(F.transform(parts, lambda p: p.rlike(pattern)), lambda anchored: runs(parts, anchored)))
     return F.array_distinct(F.concat(F.array(low), found))
 
 
+def _whole_pattern(least: float, whole: tuple[tuple[str, str], ...]) -> str:
+    return _one_of(anchor_terms(dict(enumerate(whole_weights(whole)[2])), least, whole_rank))
+
+
+def _statement_pattern(least: float, templates: tuple[tuple[str, str], ...]) -> str:
+    return _one_of(anchor_terms(template_weights(templates)[2], least))
+
+
 def whole_licence(low: Column, least: float = LEAST_COSINE, whole: tuple[tuple[str, str], ...] = WHOLE) -> Column:
     """The best (score, licence) of the SPDX lines, headers and the whole of a text in lower case, or null."""
-    vectors = whole_weights(whole)[2]
-    pattern = _one_of(anchor_terms(dict(enumerate(vectors)), least, whole_rank))
-    scored = F.filter(F.transform(_units(low, pattern), lambda u: _whole_licence(u, whole)), lambda x: x["score"] >= least)
+    pattern = _whole_pattern(least, whole)
+    scored = F.filter(F.transform(_units(low, pattern), lambda u: _whole_licence(u, least, whole)), lambda x: x["score"] >= least)
     names = F.flatten(F.transform(F.regexp_extract_all(low, F.lit(_SPDX_LINE), F.lit(1)), lambda line: F.split(line, "[^a-z0-9.+-]+")))
     spdx = F.filter(
         F.transform(names, lambda x: F.struct(F.lit(1.0).alias("score"), F.try_element_at(F.create_map(*(F.lit(y) for pair in SPDX.items() for y in pair)), x).alias("licence"))),
@@ -242,18 +245,22 @@ def whole_licence(low: Column, least: float = LEAST_COSINE, whole: tuple[tuple[s
 
 def own_licence(text: Column, least: float = LEAST_COSINE, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> Column:
     """The best licence of a text as (score, licence), null if nothing in it reaches the least cosine."""
-    low = _lowered(F.coalesce(text, F.lit("")))
-    both = F.struct(whole_licence(low, least).alias("whole"), _stated_licence(low, least, templates).alias("stated"))
-    bare = lambda x: x["whole"].isNotNull() & (x["stated"]["licence"] == "Proprietary")
-    return _let(both, lambda x: F.when(bare(x), x["whole"]).otherwise(F.greatest(x["whole"], x["stated"])))
+
+    def judged(low: Column) -> Column:
+        both = F.struct(whole_licence(low, least).alias("whole"), _stated_licence(low, least, templates).alias("stated"))
+        bare = lambda x: x["whole"].isNotNull() & (x["stated"]["licence"] == "Proprietary")
+        return _let(both, lambda x: F.when(bare(x), x["whole"]).otherwise(F.greatest(x["whole"], x["stated"])))
+
+    terms = set(anchor_terms(template_weights(templates)[2], least)) | set(anchor_terms(dict(enumerate(whole_weights()[2])), least, whole_rank))
+    # The letters' case is left as it is until a text holds an anchor.
+    return F.when(text.rlike(f"(?i){_one_of(sorted(terms))}|spdx-license-identifier:"), _let(_lowered(text), judged))
 
 
 def _stated_licence(low: Column, least: float, templates: tuple[tuple[str, str], ...]) -> Column:
     """The best statement of a text in lower case, null if none reaches the least cosine."""
-    anchors = "|".join(anchor_terms(template_weights(templates)[2], least))
-    pattern = f"(^|[^a-z0-9])({anchors})([^a-z0-9]|$)"
+    pattern = _statement_pattern(least, templates)
     statements = F.filter(F.split(F.regexp_replace(low, "([.!?;]) +", "$1\n"), "\n"), lambda s: s.rlike(pattern))
-    found = F.filter(F.transform(statements, lambda s: _statement_licence(s, templates)), lambda x: x["score"] >= least)
+    found = F.filter(F.transform(statements, lambda s: _statement_licence(s, least, templates)), lambda x: x["score"] >= least)
     return F.when(low.rlike(pattern), F.array_max(found))
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import textwrap
@@ -330,6 +331,50 @@ def test_anchors_are_needed_for_whole_licences():
         assert sum(v * v for t, v in weights.items() if t not in anchors) < licences.LEAST_COSINE**2
 
 
+def plain_match(text, weights, names, skip=frozenset()):
+    inverse, other, vectors = weights
+    counts = Counter(t for t in re.findall("[a-z0-9]+", text) if t not in skip)
+    norm = math.sqrt(sum((n * inverse.get(t, other)) ** 2 for t, n in counts.items()))
+    if not norm:
+        return None
+    found = max((round(sum(n * inverse[t] * v.get(t, 0.0) for t, n in counts.items() if t in inverse) / norm, 6), name) for name, v in zip(names, vectors, strict=True))
+    return found if found[0] >= licences.LEAST_COSINE else None
+
+
+@pytest.mark.parametrize("kind", ["statement", "whole"])
+def test_scores_of_random_texts_equal_plain_cosines(spark, kind):
+    rng = random.Random(kind)
+    if kind == "whole":
+        weights, names, skip = licences.whole_weights(), [n for n, _ in licence_templates.WHOLE], licences.PROSE
+        match, sources = lambda t: licences._whole_licence(t, licences.LEAST_COSINE, licence_templates.WHOLE), [t for _, t in licence_templates.WHOLE]
+    else:
+        inverse, other, vectors = licences.template_weights()
+        weights, names, skip = (inverse, other, list(vectors.values())), list(vectors), frozenset()
+        match, sources = lambda t: licences._statement_licence(t, licences.LEAST_COSINE, licences.TEMPLATES), [t for _, t in licences.TEMPLATES]
+    texts = ["", "...", "unheard of"]
+    for _ in range(250):
+        words = re.findall("[a-z0-9]+", rng.choice(sources).lower())[: rng.choice([5, 60, 10**6])]
+        words = [w if rng.random() > rng.choice([0.0, 0.1, 0.4]) else f"x{rng.randrange(20)}" for w in words] + ["more"] * rng.choice([0, 1, 9])
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r["id"]: r["m"] and (r["m"]["score"], r["m"]["licence"]) for r in frame.select("id", match(F.col("text")).alias("m")).collect()}
+    for k, text in enumerate(texts):
+        wanted = plain_match(text, weights, names, skip)
+        mine = got[k] if got[k] and got[k][0] >= licences.LEAST_COSINE else None
+        assert (mine is None) == (wanted is None) and (mine is None or (abs(mine[0] - wanted[0]) < 2e-6 and mine[1] == wanted[1])), text[:200]
+    assert sum(plain_match(t, weights, names, skip) is not None for t in texts) > 30
+
+
+def test_licences_of_many_paragraphs_inside_files_and_very_long_texts(spark):
+    mpl = next(t for n, t in licence_templates.WHOLE if n == "MPL-2.0")
+    code = "\n\n".join(f"x{k} = f{k}(y{k})" for k in range(2000))
+    different = " ".join(f"w{k}" for k in range(1_000_000))
+    rows = [(1, code + "\n\n" + mpl + "\n\n" + code), (2, different + " gnu licence mozilla"), (3, different + ".\nReleased under the MIT License.\n" + different)]
+    got = {r["id"]: r["own"] and r["own"]["licence"] for r in spark.createDataFrame(rows, "id int, text string").select("id", licences.own_licence(F.col("text")).alias("own")).collect()}
+    assert mpl.count("\n\n") > licences.RUN and got == {1: "MPL-2.0", 2: None, 3: "MIT"}
+
+
 # --- pipeline
 
 
