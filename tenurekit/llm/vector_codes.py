@@ -42,11 +42,11 @@ ENTRIES = 256
 ROUNDS = 4
 #: Components are multiplied by this and rounded down.
 SCALE = 1024
-#: Coefficients added up for all entries first, and then at each step for those that remain.
-HEAD = 4
+#: Share of the coefficients added up for all entries first, and how many at each step for those that remain.
+HEAD = 0.75
 STEP = 4
 #: Vectors compared at once.
-ROWS = 2048
+ROWS = 512
 #: Tasks that add up the sums of all others.
 MERGERS = 16
 _LONGEST = (1 << 63) - 1
@@ -78,17 +78,17 @@ def _transformed(x: np.ndarray, m: int) -> np.ndarray:
 def nearest(parts: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each part the first of its nearest entries, and the squared distance."""
     m = 1 << max(parts.shape[1] - 1, 0).bit_length()
-    near = _transformed(entries, m)
+    near, head = _transformed(entries, m), max(1, int(HEAD * m))
     best, error = np.zeros(len(parts), np.int64), np.zeros(len(parts), parts.dtype)
     for at in range(0, len(parts), ROWS):
         here = _transformed(parts[at : at + ROWS], m)
         partial = np.zeros((len(here), len(near)), parts.dtype)
-        for k in range(min(HEAD, m)):
+        for k in range(head):
             partial += (here[:, k, None] - near[None, :, k]) ** 2
         limit = ((here - near[partial.argmin(axis=1)]) ** 2).sum(axis=1)
         row, entry = np.nonzero(partial <= limit[:, None])
         total = partial[row, entry]
-        for k in range(HEAD, m, STEP):
+        for k in range(head, m, STEP):
             total = total + ((here[row, k : k + STEP] - near[entry, k : k + STEP]) ** 2).sum(axis=1)
             left = np.flatnonzero(total <= limit[row])
             row, entry, total = row[left], entry[left], total[left]
