@@ -42,8 +42,8 @@ from tenurekit.session import scratch_path
 
 WINDOW = 13
 #: Text bytes of a block, and suffixes of a group.
-BLOCK_BYTES = 8 << 20
-GROUP_SUFFIXES = 2_000_000
+BLOCK_BYTES = 4 << 20
+GROUP_SUFFIXES = 500_000
 #: Words are runs without ASCII white space, otherwise unchanged.
 _WORDS = bytes(32 if b == 0x20 or 0x09 <= b <= 0x0D else b for b in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -68,7 +68,8 @@ def cut_blocks(rows: Iterator[tuple[int | None, bytes]], most: int) -> Iterator[
             if alone:
                 yield run
             else:
-                whole, size = whole + run, size + run_size
+                whole += run
+                size += run_size
             if size >= most:
                 yield whole
                 whole, size = [], 0
