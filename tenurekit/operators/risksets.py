@@ -33,8 +33,10 @@ ROWS_PER_PARTITION = 4096
 MOST_ROWS_PER_PARTITION = 1 << 18
 TWO_LEVEL_MERGE = 256
 MODEL_CHUNK = 64
+#: Sums of several models travel in one row of about so many bytes.
+ROW_BYTES = 4e6
 BLOCK_SCHEMA = "n int, time binary, event binary, fold binary, x binary"
-SUM_SCHEMA = "model int, slot int, payload binary"
+SUM_SCHEMA = "models int, slot int, part int, payload binary"
 
 
 @dataclass(frozen=True)
@@ -68,6 +70,10 @@ class ModelBatch:
         }
         return parts if self.event_hazard is None else parts | {"s1_events": (n_bins, q)}
 
+    @property
+    def bytes_each(self) -> int:
+        return 8 * sum(int(np.prod(shape)) for shape in self.shapes.values())
+
 
 @dataclass(frozen=True)
 class RiskSums:
@@ -110,21 +116,19 @@ class RiskSetData:
     def evaluate(self, batch: ModelBatch) -> RiskSums:
         """One pass over the rows for all models of the batch."""
         slots = max(1, round(self.partitions**0.5))
-        sums = self.blocks.mapInArrow(_PartitionSums(batch, slots), SUM_SCHEMA)
-        if self.partitions > TWO_LEVEL_MERGE:
-            sums = sums.groupBy("model", "slot").applyInArrow(_add_payloads, SUM_SCHEMA)
-        # One row per model reaches the driver, however many partitions there are.
-        sums = (
-            sums.withColumn("slot", F.lit(0))
-            .groupBy("model", "slot")
-            .applyInArrow(_add_payloads, SUM_SCHEMA)
-        )
-        table = sums.toArrow()
         shapes, m = batch.shapes, len(batch.beta)
         sizes = [int(np.prod(shape)) for shape in shapes.values()]
+        per_row = int(max(1, ROW_BYTES // (8 * sum(sizes))))
+        rows = -(-m // per_row)
+        sums = self.blocks.mapInArrow(_PartitionSums(batch, slots, per_row), SUM_SCHEMA)
+        if self.partitions > TWO_LEVEL_MERGE:
+            sums = _merged(sums, rows * slots).withColumn("part", F.col("slot"))
+        # One row per ``per_row`` models reaches the driver, however many partitions there are.
+        table = _merged(sums.withColumn("slot", F.lit(0)), rows).toArrow()
         flat = np.zeros((m, sum(sizes)))
-        for model, payload in zip(table["model"].to_pylist(), table["payload"]):
-            flat[model] += np.frombuffer(payload.as_buffer(), dtype=np.float64)
+        for first, payload in zip(table["models"].to_pylist(), table["payload"]):
+            found = np.frombuffer(payload.as_buffer(), dtype=np.float64).reshape(-1, sum(sizes))
+            flat[first * per_row : first * per_row + len(found)] = found
         pieces = np.split(flat, np.cumsum(sizes)[:-1], axis=1)
         return RiskSums(
             **{k: x.reshape(m, *shape) for (k, shape), x in zip(shapes.items(), pieces)}
@@ -134,8 +138,8 @@ class RiskSetData:
 class _PartitionSums:
     """Task function: packed rows of a partition to one payload per model."""
 
-    def __init__(self, batch: ModelBatch, slots: int):
-        self.batch, self.slots = batch, slots
+    def __init__(self, batch: ModelBatch, slots: int, per_row: int):
+        self.batch, self.slots, self.per_row = batch, slots, per_row
 
     def __call__(self, batches):
         batch, m = self.batch, len(self.batch.beta)
@@ -145,13 +149,11 @@ class _PartitionSums:
             for arrow in batches:
                 for i in range(arrow.num_rows):
                     self._add(sums, *_unpack(arrow, i))
-        slot = TaskContext.get().partitionId() % self.slots
-        for first in range(0, m, MODEL_CHUNK):
-            models = range(first, min(first + MODEL_CHUNK, m))
-            payloads = [
-                np.concatenate([x[k].ravel() for x in sums.values()]).tobytes() for k in models
-            ]
-            yield _sum_rows(list(models), slot, payloads)
+        part = TaskContext.get().partitionId()
+        for k, first in enumerate(range(0, m, self.per_row)):
+            models = slice(first, min(first + self.per_row, m))
+            flat = [x[models].reshape(models.stop - first, -1) for x in sums.values()]
+            yield _sum_row(k, part % self.slots, part, np.concatenate(flat, axis=1))
 
     def _add(self, sums, time, event, fold, x):
         b = self.batch
@@ -169,13 +171,13 @@ class _PartitionSums:
             used = np.where(held, 0.0, w)
             hazard = used * b.hazard[part][:, time].T
             sums["s0"][part, times.value] += times.add(used)
-            sums["s1"][part, bins.value] += _gather(bins.cross(used, x), columns)
+            sums["s1"][part, bins.value] += bins.cross(used, x, columns)
             if b.event_hazard is None:
                 sums["s0_other"][part, times.value] += times.add(np.where(held, w, 0.0))
             else:
                 failed = used * event[:, None]
                 sums["s0_other"][part, times.value] += times.add(failed)
-                sums["s1_events"][part, bins.value] += _gather(bins.cross(failed, x), columns)
+                sums["s1_events"][part, bins.value] += bins.cross(failed, x, columns)
                 hazard -= failed * b.event_hazard[part][:, time].T
             sums["pull"][part] += np.take_along_axis(hazard.T @ x, columns, axis=1)
             cross = np.zeros((len(columns), x.shape[1], x.shape[1]))
@@ -206,33 +208,41 @@ class _Runs:
         """rows x models to models x runs."""
         return np.add.reduceat(weights, self.start, axis=0).T
 
-    def cross(self, weights: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """rows x models and rows x predictors to models x runs x predictors."""
-        products = weights[:, :, None] * x[:, None, :]
+    def cross(self, weights: np.ndarray, x: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        """rows x models, rows x predictors and each model's columns to models x runs x columns."""
+        products = weights[:, :, None] * x[:, columns]
         return np.add.reduceat(products, self.start, axis=0).swapaxes(0, 1)
 
 
-def _gather(by_run: np.ndarray, columns: np.ndarray) -> np.ndarray:
-    return np.take_along_axis(by_run, columns[:, None, :], axis=2)
-
-
-def _sum_rows(models: list[int], slot: int, payloads: list[bytes]) -> pa.RecordBatch:
+def _sum_row(models: int, slot: int, part: int, payload: np.ndarray) -> pa.RecordBatch:
+    cells = [pa.array([v], pa.int32()) for v in (models, slot, part)]
     return pa.RecordBatch.from_arrays(
-        [
-            pa.array(models, pa.int32()),
-            pa.array([slot] * len(models), pa.int32()),
-            pa.array(payloads, pa.binary()),
-        ],
-        names=["model", "slot", "payload"],
+        [*cells, pa.array([payload.tobytes()], pa.binary())],
+        names=["models", "slot", "part", "payload"],
     )
 
 
-def _add_payloads(table: pa.Table) -> pa.Table:
-    total = 0.0
-    for payload in table["payload"]:
-        total = total + np.frombuffer(payload.as_buffer(), dtype=np.float64)
-    row = _sum_rows([table["model"][0].as_py()], table["slot"][0].as_py(), [total.tobytes()])
-    return pa.Table.from_batches([row])
+def _merged(sums: DataFrame, groups: int) -> DataFrame:
+    """Payloads of the same models and slot added up, one after another, in the order of their parts."""
+    groups = min(groups, 4 * sums.sparkSession.sparkContext.defaultParallelism)
+    dealt = sums.repartition(groups, "models", "slot")
+    return dealt.sortWithinPartitions("models", "slot", "part").mapInArrow(_add_payloads, SUM_SCHEMA)
+
+
+def _add_payloads(batches):
+    key, total = None, None
+    for arrow in batches:
+        for i in range(arrow.num_rows):
+            here = arrow["models"][i].as_py(), arrow["slot"][i].as_py()
+            payload = np.frombuffer(arrow["payload"][i].as_buffer(), dtype=np.float64)
+            if here != key:
+                if key is not None:
+                    yield _sum_row(*key, 0, total)
+                key, total = here, payload.copy()
+            else:
+                total += payload
+    if key is not None:
+        yield _sum_row(*key, 0, total)
 
 
 class _Pack:

@@ -23,8 +23,13 @@ from tenurekit.functions.numeric import (
 from tenurekit.operators.risksets import ModelBatch, RiskSetData, RiskSums, prepare
 
 LAMBDA_RATIO = 1e-4
-#: Penalties fitted side by side, all from the solution before them.
-LAMBDA_BATCH = 3
+#: Most penalties of one path that are fitted side by side; fewer where sums would take several passes.
+FRONT = 8
+#: A path ends where the explained share of the deviance grows by less than this part of itself,
+#: or beyond so much of it, but not before so many penalties.
+LEAST_GAIN = 1e-5
+ENOUGH_EXPLAINED = 0.999
+LEAST_PENALTIES = 5
 #: Sums of so many bytes come from one pass; more models take further passes.
 PAYLOAD_BYTES = 48e6
 #: A penalised fit has converged when its optimality conditions hold to this share of the penalty.
@@ -46,7 +51,8 @@ class _Likelihood:
     on_all_rows: np.ndarray
     gradient: np.ndarray
     hessian: np.ndarray
-    hazard: np.ndarray
+    increments: np.ndarray  # of the cumulative hazard at each event time
+    mean: np.ndarray  # predictors of the risk set at each event time
 
 
 def _breslow(data: RiskSetData, batch: ModelBatch, sums: RiskSums) -> _Likelihood:
@@ -64,13 +70,13 @@ def _breslow(data: RiskSetData, batch: ModelBatch, sums: RiskSums) -> _Likelihoo
         r0_all = r0 + _reverse_cumulative(sums.s0_other)
         value = (used * batch.beta).sum(axis=1) - np.where(d > 0, d * np.log(r0), 0.0).sum(axis=1)
         on_all = (every * batch.beta).sum(axis=1) - (d_all * np.log(r0_all)).sum(axis=1)
-        hazard = np.cumsum(np.where(d > 0, d / r0, 0.0), axis=1)
-        change = _bin_means(hazard - batch.hazard, sums.s0, batch.bins)
+        increments = np.where(d > 0, d / r0, 0.0)
+        change = _bin_means(np.cumsum(increments, axis=1) - batch.hazard, sums.s0, batch.bins)
         gradient = used - sums.pull - np.einsum("mb,mbj->mj", change, sums.s1)
         mean = _risk_means(sums, r0, batch.bins)
         mean[d == 0] = 0.0
         hessian = sums.cross - np.swapaxes(mean * d[:, :, None], 1, 2) @ mean
-    return _Likelihood(value, on_all, gradient, hessian, hazard)
+    return _Likelihood(value, on_all, gradient, hessian, increments, mean)
 
 
 def _bin_means(values: np.ndarray, weights: np.ndarray, bins: np.ndarray) -> np.ndarray:
@@ -163,55 +169,64 @@ def fit_paths(
     bins = np.arange(n_times)
     start = ModelBatch(np.zeros((len(out), q)), columns, out, np.zeros((len(out), n_times)), bins)
     # At zero the hazard follows from row counts alone; the second look uses it.
-    start = replace(start, hazard=_likelihood(data, start).hazard)
+    start = replace(start, hazard=np.cumsum(_likelihood(data, start).increments, axis=1))
     null = _likelihood(data, start)
     full = np.arange(n_specs) * n_fits
     pull = np.where(unused[full], 0.0, np.abs(null.gradient[full]) / n[full, None])
     largest = pull.max(axis=1) / alpha
     lambdas = largest[:, None] * LAMBDA_RATIO ** (np.arange(n_lambdas) / max(n_lambdas - 1, 1))
 
-    beta, hazard = start.beta, null.hazard
-    solved, value, on_all, done = [], [], [], []
-    for first in range(0, n_lambdas, LAMBDA_BATCH):
-        index = np.arange(first, min(first + LAMBDA_BATCH, n_lambdas))
-        k = len(index)
-        lam = np.repeat(lambdas, n_fits, axis=0)[:, index].T.reshape(-1, 1)
-        wide = ModelBatch(
-            np.tile(beta, (k, 1)), np.tile(columns, (k, 1)), np.tile(out, k),
-            np.tile(hazard, (k, 1)), bins,
-        )
-        l1 = np.where(np.tile(unused, (k, 1)), np.inf, lam * alpha * np.tile(scale, (k, 1)))
-        l2 = lam * (1 - alpha) * np.tile(scale, (k, 1)) ** 2
-        fit = _solve(data, wide, np.tile(n, k), l1, l2, lam[:, 0])
-        solved.append(fit[0].reshape(k, n_specs, n_fits, q))
-        value.append(fit[1].reshape(k, n_specs, n_fits))
-        on_all.append(fit[2].reshape(k, n_specs, n_fits))
-        done.append(fit[4].reshape(k, n_specs, n_fits).all(axis=2))
-        beta, hazard = fit[0].reshape(k, -1, q)[-1], fit[3].reshape(k, -1, n_times)[-1]
-
-    solved, value, on_all, done = (np.concatenate(x) for x in (solved, value, on_all, done))
-    if not done.all():
-        warnings.warn(f"{(~done).sum()} of {done.size} penalties did not converge", stacklevel=2)
+    front = _Front(data, columns, out, n, scale, unused, np.repeat(lambdas, n_fits, axis=0), alpha)
+    explained = _explained(data.events.sum(axis=0), null.value[full])
+    front.run(null, lambda value: _path_end(explained(value[:, full]), n_fits))
+    shape = front.length.max(), n_specs, n_fits
+    solved = front.beta[: shape[0]].reshape(*shape, q)
+    value, on_all = (x[: shape[0]].reshape(shape) for x in (front.value, front.on_all))
+    done = front.done[: shape[0]].reshape(shape).all(axis=2)
+
+    used = np.arange(shape[0])[:, None] < front.length[full]
+    if not done[used].all():
+        warnings.warn(f"{(~done[used]).sum()} of {used.sum()} penalties did not converge", stacklevel=2)
     events = data.events.sum(axis=1)
     paths = []
     for s, spec in enumerate(specs):
-        raw = solved[:, s, 0] / data.scale[spec_columns[s]]
+        k = front.length[full[s]]
+        raw = solved[:k, s, 0] / data.scale[spec_columns[s]]
         if folds:
-            deviance = -2.0 * (on_all[:, s, 1:] - value[:, s, 1:]) / np.maximum(events, 1)
+            deviance = -2.0 * (on_all[:k, s, 1:] - value[:k, s, 1:]) / np.maximum(events, 1)
             mean = np.average(deviance, axis=1, weights=events)
             with np.errstate(invalid="ignore"):
                 spread = np.average((deviance - mean[:, None]) ** 2, axis=1, weights=events)
             se = np.sqrt(spread / (folds - 1))
         else:
-            mean, se = -2.0 * value[:, s, 0] / events.sum(), np.zeros(len(value))
-        paths.append(CoxPath(list(spec), lambdas[s], raw, mean, se, solved[:, s, 0], done[:, s]))
+            mean, se = -2.0 * value[:k, s, 0] / events.sum(), np.zeros(k)
+        paths.append(
+            CoxPath(list(spec), lambdas[s, :k], raw, mean, se, solved[:k, s, 0], done[:k, s])
+        )
     return paths
 
 
+def _explained(events: np.ndarray, null_value: np.ndarray):
+    """Share of the null deviance that fits of given log-likelihoods explain, penalties x specs."""
+    most = -(events * np.log(np.maximum(events, 1.0))).sum()
+    return lambda value: (value - null_value) / np.maximum(most - null_value, 1e-300)
+
+
+def _path_end(explained: np.ndarray, n_fits: int) -> np.ndarray:
+    """How many penalties the fits of each spec need, as far as the known ones (not NaN) tell."""
+    with np.errstate(invalid="ignore"):
+        gain = np.diff(explained, axis=0, prepend=np.nan)
+        flat = (gain < LEAST_GAIN * explained) | (explained > ENOUGH_EXPLAINED)
+    flat[: LEAST_PENALTIES - 1] = False
+    known = np.cumprod(np.isfinite(explained), axis=0).astype(bool)
+    flat &= known
+    end = np.where(flat.any(axis=0), flat.argmax(axis=0) + 1, len(explained))
+    return np.repeat(end, n_fits)
+
+
 def _likelihood(data: RiskSetData, batch: ModelBatch) -> _Likelihood:
     """The likelihood of every model, in as many passes as the bytes of their sums take."""
-    each = 8 * sum(int(np.prod(shape)) for shape in batch.shapes.values())
-    size = max(1, int(PAYLOAD_BYTES // each))
+    size = max(1, int(PAYLOAD_BYTES // batch.bytes_each))
     parts = []
     for first in range(0, len(batch.beta), size):
         part = batch.take(np.arange(first, min(first + size, len(batch.beta))))
@@ -229,54 +244,167 @@ def optimality_residual(b, gradient, l1, l2) -> np.ndarray:
     return np.where(b != 0, held, free).max(axis=1, initial=0.0)
 
 
-def _solve(data: RiskSetData, batch: ModelBatch, n, l1, l2, lam):
-    """Proximal Newton until each model's optimality conditions hold; those leave the passes.
+class _Front:
+    """Fits of many paths, each going on to its next penalty as soon as one of its fits is done.
+
+    A path has several penalties in flight. A fit enters with the minimiser, under its own
+    penalty, of the quadratic model at the latest point of the fit before it, so it often needs two
+    or three passes. Predictors that the strong rule expects to stay out take part in no step until
+    their gradient exceeds the penalty; every check of the optimality conditions covers them all.
 
-    Sums come by event time, so the gradient is exact whatever hazard a pass was given. A step that
+    Sums come by event time, so the gradient is exact whatever hazard a pass was given; for the
+    curvature a pass is given the hazard that the risk sets' means predict for its point. A step that
     raises the cost is shortened towards the best point so far, where the next pass takes the
-    curvature anew; no model is given up before ``MAX_PASSES``.
+    curvature anew; no fit is given up before ``MAX_PASSES``.
     """
-    m = len(batch.beta)
-    beta, hazard = batch.beta.copy(), batch.hazard.copy()
-    best, best_cost = beta.copy(), np.full(m, np.inf)
-    value, on_all, done = np.zeros(m), np.zeros(m), np.zeros(m, dtype=bool)
-    finite_l1 = np.where(np.isinf(l1), 0.0, l1)
-    for _ in range(MAX_PASSES):
-        active = np.flatnonzero(~done)
-        if not len(active):
-            break
-        like = _likelihood(data, replace(batch, beta=beta, hazard=hazard).take(active))
-        b = beta[active]
+
+    def __init__(self, data: RiskSetData, columns, left_out, n, scale, unused, lambdas, alpha):
+        self.data, self.columns, self.left_out, self.n = data, columns, left_out, n
+        self.bins = np.arange(len(data.times))
+        self.scale, self.unused, self.lambdas, self.alpha = scale, unused, lambdas, alpha
+        paths, size, q = len(columns), lambdas.shape[1], columns.shape[1]
+        self.beta = np.zeros((size, paths, q))
+        self.value, self.on_all = np.full((size, paths), np.nan), np.full((size, paths), np.nan)
+        self.done = np.zeros((size, paths), dtype=bool)
+        self.length = np.full(paths, size)  # penalties of each path
+        self.next = np.zeros(paths, dtype=int)
+        self.fits: list[_Fit] = []
+        zero = np.zeros((paths, len(self.bins)))
+        each = ModelBatch(np.zeros((paths, q)), columns, left_out, zero, self.bins).bytes_each
+        self.width = int(np.clip(PAYLOAD_BYTES // (each * paths), 1, FRONT))
+
+    def _penalties(self, path: int, index: int) -> tuple[np.ndarray, np.ndarray]:
+        lam, scale = self.lambdas[path, index], self.scale[path]
+        l1 = np.where(self.unused[path], np.inf, lam * self.alpha * scale)
+        return l1, lam * (1 - self.alpha) * scale**2
+
+    def _enter(self, latest: dict[int, _Fit]) -> None:
+        """Start the next fits of all paths that have room for them."""
+        in_flight = np.bincount([f.path for f in self.fits], minlength=len(self.next))
+        while True:
+            paths = [
+                p for p in range(len(self.next))
+                if in_flight[p] < self.width and self.next[p] < self.length[p]
+            ]
+            if not paths:
+                return
+            fits = []
+            for p in paths:
+                before, index = latest[p], int(self.next[p])
+                l1, l2 = self._penalties(p, index)
+                old = self.lambdas[p, max(index - 1, 0)] * self.alpha * self.scale[p]
+                with np.errstate(invalid="ignore"):
+                    out = (before.best == 0) & (np.abs(before.gradient) < 2 * l1 - old)
+                fits.append(
+                    _Fit(
+                        p, index, l1, l2, out, before.best, before.gradient, before.hessian,
+                        before.increments, before.mean,
+                    )
+                )
+                self.next[p] += 1
+                in_flight[p] += 1
+                latest[p] = fits[-1]
+            self._step(fits)
+            self.fits += fits
+
+    def _step(self, fits: list[_Fit]) -> None:
+        """Move fits from their best points to the minimisers of their quadratic models."""
+        if not fits:
+            return
+        b, gradient, hessian, l2 = (
+            np.array([getattr(f, k) for f in fits]) for k in ("best", "gradient", "hessian", "l2")
+        )
+        l1 = np.array([np.where(f.screened, np.inf, f.l1) for f in fits])
+        step = penalised_step(b, gradient, hessian, l1, l2)
+        moved = np.abs(step - b).max(axis=1, initial=0.0)
+        share = np.minimum(1.0, LONGEST_STEP / np.maximum(moved, 1e-30))[:, None]
+        for f, x in zip(fits, b + share * (step - b)):
+            f.beta = x
+
+    def _pass(self) -> None:
+        path = np.array([f.path for f in self.fits])
+        batch = ModelBatch(
+            np.array([f.beta for f in self.fits]), self.columns[path], self.left_out[path],
+            np.array([f.predicted_hazard() for f in self.fits]), self.bins,
+        )
+        like = _likelihood(self.data, batch)
+        n = self.n[path]
+        l1, l2 = np.array([f.l1 for f in self.fits]), np.array([f.l2 for f in self.fits])
         cost = (
-            -like.value / n[active]
-            + (finite_l1[active] * np.abs(b)).sum(axis=1)
-            + (l2[active] * b**2).sum(axis=1) / 2
+            -like.value / n
+            + (np.where(np.isinf(l1), 0.0, l1) * np.abs(batch.beta)).sum(axis=1)
+            + (l2 * batch.beta**2).sum(axis=1) / 2
         )
         usable = np.isfinite(like.gradient).all(axis=1) & np.isfinite(like.hessian).all(axis=(1, 2))
-        worse = ~(usable & (cost <= best_cost[active] + COST_TOLERANCE * np.abs(cost)))
-        good, bad = np.flatnonzero(~worse), active[np.flatnonzero(worse)]
-        beta[bad] = best[bad] + (beta[bad] - best[bad]) / 4
-        if not len(good):
-            continue
-        at = active[good]
-        best[at], best_cost[at] = b[good], cost[good]
-        value[at], on_all[at] = like.value[good], like.on_all_rows[good]
-        hazard[at] = like.hazard[good]
-        scaled = n[at, None]
-        gradient = like.gradient[good] / scaled
-        off = optimality_residual(b[good], gradient, l1[at], l2[at])
-        done[at] = off <= OPTIMALITY_TOLERANCE * lam[at]
-        step = penalised_step(
-            b[good],
-            gradient,
-            nearest_psd(like.hessian[good] / scaled[:, :, None]),
-            l1[at],
-            l2[at],
-        )
-        moved = np.abs(step - b[good]).max(axis=1)
-        share = np.minimum(1.0, LONGEST_STEP / np.maximum(moved, 1e-30))[:, None]
-        beta[at] = np.where(done[at, None], b[good], b[good] + share * (step - b[good]))
-    return best, value, on_all, hazard, done
+        gradient = like.gradient / n[:, None]
+        off = optimality_residual(batch.beta, gradient, l1, l2)
+        moving = []
+        for i, f in enumerate(self.fits):
+            f.passes += 1
+            if not (usable[i] and cost[i] <= f.best_cost + COST_TOLERANCE * abs(cost[i])):
+                f.beta = f.best + (f.beta - f.best) / 4
+                continue
+            f.best, f.best_cost = f.beta, cost[i]
+            f.gradient, f.increments, f.mean = gradient[i], like.increments[i], like.mean[i]
+            f.hessian = nearest_psd(like.hessian[i] / n[i])
+            f.screened = f.screened & (np.abs(f.gradient) <= f.l1)
+            f.value, f.on_all = like.value[i], like.on_all_rows[i]
+            f.done = off[i] <= OPTIMALITY_TOLERANCE * self.lambdas[f.path, f.index]
+            if not f.done:
+                moving.append(f)
+        self._step(moving)
+
+    def run(self, null: _Likelihood, end) -> None:
+        """Fit all paths; ``end`` tells from the values known so far how long each path is."""
+        zero = np.zeros(self.columns.shape[1])
+        latest = {
+            p: _Fit(
+                p, -1, zero, zero, zero != 0, zero, null.gradient[p] / self.n[p],
+                nearest_psd(null.hessian[p] / self.n[p]), null.increments[p], null.mean[p],
+            )
+            for p in range(len(self.next))
+        }
+        self._enter(latest)
+        while self.fits:
+            self._pass()
+            left = []
+            for f in self.fits:
+                if f.done or f.passes >= MAX_PASSES:
+                    where = f.index, f.path
+                    self.beta[where], self.done[where] = f.best, f.done
+                    self.value[where], self.on_all[where] = f.value, f.on_all
+                else:
+                    left.append(f)
+            self.length = np.minimum(self.length, end(self.value))
+            self.fits = [f for f in left if f.index < self.length[f.path]]
+            self._enter(latest)
+
+
+@dataclass
+class _Fit:
+    """One penalty of one path in flight."""
+
+    path: int
+    index: int
+    l1: np.ndarray
+    l2: np.ndarray
+    screened: np.ndarray
+    best: np.ndarray
+    gradient: np.ndarray  # of the mean log-likelihood, at ``best``, as what follows
+    hessian: np.ndarray
+    increments: np.ndarray
+    mean: np.ndarray
+    best_cost: float = np.inf
+    value: float = np.nan
+    on_all: float = np.nan
+    passes: int = 0
+    done: bool = False
+    beta: np.ndarray | None = None  # where the next pass looks
+
+    def predicted_hazard(self) -> np.ndarray:
+        """Cumulative hazard at ``beta``, if risk sets grow as their mean predictors tell."""
+        with np.errstate(over="ignore"):
+            return np.cumsum(self.increments * np.exp(-self.mean @ (self.beta - self.best)))
 
 
 @dataclass

@@ -28,7 +28,7 @@ def names(design):
 
 
 def fit(design, names, monkeypatch, batch=3, rows=4096):
-    monkeypatch.setattr(cox, "LAMBDA_BATCH", batch)
+    monkeypatch.setattr(cox, "FRONT", batch)
     monkeypatch.setattr(risksets, "ROWS_PER_PARTITION", rows)
     data = risksets.prepare(design, names, folds=STUDY.n_folds)
     with warnings.catch_warnings():
@@ -62,3 +62,46 @@ def test_every_penalty_is_at_its_optimum(design, names, usual):
         l1 = lam * STUDY.alpha
         off = np.where(b != 0, np.abs(g - l1 * np.sign(b) - lam * (1 - STUDY.alpha) * b), np.maximum(np.abs(g) - l1, 0))
         assert off.max() <= 1e-3 * lam
+
+
+def passes_of(design, specs, monkeypatch):
+    calls = []
+    evaluate = risksets.RiskSetData.evaluate
+    monkeypatch.setattr(risksets.RiskSetData, "evaluate", lambda *a: calls.append(1) or evaluate(*a))
+    columns = list(dict.fromkeys(c for spec in specs for c in spec))
+    data = risksets.prepare(design, columns, folds=STUDY.n_folds)
+    paths = cox.fit_paths(data, specs, STUDY.alpha, 30)
+    data.close()
+    monkeypatch.undo()
+    assert all(p.converged.all() for p in paths)
+    return len(calls)
+
+
+def test_no_path_waits_for_another(design, names, monkeypatch):
+    specs = [names[:6], names[6:12], [*names[:3], *names[12:15]]]
+    monkeypatch.setattr(cox, "FRONT", 3)
+    alone = []
+    for spec in specs:
+        alone.append(passes_of(design, [spec], monkeypatch))
+        monkeypatch.setattr(cox, "FRONT", 3)
+    together = passes_of(design, specs, monkeypatch)
+    assert together <= 1.2 * max(alone)
+
+
+def test_a_path_ends_where_the_deviance_is_flat():
+    gains = np.array([0.0, 0.1, 0.15, 0.17, 0.18, 0.180001, 0.180002, 0.19])
+    assert list(cox._path_end(np.column_stack([gains, gains * 0.5]), 2)) == [6, 6, 6, 6]
+    assert list(cox._path_end(np.array([[0.0], [0.9991], [0.9992], [0.9993], [0.9994], [0.9995]]), 1)) == [5]
+    unknown = np.array([[0.0], [0.1], [0.2], [np.nan], [0.2], [0.2]])
+    assert list(cox._path_end(unknown, 1)) == [6]
+
+
+def test_a_short_path_is_a_part_of_the_long_one(design, names, monkeypatch):
+    monkeypatch.setattr(cox, "LEAST_GAIN", 0.02)
+    short = fit(design, names, monkeypatch)
+    assert cox.LEAST_PENALTIES <= len(short.lambdas) < 50
+    monkeypatch.setattr(cox, "LEAST_GAIN", 0.0)
+    long = fit(design, names, monkeypatch)
+    k = len(short.lambdas)
+    assert short.coefficients == pytest.approx(long.coefficients[:k], abs=1e-4)
+    assert short.mean_deviance == pytest.approx(long.mean_deviance[:k], rel=1e-6)
