@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,32 +77,6 @@ def unpivot_features(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def _pearson(x: str, y: str) -> Column:
-    """Correlation over rows where both are present."""
-    own, other = F.when(F.col(y).isNotNull(), F.col(x)), F.when(F.col(x).isNotNull(), F.col(y))
-    spread = F.stddev_pop(own) * F.stddev_pop(other)
-    return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
-
-
-def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Upper triangle of the Pearson matrix as (x, y, r), over rows where both are present.
-
-    NULL for a constant column. One aggregate over each input row; the one row it gives is turned
-    into a row per pair.
-    """
-    pairs = list(combinations(columns, 2))
-    wide = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).agg(
-        *(_pearson(x, y).alias(f"r{k}") for k, (x, y) in enumerate(pairs))
-    )
-    rows = F.array(
-        *(
-            F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"r{k}").alias("r"))
-            for k, (x, y) in enumerate(pairs)
-        )
-    )
-    return wide.select(F.inline(rows))
-
-
 def feature_histograms(df: DataFrame, columns: list[str], bins: int) -> DataFrame:
     """Equal-width counts per feature, each on its own range; the top value is in the last bin.
 

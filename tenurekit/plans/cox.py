@@ -407,6 +407,12 @@ class _Fit:
             return np.cumsum(self.increments * np.exp(-self.mean @ (self.beta - self.best)))
 
 
+def kaplan_meier_time(events: np.ndarray, at_risk: np.ndarray) -> np.ndarray:
+    """One minus the Kaplan-Meier estimate just before each event time."""
+    survival = np.cumprod(1.0 - events / at_risk)
+    return 1.0 - np.r_[1.0, survival[:-1]]
+
+
 @dataclass
 class CoxFit:
     """An unpenalised fit with Efron's treatment of tied events."""
@@ -422,6 +428,11 @@ class CoxFit:
     residual_sums: np.ndarray  # times x predictors: Schoenfeld residuals summed per time
 
     dropped: tuple[str, ...] = ()  # predictors that depend on earlier ones
+    time_information: np.ndarray | None = None  # powers 0, 1, 2 of transformed time: its sums with V(t)
+
+    @property
+    def transformed_time(self) -> np.ndarray:
+        return kaplan_meier_time(self.events, self.at_risk)
 
     def table(self, spark: SparkSession) -> DataFrame:
         """Coefficients with standard errors; all NULL for dropped predictors."""
@@ -456,27 +467,59 @@ def _check_rank(information: np.ndarray, columns: list[str]) -> None:
 
 
 def fit_unpenalised(
-    df: DataFrame, columns: list[str], drop_dependent: bool = False, **names: str
+    df: DataFrame,
+    columns: list[str],
+    drop_dependent: bool = False,
+    time_moments: bool = False,
+    **names: str,
 ) -> CoxFit:
     """Cox regression by Newton steps.
 
     Constant or linearly dependent predictors are an error, or with
     ``drop_dependent`` are left out, the first ones of a dependent set staying.
+    ``time_moments`` adds a pass for the information weighted by powers of time.
     """
     data = prepare(df, columns, **names)
     try:
-        return _newton(data, np.arange(len(columns)))
+        return _newton(data, np.arange(len(columns)), time_moments)
     except DependentPredictors as found:
         if not drop_dependent or not len(found.kept):
             raise
-        fit = _newton(data, found.kept)
+        fit = _newton(data, found.kept, time_moments)
         fit.dropped = tuple(found.names)
         return fit
     finally:
         data.close()
 
 
-def _newton(data: RiskSetData, use: np.ndarray) -> CoxFit:
+def _information(cross, r1, e1, ties, weight) -> np.ndarray:
+    """Information of a plain fit, each event time with its weight; ``cross`` is weighted already."""
+    mixed = (r1 * (weight * ties["b2"])[:, None]).T @ e1
+    return (
+        cross
+        - (r1 * (weight * ties["a2"])[:, None]).T @ r1
+        + mixed
+        + mixed.T
+        - (e1 * (weight * ties["c2"])[:, None]).T @ e1
+    )
+
+
+def _time_information(data: RiskSetData, use, beta, g, r1, e1, ties) -> np.ndarray:
+    """Sums over event times of powers 0, 1, 2 of ``g`` with the information of each, in one pass.
+
+    The hazard enters a pass linearly, so a power of time is a model of its own whose hazard grows
+    by the weighted increments.
+    """
+    powers = g[None] ** np.arange(3)[:, None]
+    batch = ModelBatch(
+        np.tile(beta, (3, 1)), np.tile(use, (3, 1)), np.full(3, -1),
+        np.cumsum(powers * ties["a"], axis=1), np.arange(len(g)), powers * ties["b"],
+    )
+    cross = data.evaluate(batch).cross
+    return np.array([_information(c, r1, e1, ties, w) for c, w in zip(cross, powers)])
+
+
+def _newton(data: RiskSetData, use: np.ndarray, time_moments: bool = False) -> CoxFit:
     q, n_times = len(use), len(data.times)
     columns = [data.columns[j] for j in use]
     d, event_x = data.events.sum(axis=0), data.event_x.sum(axis=0)[:, use]
@@ -503,14 +546,7 @@ def _newton(data: RiskSetData, use: np.ndarray) -> CoxFit:
         if first:
             continue  # the same coefficients again, now with the matching hazard
         best, best_value = beta, value
-        mixed = (r1 * ties["b2"][:, None]).T @ e1
-        information = (
-            sums.cross[0]
-            - (r1 * ties["a2"][:, None]).T @ r1
-            + mixed
-            + mixed.T
-            - (e1 * ties["c2"][:, None]).T @ e1
-        )
+        information = _information(sums.cross[0], r1, e1, ties, np.ones(n_times))
         if not beta.any():
             _check_rank(information, columns)
         step = np.linalg.solve(nearest_psd(information), event_x.sum(axis=0) - expected.sum(axis=0))
@@ -518,6 +554,10 @@ def _newton(data: RiskSetData, use: np.ndarray) -> CoxFit:
         if np.abs(step).max() < 1e-8 and drift < 1e-6 * hazard.max():
             scale = data.scale[use]
             mean_x = expected / np.maximum(d, 1)[:, None] * scale + data.mean[use]
+            moments = None
+            if time_moments:
+                g = kaplan_meier_time(d, at_risk)
+                moments = _time_information(data, use, beta, g, r1, e1, ties) * np.outer(scale, scale)
             return CoxFit(
                 columns,
                 beta / scale,
@@ -528,6 +568,7 @@ def _newton(data: RiskSetData, use: np.ndarray) -> CoxFit:
                 at_risk,
                 mean_x,
                 (event_x - expected) * scale,
+                time_information=moments,
             )
         beta = beta + step
     raise RuntimeError("the fit did not converge")

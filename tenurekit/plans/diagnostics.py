@@ -10,15 +10,35 @@ from tenurekit.functions.numeric import chi_square_tail
 from tenurekit.plans.cox import CoxFit
 
 
-def transformed_time(fit: CoxFit) -> np.ndarray:
-    """One minus the Kaplan-Meier estimate just before each event time."""
-    survival = np.cumprod(1.0 - fit.events / fit.at_risk)
-    return 1.0 - np.r_[1.0, survival[:-1]]
+def ph_test(fit: CoxFit, spark: SparkSession) -> DataFrame:
+    """Score test of coefficients that change with transformed time, for each predictor and for all.
+
+    The model is extended by each predictor times the Kaplan-Meier time; at the fitted coefficients and
+    no change, the score of the new terms is the residuals' sum weighted by time, and their information,
+    given that the old terms are fitted too, comes from the risk sets' variances weighted by powers of
+    time. The fit must have been asked for these (``time_moments``).
+    """
+    if fit.time_information is None:
+        raise ValueError("fit with time_moments=True")
+    g, d = fit.transformed_time, fit.events
+    centre = (d * g).sum() / d.sum()
+    own, once, twice = fit.time_information
+    crossed = once - centre * own
+    changing = twice - 2 * centre * once + centre**2 * own
+    score = (g - centre) @ fit.residual_sums
+    left = changing - crossed @ np.linalg.solve(own, crossed)
+    rows = [
+        (term, float(x), 1, chi_square_tail(float(x), 1))
+        for term, x in zip(fit.columns, score**2 / np.diag(left))
+    ]
+    overall = float(score @ np.linalg.solve(left, score))
+    rows.append(("GLOBAL", overall, len(score), chi_square_tail(overall, len(score))))
+    return spark.createDataFrame(rows, "term string, chisq double, df int, p double")
 
 
-def ph_test(fit: CoxFit, spark: SparkSession) -> DataFrame:
-    """Score of each predictor's Schoenfeld residuals against time, and of all together."""
-    g, d = transformed_time(fit), fit.events
+def residual_ph_test(fit: CoxFit, spark: SparkSession) -> DataFrame:
+    """The older approximation of ``ph_test``: the risk sets' variances are taken as equal at all times."""
+    g, d = fit.transformed_time, fit.events
     total = d.sum()
     g = g - (d * g).sum() / total
     spread = (d * g**2).sum()
@@ -42,7 +62,7 @@ def schoenfeld_residuals(fit: CoxFit, train: DataFrame) -> DataFrame:
     q = len(fit.columns)
     table = [
         (float(t), float(g), *(float(v) for v in mean))
-        for t, g, mean in zip(fit.times, transformed_time(fit), fit.expected)
+        for t, g, mean in zip(fit.times, fit.transformed_time, fit.expected)
     ]
     schema = "time double, transformed_time double, " + ", ".join(f"_m{k} double" for k in range(q))
     means = train.sparkSession.createDataFrame(table, schema)

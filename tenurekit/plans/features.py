@@ -173,13 +173,13 @@ def study_dataset(tables: Tables, study: StudyConfig) -> DataFrame:
     return survival_dataset(trimmed_tables(tables, study), study, study.min_actions)
 
 
-def engineered_features(survival: DataFrame, study: StudyConfig) -> DataFrame:
+def engineered_features(survival: DataFrame, study: StudyConfig, stored: bool = False) -> DataFrame:
     """Model inputs: capped rates, zero flags, log1p, interactions.
 
     The cap comes from the stored rate, before the rate is recomputed. The data
-    set is read several times to find it, so it is materialised first.
+    set is read several times to find it, so it is materialised first unless it is ``stored``.
     """
-    survival = cut_lineage(survival)
+    survival = survival if stored else cut_lineage(survival)
     cap = F.lit(exact_quantile(survival, "friends_per_year", study.clamp_probability))
     tenure = F.col("tenure_years")
     rate = F.when(tenure > 0, F.col("friend_count") / tenure).otherwise(F.lit(0.0))

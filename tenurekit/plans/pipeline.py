@@ -8,11 +8,8 @@ from tenurekit.columns import LOG_OF, RAW_FEATURES, predictors
 from tenurekit.config import StudyConfig
 from tenurekit.operators import activity as act
 from tenurekit.operators.cleaning import Tables, apply_min_actions, drop_reactivated
-from tenurekit.operators.profiling import (
-    churn_distribution,
-    correlation_matrix,
-    feature_histograms,
-)
+from tenurekit.operators.comoments import correlation_matrix
+from tenurekit.operators.profiling import churn_distribution, feature_histograms
 from tenurekit.operators.quality import (
     dataset_summary,
     nonfinite_pct,
@@ -65,7 +62,7 @@ def clean(tables: Tables, out: str, study: StudyConfig) -> Tables:
 def features(tables: Tables, out: str, study: StudyConfig) -> tuple[DataFrame, DataFrame]:
     """Survival data set and model inputs of cleaned tables, both stored."""
     survival = save_table(survival_dataset(tables, study), f"{out}/survival")
-    return survival, save_table(engineered_features(survival, study), f"{out}/engineered")
+    return survival, save_table(engineered_features(survival, study, stored=True), f"{out}/engineered")
 
 
 def profile_features(survival: DataFrame, engineered: DataFrame, study: StudyConfig):
@@ -97,7 +94,7 @@ def model_reports(engineered: DataFrame, study: StudyConfig) -> dict[str, DataFr
         "leakage_sensitivity": models.leakage_sensitivity(engineered, study),
     }
     if safe.path.beta:
-        plain = fit_unpenalised(safe.train, list(safe.path.beta), drop_dependent=True)
+        plain = fit_unpenalised(safe.train, list(safe.path.beta), True, time_moments=True)
         reports["time_safe_plain_fit"] = plain.table(spark)
         reports["ph_test"] = ph_test(plain, spark)
         reports["schoenfeld_residuals"] = schoenfeld_residuals(plain, safe.train)

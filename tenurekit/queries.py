@@ -19,6 +19,7 @@ from tenurekit.columns import (
 from tenurekit.functions.expressions import bools_to_double, days_between, ratio, whole_number
 from tenurekit.operators import activity as act
 from tenurekit.operators import cleaning, profiling, quality, splitting
+from tenurekit.operators.comoments import correlation_matrix
 from tenurekit.operators.concordance import concordance
 from tenurekit.operators.numbering import number_rows
 from tenurekit.plans import diagnostics, features, models
@@ -487,7 +488,8 @@ def core_feature_columns(spark, folder):
 @query
 def feature_matrix(spark, folder):
     engineered = _engineered(spark, folder)
-    return models.feature_matrix(engineered, predictors(engineered.columns))
+    matrix = models.feature_matrix(engineered, predictors(engineered.columns))
+    return matrix.withColumn("features", F.transform("features", lambda x: F.round(x, 9)))
 
 
 # --- profiles --------------------------------------------------------------------------
@@ -510,7 +512,7 @@ def dataset_summary(spark, folder):
 @query
 def feature_correlation(spark, folder):
     columns = [*LOG_OF, "survival_time", "tenure_years", "tenure_friend_int", "elite_compl_int"]
-    return rounded(profiling.correlation_matrix(_engineered(spark, folder), columns), 8)
+    return rounded(correlation_matrix(_engineered(spark, folder), columns), 8)
 
 
 @query
@@ -590,9 +592,12 @@ def leakage_sensitivity(spark, folder):
     return models.leakage_sensitivity(_engineered(spark, folder), STUDY)
 
 
-def _plain_fit(spark: SparkSession, folder: str) -> tuple[CoxFit, DataFrame]:
-    safe = models.time_safe_model(_engineered(spark, folder), STUDY)
-    return fit_unpenalised(safe.train, list(safe.path.beta), drop_dependent=True), safe.train
+def _plain_fit(spark: SparkSession, folder: str, **options) -> tuple[CoxFit, DataFrame]:
+    """The plain fit of the time-safe predictors; those that depend on others are left out."""
+    engineered = _engineered(spark, folder)
+    train = cut_lineage(models.time_safe_train(engineered, STUDY))
+    columns = core_predictors(engineered.columns)
+    return fit_unpenalised(train, columns, drop_dependent=True, **options), train
 
 
 @query
@@ -602,7 +607,7 @@ def cox_unpenalised(spark, folder):
 
 @query
 def ph_test(spark, folder):
-    return diagnostics.ph_test(_plain_fit(spark, folder)[0], spark)
+    return diagnostics.ph_test(_plain_fit(spark, folder, time_moments=True)[0], spark)
 
 
 @query

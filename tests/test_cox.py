@@ -201,10 +201,55 @@ def test_residual_rows(sample, plain, spark):
     assert sums[NAMES].to_numpy() == pytest.approx(wanted, abs=1e-6)
 
 
+def plain_score_test(beta, x, time, event):
+    """The extended model's score and information, event by event, ties by Efron."""
+    w, at, q = np.exp(x @ beta), np.unique(time[event == 1]), x.shape[1]
+    g, km = [], 1.0
+    for t in at:
+        g.append(1.0 - km)
+        km *= 1 - ((time == t) & (event == 1)).sum() / (time >= t).sum()
+    score, information = np.zeros(2 * q), np.zeros((2 * q, 2 * q))
+    for t, gt in zip(at, g):
+        dead, risk = (time == t) & (event == 1), time >= t
+        both = np.hstack([x, gt * x])
+        d = dead.sum()
+        score += both[dead].sum(axis=0)
+        for r in range(d):
+            left = w * risk - r / d * w * dead
+            mean = left @ both / left.sum()
+            score -= mean
+            information += (both * left[:, None]).T @ both / left.sum() - np.outer(mean, mean)
+    u = np.r_[np.zeros(q), score[q:]]
+    out = {}
+    for j in range(q):
+        use = [*range(q), q + j]
+        out[j] = u[use] @ np.linalg.solve(information[np.ix_(use, use)], u[use])
+    return out, u @ np.linalg.solve(information, u)
+
+
+@pytest.mark.parametrize("days", [1, 40])
+def test_ph_test_equals_the_extended_model(spark, days):
+    x, time, event = simulate(300, seed=days)
+    time = np.ceil(time / days) if days > 1 else time + np.arange(300) / 1024
+    fit = cox.fit_unpenalised(frame_of(spark, x, time, event), NAMES, time_moments=True)
+    if days > 1:
+        assert (fit.events > 2).any()
+    else:
+        assert (fit.events == 1).all()
+    terms, overall = plain_score_test(fit.coefficients, x, time, event)
+    found = {r.term: r.chisq for r in diagnostics.ph_test(fit, spark).collect()}
+    assert [found[c] for c in NAMES] == pytest.approx([terms[j] for j in range(4)], rel=1e-8, abs=1e-8)
+    assert found["GLOBAL"] == pytest.approx(overall, rel=1e-8, abs=1e-8)
+    assert fit.time_information[0] == pytest.approx(np.linalg.inv(fit.variance), rel=1e-6)
+
+
 def test_proportional_hazards(spark, plain):
-    steady = {r.term: r.p for r in diagnostics.ph_test(plain, spark).collect()}
+    with pytest.raises(ValueError, match="time_moments"):
+        diagnostics.ph_test(plain, spark)
+    steady = {r.term: r.p for r in diagnostics.residual_ph_test(plain, spark).collect()}
     assert steady["GLOBAL"] > 0.001
     x, time, event = simulate(seed=2, drift=1.2)
-    broken = cox.fit_unpenalised(frame_of(spark, x, time, event), ["a", "b"])
-    drifting = {r.term: r.p for r in diagnostics.ph_test(broken, spark).collect()}
-    assert drifting["a"] < 1e-6 and drifting["GLOBAL"] < 1e-6
+    broken = cox.fit_unpenalised(frame_of(spark, x, time, event), ["a", "b"], time_moments=True)
+    for test in (diagnostics.ph_test, diagnostics.residual_ph_test):
+        drifting = {r.term: r.p for r in test(broken, spark).collect()}
+        assert drifting["a"] < 1e-6 and drifting["GLOBAL"] < 1e-6

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from tenurekit.operators import profiling, quality, splitting
+from tenurekit.operators.comoments import MERGERS, correlation_matrix
 from tenurekit.operators.numbering import number_rows
 from tenurekit.plans.models import feature_matrix
 
@@ -41,11 +42,42 @@ def test_correlation(spark):
     y = y + x
     data = [(float(a), float(b), 1.0) for a, b in zip(x, y)] + [(None, 5.0, 1.0)]
     frame = spark.createDataFrame(data, "a double, b double, c double")
-    found = {(r.x, r.y): r.r for r in profiling.correlation_matrix(frame, list("abc")).collect()}
+    found = {(r.x, r.y): r.r for r in correlation_matrix(frame, list("abc")).collect()}
     assert found["a", "b"] == pytest.approx(np.corrcoef(x, y)[0, 1])
     assert found["a", "c"] is None and found["b", "c"] is None
 
 
+@pytest.mark.parametrize("width, partitions", [(5, 1), (7, 40), (200, 6)])
+def test_correlation_of_columns_with_gaps_and_offsets(spark, width, partitions):
+    rng = np.random.default_rng(width)
+    x = rng.normal(size=(400, width)) + rng.normal(size=(400, 1))
+    x = x * 10.0 ** rng.integers(-3, 4, width) + np.where(np.arange(width) % 2, 1e9, 0.0)
+    x[:, 1] = rng.integers(0, 3, 400) + 1e9
+    gone = rng.random((400, width)) < rng.choice([0.0, 0.1, 0.6], width)
+    gone[: 400 // 2, 0] = True
+    names = [f"f.{k}" for k in range(width)]
+    rows = [[None if g else float(v) for v, g in zip(r, m)] for r, m in zip(x, gone)]
+    frame = spark.createDataFrame(rows, ", ".join(f"`{c}` double" for c in names)).repartition(partitions)
+    found = {(r.x, r.y): r.r for r in correlation_matrix(frame, names).collect()}
+    assert len(found) == width * (width - 1) // 2 and MERGERS > 1
+    for (a, b), r in list(found.items())[:: 1 if width < 20 else 97]:
+        i, j = names.index(a), names.index(b)
+        both = ~gone[:, i] & ~gone[:, j]
+        # Offsets are taken off before the plain version, which would lose digits.
+        u, v = (x[both, k] - x[both, k][0] for k in (i, j))
+        assert r == pytest.approx(np.corrcoef(u, v)[0, 1], abs=1e-9)
+
+
+def test_correlation_of_constants_nans_and_nothing(spark):
+    data = [(0.1, 1.0, float("nan"), None), (0.1, 2.0, 1.0, 5.0), (0.1, 4.0, 2.0, 6.0), (0.1, None, 3.0, 9.0)] * 50
+    frame = spark.createDataFrame(data, "a double, b double, c double, d double").repartition(7)
+    found = {(r.x, r.y): r.r for r in correlation_matrix(frame, list("abcd")).collect()}
+    assert found["a", "b"] is None and found["a", "d"] is None
+    assert np.isnan(found["b", "c"]) and found["b", "d"] == pytest.approx(1.0)
+    assert found["c", "d"] == pytest.approx(np.corrcoef([1, 2, 3], [5, 6, 9])[0, 1])
+    assert [r.r for r in correlation_matrix(frame.limit(0), list("abc")).collect()] == [None] * 3
+
+
 def test_histogram(spark, rows):
     data = [(float(v), 3.0, None) for v in range(31)]
     frame = spark.createDataFrame(data, "a double, b double, c double")
