@@ -557,7 +557,9 @@ def _newton(data: RiskSetData, use: np.ndarray, time_moments: bool = False) -> C
             moments = None
             if time_moments:
                 g = kaplan_meier_time(d, at_risk)
-                moments = _time_information(data, use, beta, g, r1, e1, ties) * np.outer(scale, scale)
+                moments = _time_information(data, use, beta, g, r1, e1, ties)
+                information = moments[0]  # with this pass's own hazard
+                moments = moments * np.outer(scale, scale)
             return CoxFit(
                 columns,
                 beta / scale,
