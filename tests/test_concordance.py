@@ -27,7 +27,7 @@ def test_local_count():
     assert found == brute(score, time, event)
 
 
-@pytest.mark.parametrize("leaf_rows", [2, 40, 100_000])
+@pytest.mark.parametrize("leaf_rows", [2, 10, 40, 100_000])
 def test_levels_count_every_pair_once(spark, monkeypatch, leaf_rows):
     monkeypatch.setattr(con, "FANOUT", 3)
     score, time, event = data(seed=4)
@@ -48,3 +48,39 @@ def test_weights_beyond_64_bits():
     zero = np.zeros(3, dtype=np.int64)
     found = con.count_pairs(np.array([3.0, 2.0, 1.0]), np.array([1.0, 2.0, 3.0]), big, zero)
     assert found == (3 * 2**80, 0, 0)
+
+
+@pytest.mark.parametrize("leaf_rows", [3, 25])
+def test_levels_of_time_count_every_pair_once(spark, monkeypatch, leaf_rows):
+    monkeypatch.setattr(con, "FANOUT", 4)
+    rng = np.random.default_rng(leaf_rows)
+    score = np.where(rng.random(500) < 0.4, 7.0, rng.integers(0, 60, 500))
+    time = np.where(rng.random(500) < 0.3, 11.0, rng.random(500) * 30)
+    event = rng.integers(0, 2, 500)
+    frame = spark.createDataFrame(
+        [(float(s), float(t), int(e)) for s, t, e in zip(score, time, event)],
+        "s double, survival_time double, churned int",
+    )
+    rows = con.compared_rows(frame, ["s"], leaf_rows=leaf_rows)
+    assert rows.agg({"time_level": "max"}).first()[0] > 1
+    found = con.concordance(frame, ["s"], leaf_rows=leaf_rows).first()
+    assert (found.concordant, found.discordant, found.tied) == brute(score, time, event)
+
+
+def test_groups_are_bounded_whatever_the_times(spark, monkeypatch):
+    monkeypatch.setattr(con, "FANOUT", 16)
+    # A million different times; a third of all rows have one score.
+    frame = spark.range(1_000_000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 5.0D ELSE CAST(pmod(hash(id), 100000) AS DOUBLE) END AS s",
+        "CAST(pmod(id * 7919, 1000003) AS DOUBLE) AS survival_time",
+        "CAST(id % 2 AS INT) AS churned",
+    )
+    leaf_rows = 20_000
+    rows = con.compared_rows(frame, ["s"], leaf_rows=leaf_rows)
+    largest = rows.groupBy(*con.GROUP).count().agg({"count": "max"}).first()[0]
+    assert largest <= 2 * leaf_rows
+    found = con.concordance(frame, ["s"], leaf_rows=leaf_rows).first()
+    events = np.arange(1_000_000) % 2
+    ranked = np.argsort(np.arange(1_000_000) * 7919 % 1000003)
+    comparable = int((events[ranked] * (999_999 - np.arange(1_000_000))).sum())
+    assert found.concordant + found.discordant + found.tied == comparable
