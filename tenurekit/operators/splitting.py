@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenurekit.functions.expressions import hash_fraction_bits
 
+#: Digits of a round, so at most 65,536 buckets; digits of a hash; rows that may be put in order.
 SAMPLE_HEX_DIGITS = 4
+MD5_DIGITS = 32
+FEW_ROWS = 4096
 
 
 def time_split(df: DataFrame, train_join_end: date) -> DataFrame:
@@ -24,31 +27,39 @@ def min_tenure(df: DataFrame, years: float | None) -> DataFrame:
 def seeded_sample(df: DataFrame, n: int, seed: int, key: str = "user_id") -> DataFrame:
     """Exactly ``n`` rows (all, if there are fewer): those with the smallest md5 of ``key:seed``.
 
-    A plain sort with limit would merge n rows of every partition in one task.
-    Instead the hashes are counted in 65,536 buckets; buckets below the cut are
-    taken whole and only the bucket at the cut is put in order.
+    Rows are counted by the leading hex digits of their hash, which gives the bucket with the last row
+    taken; if it is large, that bucket by its next digits, and so on until it holds few rows. Only these
+    are put in order to find the last hash; everything else is a filter. Memory depends on the number of
+    buckets and ``FEW_ROWS``, not on the rows.
     """
-    hashed = df.withColumn("_bucket", hash_fraction_bits(F.col(key), seed, SAMPLE_HEX_DIGITS))
-    taken = 0
-    cut = None
-    counts = hashed.groupBy("_bucket").agg(F.count("*").alias("c"))
-    for bucket, count in sorted(counts.collect()):
-        if taken + count >= n:
-            cut = bucket
-            break
-        taken += count
-    if cut is None:
-        return df
+    if n <= 0:
+        return df.limit(0)
     digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
-    order = Window.partitionBy("_bucket").orderBy(digest, F.col(key))
-    whole = hashed.filter(F.col("_bucket") < cut)
-    edge = (
-        hashed.filter(F.col("_bucket") == cut)
-        .withColumn("_rank", F.row_number().over(order))
-        .filter(F.col("_rank") <= n - taken)
-        .drop("_rank")
-    )
-    return whole.unionByName(edge).drop("_bucket")
+    hashes = df.select(digest.alias("h"))
+    prefix, left = "", n
+    while True:
+        start = F.substring("h", len(prefix) + 1, SAMPLE_HEX_DIGITS).alias("digits")
+        inside = hashes.filter(F.col("h").startswith(prefix)) if prefix else hashes
+        for digits, count in sorted(inside.groupBy(start).count().collect()):
+            if count >= left:
+                break
+            left -= count
+        else:
+            return df
+        prefix += digits
+        if count <= FEW_ROWS or len(prefix) >= MD5_DIGITS:
+            break
+    at_cut = hashes.filter(F.col("h").startswith(prefix))
+    if count <= FEW_ROWS:
+        ordered = at_cut.orderBy("h").limit(left).agg(F.max("h").alias("h"), F.collect_list("h").alias("all")).first()
+        last, equal = ordered["h"], ordered["all"].count(ordered["h"])
+        more = at_cut.filter(F.col("h") == last).limit(equal + 1).count() > equal
+    else:
+        last, equal, more = prefix, left, count > left
+    if not more:
+        return df.filter(digest <= last)
+    # Rows of one key have one hash; any of them will do.
+    return df.filter(digest < last).unionByName(df.filter(digest == last).limit(equal))
 
 
 def with_folds(df: DataFrame, k: int, seed: int, key: str = "user_id") -> DataFrame:

@@ -175,10 +175,29 @@ def scan_tips(spark, folder):
     return ndjson.scan_tips(spark, _tip_file(spark, folder), kept)
 
 
+@query
+def scan_with_bad_lines(spark, folder):
+    """Lines of a review file of which some are cut off and some hold an impossible date."""
+    lines = spark.read.text(_review_file(spark, folder))
+    order = F.get_json_object("value", "$.text").substr(7, 20).cast("long")
+    broken = F.when(order % 50 == 0, F.substring("value", 1, 30))
+    wrong = F.when(order % 50 == 1, F.regexp_replace("value", '"date":"[0-9]{4}', '"date":"year'))
+    path = scratch_path(spark, "review")
+    lines.select(F.coalesce(broken, wrong, "value").alias("value")).write.text(path)
+    aside = ndjson.SetAside(scratch_path(spark, "aside"))
+    kept = ndjson.scan_businesses(spark, _business_file(spark, folder), STUDY.category)
+    reviews = ndjson.scan_reviews(spark, path, kept, aside.read)
+    of_category = reviews.agg(F.lit("of the category").alias("what"), F.count("*").alias("n"))
+    counts = aside.line_counts(spark, [path]).selectExpr("stack(3, 'lines', n_lines, 'rows', n_rows, 'bad', n_bad) AS (what, n)")
+    return counts.unionByName(of_category)
+
+
 @query
 def table_roundtrip(spark, folder):
-    users = roles.users(spark, folder)
-    return tables.save_table(users, scratch_path(spark, "users")).select("user_id", "name", SINCE)
+    path = scratch_path(spark, "users")
+    first = tables.save_table(roles.users(spark, folder).withColumn("name", F.lit("old")), path)
+    tables.save_table(first.drop("name").join(roles.users(spark, folder).select("user_id", "name"), "user_id"), path)
+    return tables.load_table(spark, path).select("user_id", "name", SINCE)
 
 
 @query

@@ -1,21 +1,85 @@
-"""Tables on disk: write, replace, read back, snapshot, preview."""
+"""Tables on disk: write, replace, read back, snapshot, preview.
+
+A table is a folder with one folder of Parquet files per version and a small file that names the current
+one. A new version is written beside the old, and only a finished one is named, by renaming a new pointer
+over the old in one step. So a write that fails leaves the old table as it was, readers of the old version
+go on reading it, and a table can be replaced by a frame that reads it. The version before the current one
+stays for such readers; older ones go. One writer at a time is assumed.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tenurekit.operators.quality import table_counts
+POINTER, VERSION = "CURRENT", "version-"
+
+
+class _Folder:
+    """The few steps on files, by the drivers that Spark itself writes with."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.jvm, self.gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+        self.path, self.conf = path.rstrip("/"), spark.sparkContext._jsc.hadoopConfiguration()
+        self.system = self.at("").getFileSystem(self.conf)
+
+    def at(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def current(self) -> str | None:
+        """The version that the pointer names."""
+        if not self.system.exists(self.at(POINTER)):
+            return None
+        stream = self.system.open(self.at(POINTER))
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def point_to(self, version: str) -> None:
+        """Name the current version, for all later readers at once."""
+        fresh = self.at(f"{POINTER}-{version}")
+        stream = self.system.create(fresh)
+        stream.write(bytearray(version.encode()))
+        stream.close()
+        rename = self.jvm.org.apache.hadoop.fs.Options.Rename
+        options = self.gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.at("").toUri(), self.conf)
+        context.rename(fresh, self.at(POINTER), options)
+
+    def remove_all_but(self, versions: set[str | None]) -> None:
+        for status in self.system.listStatus(self.at("")):
+            name = status.getPath().getName()
+            if name.startswith(VERSION) and name not in versions:
+                self.system.delete(status.getPath(), True)
+
 
+def save_table(df: DataFrame, path: str, count: bool = False) -> DataFrame | tuple[DataFrame, int]:
+    """Write a table, replacing what is there, and return it as read from disk.
 
-def save_table(df: DataFrame, path: str) -> DataFrame:
-    """Write a table, replacing what is there, and return it as read from disk."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    With ``count`` also the number of rows written, observed while they are.
+    """
+    spark, seen = df.sparkSession, Observation()
+    folder = _Folder(spark, path)
+    before, version = folder.current(), f"{VERSION}{uuid.uuid4().hex}"
+    written = df.observe(seen, F.count(F.lit(1)).alias("n")) if count else df
+    written.write.parquet(f"{folder.path}/{version}")
+    folder.point_to(version)
+    folder.remove_all_but({before, version})
+    # The schema is known, so no file is opened to find it; nullability is what files can promise.
+    out = spark.read.schema(df.schema).parquet(f"{folder.path}/{version}")
+    return (out, seen.get["n"]) if count else out
 
 
 def load_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The current version of a table."""
+    version = _Folder(spark, path).current()
+    if version is None:
+        raise FileNotFoundError(f"no table at {path}")
+    return spark.read.parquet(f"{path.rstrip('/')}/{version}")
 
 
 def save_snapshot(tables: dict[str, DataFrame], folder: str) -> dict[str, DataFrame]:
@@ -24,8 +88,13 @@ def save_snapshot(tables: dict[str, DataFrame], folder: str) -> dict[str, DataFr
 
 
 def snapshot_counts(tables: dict[str, DataFrame], folder: str) -> DataFrame:
-    """Write a snapshot and count the rows that arrived."""
-    return table_counts(save_snapshot(tables, folder))
+    """Write a snapshot and tell how many rows arrived, counted while they were written."""
+    rows = [
+        (name, save_table(df, f"{folder.rstrip('/')}/{name}", count=True)[1])
+        for name, df in tables.items()
+    ]
+    spark = next(iter(tables.values())).sparkSession
+    return spark.createDataFrame(rows, "table_name string, n long")
 
 
 def drop_columns(df: DataFrame, columns: list[str]) -> DataFrame:

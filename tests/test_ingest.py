@@ -103,3 +103,30 @@ def test_numbers_are_rounded_half_away_from_zero(spark, rows):
     texts = spark.createDataFrame([("4.0",), ("2.5",), ("-2.5",), ("7",), (None,)], "t string")
     found = texts.select(ndjson.whole_number(texts.t).alias("n"))
     assert rows(found) == sorted([(4,), (3,), (-3,), (7,), (None,)], key=repr)
+
+
+def test_bad_lines_are_set_aside_and_counts_add_up(spark, paths, tmp_path, rows):
+    with open(paths["review"], "a") as file:
+        file.write('\n{"review_id": "r9", "user_id": "u1", "business_id": "b1", "date": "2019-0')
+        file.write('\n{"review_id": "r10", "user_id": "u1", "business_id": "b1", "date": "once", "stars": 4}')
+        file.write('\n{"review_id": "r11", "user_id": "u1", "business_id": "b2", "date": "2019-02-05", "stars": 3}\n\n')
+    with open(paths["user"], "a") as file:
+        file.write('\n{"user_id": "u99", "fans": "many"}\nnot even close')
+    with pytest.raises(Exception):
+        ndjson.load_tables(spark, paths, "Restaurants")["reviews"].collect()
+    aside = ndjson.SetAside(str(tmp_path / "aside"))
+    tables = ndjson.load_tables(spark, paths, "Restaurants", aside)
+    assert rows(tables["reviews"], "review_id") == [("r0",), ("r1",), ("r11",)]
+    assert "u99" not in {r.user_id for r in tables["users"].collect()}
+    files = [paths["review"], paths["user"]]
+    assert rows(aside.line_counts(spark, files)) == [("review.json", 7, 5, 2), ("user.json", 9, 7, 2)]
+    bad = rows(aside.bad_lines(spark, files), "file", "reason")
+    assert bad == [("review.json", "date"), ("review.json", "not JSON"), ("user.json", "fans"), ("user.json", "not JSON")]
+    lines = {r.line for r in aside.bad_lines(spark, files).collect()}
+    assert "not even close" in lines and any('"date":"once"' in x for x in lines)
+
+
+def test_a_category_has_no_wildcards(spark, tmp_path):
+    path = write(tmp_path / "b.json", [{"business_id": c, "categories": c} for c in ("100% Organic", "1000 Organic", "a_b", "aXb")])
+    assert [r.business_id for r in ndjson.scan_businesses(spark, path, "100% organic").collect()] == ["100% Organic"]
+    assert [r.business_id for r in ndjson.scan_businesses(spark, path, "A_B").collect()] == ["a_b"]

@@ -6,6 +6,7 @@ from conftest import SMALL
 from tenurekit import queries
 from tenurekit.columns import SINCE
 from tenurekit.plans import pipeline
+from tenurekit.sources.tables import load_table
 from tenurekit.sources.roles import ROLE_STUDY, users
 
 
@@ -30,6 +31,6 @@ def test_whole_study_from_files(spark, tmp_path):
     assert reports["leakage_sensitivity"].count() == 16
     assert 0 <= reports["full_concordance"].first().c_index <= 1
     assert reports["leakage_flags"].filter("note IS NOT NULL").first().variable == "tenure_years"
-    kept = spark.read.parquet(str(tmp_path / "out" / "engineered"))
+    kept = load_table(spark, str(tmp_path / "out" / "engineered"))
     assert kept.count() == reports["dataset_summary"].first().n_users > 50
     assert reports["ph_test"].filter("term = 'GLOBAL'").count() == 1

@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 
@@ -97,6 +99,26 @@ def test_sample_is_exact_and_reproducible(spark, rows):
     assert splitting.seeded_sample(frame, 5000, 5).count() == 5000
 
 
+@pytest.mark.parametrize("digits, few", [(1, 3), (2, 1), (4, 4096)])
+def test_sample_takes_the_smallest_hashes(spark, monkeypatch, digits, few):
+    monkeypatch.setattr(splitting, "SAMPLE_HEX_DIGITS", digits)
+    monkeypatch.setattr(splitting, "FEW_ROWS", few)
+    frame = spark.range(700).withColumnRenamed("id", "user_id")
+    order = sorted(range(700), key=lambda k: hashlib.md5(f"{k}:9".encode()).hexdigest())
+    for n in (0, 1, 2, 350, 699, 700, 701):
+        found = splitting.seeded_sample(frame, n, 9)
+        assert sorted(r.user_id for r in found.collect()) == sorted(order[:n])
+        assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("few", [2, 4096])
+def test_sample_of_repeated_keys_is_exact(spark, monkeypatch, few):
+    monkeypatch.setattr(splitting, "FEW_ROWS", few)
+    frame = spark.range(60).selectExpr("id % 3 AS user_id", "id AS other")
+    for n in (1, 19, 20, 21, 40, 41, 59, 60):
+        assert splitting.seeded_sample(frame, n, 4).count() == n
+
+
 def test_folds(spark):
     frame = spark.range(5000).withColumnRenamed("id", "user_id")
     sizes = [r["count"] for r in splitting.with_folds(frame, 5, 1).groupBy("fold").count().collect()]
