@@ -78,6 +78,23 @@ def user_facts(tables: Tables) -> DataFrame:
     )
 
 
+def _co_located_facts(users: DataFrame, tables: Tables) -> DataFrame:
+    """Users with their facts, table by table, where all tables are bucketed by user: no shuffle at all."""
+    reviews = tables["reviews"].withColumn("votes", _valid_votes(tables["reviews"])).groupBy("user_id").agg(
+        F.max("date").alias("last_review"), F.count("*").alias("n_reviews"),
+        F.sum("votes").alias("total_votes_received"), F.avg("votes").alias("avg_votes_per_review"),
+    )
+    tips = tables["tips"].groupBy("user_id").agg(F.max("date").alias("last_tip"), F.count("*").alias("n_tips"))
+    joined = users
+    for facts in (reviews, tips, friend_counts(tables["user_friends"]), elite_counts(tables["user_elite_years"])):
+        # Other joins would move a side that lies where it is needed.
+        joined = joined.join(facts.hint("merge"), "user_id", "left")
+    posts = F.coalesce("n_reviews", F.lit(0)) + F.coalesce("n_tips", F.lit(0))
+    return joined.withColumns(
+        {"last_post": F.greatest("last_review", "last_tip"), "total_posts": F.nullif(posts, F.lit(0))}
+    )
+
+
 def _with_timeline(users_with_facts: DataFrame) -> DataFrame:
     """Join date and tenure; only users whose last event is after they joined."""
     joined = F.col(SINCE)
@@ -120,12 +137,15 @@ def _with_social(timeline: DataFrame) -> DataFrame:
     )
 
 
-def _social_frame(tables: Tables, min_actions: int = 0) -> DataFrame:
+def _social_frame(tables: Tables, min_actions: int = 0, co_located: bool = False) -> DataFrame:
     users = tables["users"].select("user_id", SINCE, *COMPLIMENTS)
-    facts = user_facts(tables)
+    if co_located:
+        joined = _co_located_facts(users, tables)
+    else:
+        joined = users.join(user_facts(tables), "user_id")
     if min_actions > 0:
-        facts = facts.filter(F.col("total_posts") >= min_actions)
-    return _with_social(_with_timeline(users.join(facts, "user_id")))
+        joined = joined.filter(F.col("total_posts") >= min_actions)
+    return _with_social(_with_timeline(joined))
 
 
 def user_social(tables: Tables) -> DataFrame:
@@ -133,16 +153,18 @@ def user_social(tables: Tables) -> DataFrame:
     return _social_frame(tables).select("user_id", *SURVIVAL_COLUMNS[4:13])
 
 
-def survival_dataset(tables: Tables, study: StudyConfig, min_actions: int = 0) -> DataFrame:
+def survival_dataset(
+    tables: Tables, study: StudyConfig, min_actions: int = 0, co_located: bool = False
+) -> DataFrame:
     """One row per user with features, survival time in days and churn flag.
 
     ``tables`` are taken as they are; see ``study_dataset`` for the trimmed and
-    cleaned version.
+    cleaned version. ``co_located`` tables are bucketed by user alike.
     """
     end, joined, last = F.lit(study.window_end), F.col("join_date"), F.col("last_post")
     gone = days_between(end, last) > study.churn_days
     return (
-        _social_frame(tables, min_actions)
+        _social_frame(tables, min_actions, co_located)
         .filter((joined <= F.lit(study.last_join)) & (joined != last))
         .withColumn(
             "survival_time",

@@ -27,7 +27,7 @@ from tenurekit.sources.tables import save_snapshot, save_table
 
 def load(spark: SparkSession, paths: dict[str, str], out: str, study: StudyConfig) -> Tables:
     """Files to five stored tables; users, friend pairs and elite years must have unique keys."""
-    tables = save_snapshot(load_tables(spark, paths, study.category), f"{out}/loaded")
+    tables = save_snapshot(load_tables(spark, paths, study.category), f"{out}/loaded", by="user_id")
     require_unique(tables["users"], ["user_id"], "users")
     require_unique(tables["user_friends"], ["user_id", "friend_id"], "user_friends")
     require_unique(tables["user_elite_years"], ["user_id", "elite_year"], "user_elite_years")
@@ -56,12 +56,12 @@ def clean(tables: Tables, out: str, study: StudyConfig) -> Tables:
     """Trimmed, active enough, not reactivated; stored as the snapshot later steps read."""
     kept = apply_min_actions(trimmed_tables(tables, study), study.min_actions)
     kept = drop_reactivated(kept, study.window_end, study.reactivation_days)
-    return save_snapshot(kept, f"{out}/cleaned")
+    return save_snapshot(kept, f"{out}/cleaned", by="user_id")
 
 
 def features(tables: Tables, out: str, study: StudyConfig) -> tuple[DataFrame, DataFrame]:
     """Survival data set and model inputs of cleaned tables, both stored."""
-    survival = save_table(survival_dataset(tables, study), f"{out}/survival")
+    survival = save_table(survival_dataset(tables, study, co_located=True), f"{out}/survival")
     return survival, save_table(engineered_features(survival, study, stored=True), f"{out}/engineered")
 
 

@@ -52,3 +52,14 @@ def test_a_snapshot_counts_while_it_writes(spark, tmp_path, rows, monkeypatch):
 def test_preview(spark, rows):
     frame = spark.createDataFrame([(3, "c"), (None, "x"), (1, "a"), (2, "b")], "k int, v string")
     assert [r.v for r in tables.preview(frame, ["k"], 3).collect()] == ["a", "b", "c"]
+
+
+def test_bucketed_tables_are_replaced_too(spark, tmp_path, rows):
+    path = str(tmp_path / "t")
+    frame = spark.range(50).selectExpr("id % 7 AS k", "CAST(id AS DECIMAL(9, 2)) AS v", "array(id) AS `a b`")
+    tables.save_table(frame, path, by="k", buckets=3)
+    found = tables.load_table(spark, path)
+    assert rows(found) == rows(frame) and found.dtypes == frame.dtypes
+    assert tables.save_table(found.filter("k > 2"), path, count=True, by="k", buckets=5)[1] == 28
+    tables.save_table(tables.load_table(spark, path).limit(3), path)
+    assert tables.load_table(spark, path).count() == 3
