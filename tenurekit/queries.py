@@ -624,6 +624,27 @@ def cox_unpenalised(spark, folder):
     return _plain_fit(spark, folder)[0].table(spark)
 
 
+@query
+def cox_score_equations(spark, folder):
+    """Whether the plain fit's coefficients are the maximum, worked out apart from the fit."""
+    return diagnostics.score_equations(*_plain_fit(spark, folder))
+
+
+@query
+def cox_enet_optimality(spark, folder):
+    """Whether the penalised coefficients meet their conditions, worked out apart from the fit."""
+    model = models.full_model(_engineered(spark, folder), STUDY)
+    found = diagnostics.optimality(model.path, model.train, STUDY.alpha)
+    return found.withColumn("holds", F.col("holds").cast("int"))
+
+
+@query
+def survival_from_snapshot(spark, folder):
+    """The data set over a stored snapshot that is bucketed by user."""
+    stored = tables.save_snapshot(roles.role_tables(spark, folder), scratch_path(spark, "snapshot"), by="user_id")
+    return rounded(features.survival_dataset(features.trimmed_tables(stored, STUDY), STUDY, STUDY.min_actions, co_located=True))
+
+
 @query
 def ph_test(spark, folder):
     return diagnostics.ph_test(_plain_fit(spark, folder, time_moments=True)[0], spark)

@@ -253,3 +253,29 @@ def test_proportional_hazards(spark, plain):
     for test in (diagnostics.ph_test, diagnostics.residual_ph_test):
         drifting = {r.term: r.p for r in test(broken, spark).collect()}
         assert drifting["a"] < 1e-6 and drifting["GLOBAL"] < 1e-6
+
+
+def test_scores_by_functions_alone(sample, plain):
+    x, time, event, frame = sample
+    beta = dict(zip(NAMES, [0.3, -0.1, 0.0, 0.2]))
+    found = {r.variable: r for r in diagnostics.scores(frame, beta, NAMES, efron=False).collect()}
+    wanted = breslow_gradient(np.array(list(beta.values())), x, time, event)
+    assert [found[c].score for c in NAMES] == pytest.approx(wanted, rel=1e-9)
+    assert [found[c].sd for c in NAMES] == pytest.approx(x.std(axis=0), rel=1e-9)
+    h = 1e-5
+    for k, c in enumerate(NAMES):
+        b, step = np.array(list(beta.values())), h * np.eye(4)[k]
+        slope = (efron(b + step, x, time, event) - efron(b - step, x, time, event)) / (2 * h)
+        tied = diagnostics.scores(frame, beta, NAMES, efron=True).filter(f"variable = '{c}'").first()
+        assert tied.score == pytest.approx(slope, rel=1e-4, abs=1e-2)
+    assert all(r.score == 0 for r in diagnostics.score_equations(plain, frame).collect())
+
+
+def test_optimality_is_noticed_and_its_lack_too(sample):
+    frame = sample[3]
+    data = risksets.prepare(frame, NAMES, folds=5)
+    path = cox.fit_paths(data, [NAMES], alpha=0.5, n_lambdas=8)[0]
+    data.close()
+    assert all(r.holds for r in diagnostics.optimality(path, frame, 0.5).collect())
+    path.coefficients[path.best] *= 1.001
+    assert not all(r.holds for r in diagnostics.optimality(path, frame, 0.5).collect())
