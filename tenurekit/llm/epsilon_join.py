@@ -9,7 +9,8 @@ to runs of a few vectors; a pair whose bounding boxes lie more than epsilon apar
 is compared by cosine in double precision.
 
 A task gives counts of links per vector and a spanning forest of its links, never the links themselves.
-Equal vectors are one node with a number of copies.
+Equal vectors are one node with a number of copies, named by the vector, so rows that share an id but not
+a vector go by their own.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link with
 nothing and keep to themselves; vectors of different lengths are never compared; rows without an id link
@@ -278,7 +279,10 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, lead: int = LEAD, b
     rows, _ = stored(nodes_of(vectors), "vectors")
     key = ["print_a", "print_b", "dimension"]
     heads, _ = stored(
-        rows.filter("usable").groupBy(key).agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")), "vector-heads"
+        rows.filter("usable").groupBy(key)
+        .agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
+        .withColumn("node", F.xxhash64(*key)),
+        "vector-heads",
     )
     epsilon = math.sqrt(2 - 2 * cosine) + SLACK
     basis = fit_basis(heads, lead)
@@ -287,9 +291,11 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, lead: int = LEAD, b
     found, _ = stored(join_blocks(blocks, near_blocks(blocks, epsilon), cosine, epsilon, basis, lead, kind), "vector-links")
     counts = found.filter("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("outer_links"))
     labels = components(found.filter("b IS NOT NULL").select("a", "b"))
+    grouped = heads.select(*key, "node", "least_id", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
+    least = grouped.groupBy("label").agg(F.min("least_id").alias("component_id"))
     named = (
-        heads.select(*key, "node", "copies").join(counts, "node", "left").join(labels, "node", "left")
-        .select(*key, (F.coalesce("outer_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+        grouped.join(counts, "node", "left").join(least, "label")
+        .select(*key, (F.coalesce("outer_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     )
     linked = rows.filter("usable").select("vec_id", *key).join(named, key).select("vec_id", "n_links", "component_id")
     alone = rows.filter("NOT usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

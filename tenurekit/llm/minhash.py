@@ -14,8 +14,8 @@ its pairs.
 
 Defined cases: a text of fewer words than a shingle is one shingle; null and empty texts, and texts of
 white space, have an empty set and link with nothing; documents without an id link with nothing and
-stay; equal sets share the smallest id; rows that share an id but not a text go by their own text; an
-empty table gives no rows.
+stay; equal sets share the smallest id; nodes are named by their sets, so rows that share an id but not a
+text go by their own text; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -96,14 +96,14 @@ def odd_sketch(values: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """Per document: size and two fingerprints of its set, band keys and odd sketch (null for an empty set)."""
+    """Per document: size and two fingerprints of its set, band keys and odd sketch (null for an empty set), a hash of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_slices(batches):
             sizes, prints, keys, sketches = [], [], [], []
             for found in shingle_sets(texts):
                 sizes.append(len(found))
-                prints.append((as_long(found.sum(dtype=np.uint64, keepdims=True))[0], as_long(mixed(found).sum(dtype=np.uint64, keepdims=True))[0]))
+                prints.append(_prints(found))
                 values = minhash(found) if len(found) else None
                 keys.append(None if values is None else as_long(band_keys(values)))
                 sketches.append(None if values is None else as_long(odd_sketch(values)))
@@ -111,16 +111,16 @@ def signatures(docs: DataFrame) -> DataFrame:
                 [
                     batch.column(0),
                     pa.array(sizes, pa.int64()),
-                    *(pa.array([int(p[k]) for p in prints], pa.int64()) for k in (0, 1)),
+                    *(pa.array([p[k] for p in prints], pa.int64()) for k in (0, 1)),
                     pa.array(keys, pa.list_(pa.int64())),
                     pa.array(sketches, pa.list_(pa.int64())),
+                    batch.column(2),
                 ],
-                names=["doc_id", "n_shingles", "print_a", "print_b", "keys", "sketch"],
+                names=["doc_id", *KEY, "keys", "sketch", "text_key"],
             )
 
-    return id_and_text(docs).mapInArrow(
-        run, "doc_id long, n_shingles long, print_a long, print_b long, keys array<long>, sketch array<long>"
-    )
+    shape = "doc_id long, n_shingles long, print_a long, print_b long, keys array<long>, sketch array<long>, text_key long"
+    return id_and_text(docs).withColumn("text_key", F.xxhash64("text")).mapInArrow(run, shape)
 
 
 def _bits(a: Column, b: Column) -> Column:
@@ -165,16 +165,38 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def node_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Full sets of some nodes, as sorted hashes in bytes."""
+#: What tells sets apart.
+KEY = ("n_shingles", "print_a", "print_b")
+
+
+def _node() -> Column:
+    """Name of a set: a hash of its size and fingerprints, not below 0."""
+    return F.xxhash64(*KEY).bitwiseAND(F.lit((1 << 63) - 1)).alias("node")
+
+
+def _prints(found: np.ndarray) -> tuple[int, int]:
+    """Two fingerprints of a set."""
+    return tuple(int(as_long(x.sum(dtype=np.uint64, keepdims=True))[0]) for x in (found, mixed(found)))
+
+
+def node_sets(docs: DataFrame, heads: DataFrame) -> DataFrame:
+    """node and full set, as sorted hashes in bytes, of the documents with the given ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_slices(batches):
-            found = [s.astype("<u8").tobytes() for s in shingle_sets(texts)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], names=["node", "set"])
+        for _, texts in text_slices(batches):
+            found = list(shingle_sets(texts))
+            prints = [_prints(s) for s in found]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([len(s) for s in found], pa.int64()),
+                    *(pa.array([p[k] for p in prints], pa.int64()) for k in (0, 1)),
+                    pa.array([s.astype("<u8").tobytes() for s in found], pa.binary()),
+                ],
+                names=[*KEY, "set"],
+            )
 
-    heads = id_and_text(docs).join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id")
-    return heads.select(F.col("doc_id").alias("node"), "text").mapInArrow(run, "node long, set binary")
+    texts = id_and_text(docs).join(heads.select(F.col("least_id").alias("doc_id")).distinct(), "doc_id").select("text")
+    return texts.mapInArrow(run, "n_shingles long, print_a long, print_b long, set binary").select(_node(), "set")
 
 
 def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -342,26 +364,33 @@ def rest_links(members: DataFrame, nodes: DataFrame, labels: DataFrame, sets: Da
     return _linked_in_groups(near, sets)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document."""
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key (a hash of the text), n_shingles, component_id, kept for every document."""
     spark = docs.sparkSession
     signed, signed_path = stored(signatures(docs), "signatures")
-    key = ["n_shingles", "print_a", "print_b"]
     linkable = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     nodes, nodes_path = stored(
-        linkable.groupBy(key).agg(F.min_by(F.struct("doc_id", "keys", "sketch"), "doc_id").alias("head"))
-        .select(*key, F.col("head.doc_id").alias("node"), "head.keys", "head.sketch"),
+        linkable.groupBy(*KEY).agg(F.min_by(F.struct("keys", "sketch"), "doc_id").alias("head"), F.min("doc_id").alias("least_id"))
+        .select(_node(), *KEY, "least_id", "head.keys", "head.sketch"),
         "nodes",
     )
     members = bucket_members(nodes)
-    sets, sets_path = stored(node_sets(docs, members.select("node").distinct()).dropDuplicates(["node"]), "node-sets")
+    heads = nodes.select("node", "least_id").join(members.select("node").distinct(), "node")
+    sets, sets_path = stored(node_sets(docs, heads).dropDuplicates(["node"]), "node-sets")
     stars, _ = stored(star_pairs(members, nodes), "star-pairs")
     links, _ = stored(confirmed(stars, sets), "star-links")
     labels = components(links)
     more, _ = stored(rest_links(members, nodes, labels, sets), "rest-links")
     drop(spark, sets_path)
     labels = components(links.unionByName(more))
-    named = nodes.select(*key, "node").join(labels, "node", "left").select(*key, F.coalesce("component", "node").alias("component_id"))
-    plain = signed.select("doc_id", *key)
-    out = plain.join(named, key, "left").withColumn("component_id", F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"))
+    named = nodes.select(*KEY, "node", "least_id").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
+    least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
+    named = named.join(least, "label").select(*KEY, "component_id")
+    out = signed.select("doc_id", "text_key", *KEY).join(named, list(KEY), "left")
+    out = out.withColumn("component_id", F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id")))
+    return out.select("doc_id", "text_key", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every document."""
+    return grouped(docs).drop("text_key")

@@ -97,6 +97,24 @@ def test_bridges_between_components(spark):
     assert {tuple(r) for r in got} == plain_near(rows)
 
 
+def test_rows_that_reuse_an_id_go_by_their_own_text(spark):
+    one, other = (" ".join(f"{c}{k}" for k in range(60)) for c in "uv")
+    rows = [(1, one), (1, other), (2, one + " end"), (3, other + " end"), (4, "something else altogether and more")]
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in mh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 56, 1, True), (2, 57, 1, False), (3, 57, 1, False), (4, 1, 4, True)}
+    # Each text of id 5 belongs elsewhere; only one of them is an original.
+    rows = [(0, one), (5, one + " end"), (5, other), (6, other + " end")]
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in mh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([(0, 56, 0, True), (5, 57, 0, False), (5, 56, 5, True), (6, 57, 5, False)])
+
+
+def test_vectors_that_reuse_an_id_keep_their_own_links(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, a), (1, b), (2, [1.0, 0.01, 0.0]), (3, [1.0, 0.0, 0.01]), (4, [0.0, 1.0, 0.01]), (9, [0.0, 0.0, 1.0])]
+    got = Counter(tuple(r) for r in ej.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == Counter([(1, 2, 1, True), (1, 1, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 1, 1, False), (9, 0, 9, True)])
+
+
 def test_near_duplicates_take_odd_rows(spark):
     got = Counter(tuple(r) for r in mh.near_duplicates(odd_documents(spark)).collect())
     wanted = Counter()
