@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tenurekit.llm.common import stored, table
 from tenurekit.llm.decontamination import contamination
-from tenurekit.llm.minhash import near_duplicates
+from tenurekit.llm.minhash import grouped
 from tenurekit.llm.packing import pack
 from tenurekit.llm.personal_data import candidates, fit_spans, redacted
 from tenurekit.llm.quality import CUT, fit_quality, quality_score
@@ -18,7 +18,10 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learnt from labelled ones among them, doesn't reject."""
+    """Documents that the classifier, learnt from labelled ones among them, doesn't reject.
+
+    Null texts are scored as empty ones; an empty table stays empty.
+    """
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
     return docs.filter(quality_score(model, F.col("text")) >= CUT)
 
@@ -26,22 +29,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id.
 
-    Documents without an id stay; repeated rows of one id and text become one.
+    Documents without an id, with null or empty texts stay; a document is told by its id and text
+    together, and repeated rows of both become one; an empty table stays empty.
     """
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    found = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["kept_id"]), "left_semi")
-    return found.dropDuplicates(["doc_id", "text"])
+    kept = grouped(docs).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(kept["kept_id"]) & (F.xxhash64(docs["text"].cast("string")) == kept["kept_key"])
+    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without too many benchmark words; a document is told by its id and text together."""
+    """Documents without too many benchmark words; a document is told by its id and text together.
+
+    Null and empty texts have no words and stay, as repeated rows do; an empty table stays empty.
+    """
     judged = contamination(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     bad = judged.filter("contaminated").select(F.col("doc_id").alias("bad_key")).distinct()
     return docs.join(bad, F.xxhash64(docs["doc_id"], docs["text"]) == bad["bad_key"], "left_anti")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data in their texts masked."""
+    """All documents, personal data in their texts masked; null texts and repeated rows stay as they are."""
     found, _ = stored(candidates(docs), "span-candidates")
     clean = docs.withColumn("text", redacted(fit_spans(found), F.col("text")))
     if "n_chars" in docs.columns:
