@@ -14,8 +14,8 @@ its pairs.
 
 Defined cases: a text of fewer words than a shingle is one shingle; null and empty texts, and texts of
 white space, have an empty set and link with nothing; documents without an id link with nothing and
-stay; equal sets share the smallest id; nodes are named by their sets, so rows that share an id but not a
-text go by their own text; an empty table gives no rows.
+stay; equal sets share the smallest id; different sets are different nodes, so rows that share an id but not
+a text go by their own text; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -169,9 +169,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 KEY = ("n_shingles", "print_a", "print_b")
 
 
-def _node() -> Column:
-    """Name of a set: a hash of its size and fingerprints, not below 0."""
-    return F.xxhash64(*KEY).bitwiseAND(F.lit((1 << 63) - 1)).alias("node")
+def _named(nodes: DataFrame) -> DataFrame:
+    """Nodes by the smallest id of their documents; a further set under that id by a hash, above usual ids."""
+    first = F.min(F.struct(*KEY)).alias("first")
+    reused, _ = stored(nodes.groupBy("least_id").agg(first, F.count("*").alias("n")).filter("n > 1").drop("n"), "reused-ids")
+    other = F.xxhash64(*KEY).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    further = F.col("first").isNotNull() & (F.struct(*KEY) != F.col("first"))
+    return nodes.join(reused, "least_id", "left").withColumn("node", F.when(further, other).otherwise(F.col("least_id"))).drop("first")
 
 
 def _prints(found: np.ndarray) -> tuple[int, int]:
@@ -180,23 +184,21 @@ def _prints(found: np.ndarray) -> tuple[int, int]:
 
 
 def node_sets(docs: DataFrame, heads: DataFrame) -> DataFrame:
-    """node and full set, as sorted hashes in bytes, of the documents with the given ids."""
+    """node and full set, as sorted hashes in bytes, of the heads (node, least_id and what tells sets apart)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in text_slices(batches):
-            found = list(shingle_sets(texts))
-            prints = [_prints(s) for s in found]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([len(s) for s in found], pa.int64()),
-                    *(pa.array([p[k] for p in prints], pa.int64()) for k in (0, 1)),
-                    pa.array([s.astype("<u8").tobytes() for s in found], pa.binary()),
-                ],
-                names=[*KEY, "set"],
-            )
+        for batch, texts in text_slices(batches):
+            nodes, sets = [], []
+            wanted = zip(*(batch.column(c).to_pylist() for c in KEY), strict=True)
+            for node, key, found in zip(batch.column("node").to_pylist(), wanted, shingle_sets(texts), strict=True):
+                # A text under the same id may be another node's.
+                if key == (len(found), *_prints(found)):
+                    nodes.append(node)
+                    sets.append(found.astype("<u8").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
 
-    texts = id_and_text(docs).join(heads.select(F.col("least_id").alias("doc_id")).distinct(), "doc_id").select("text")
-    return texts.mapInArrow(run, "n_shingles long, print_a long, print_b long, set binary").select(_node(), "set")
+    texts = id_and_text(docs).join(heads.withColumnRenamed("least_id", "doc_id"), "doc_id")
+    return texts.select("node", *KEY, "text").mapInArrow(run, "node long, set binary")
 
 
 def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -367,15 +369,16 @@ def rest_links(members: DataFrame, nodes: DataFrame, labels: DataFrame, sets: Da
 def grouped(docs: DataFrame) -> DataFrame:
     """doc_id, text_key (a hash of the text), n_shingles, component_id, kept for every document."""
     spark = docs.sparkSession
-    signed, signed_path = stored(signatures(docs), "signatures")
+    signed, _ = stored(signatures(docs), "signatures")
     linkable = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    nodes, nodes_path = stored(
+    sets_by_key, _ = stored(
         linkable.groupBy(*KEY).agg(F.min_by(F.struct("keys", "sketch"), "doc_id").alias("head"), F.min("doc_id").alias("least_id"))
-        .select(_node(), *KEY, "least_id", "head.keys", "head.sketch"),
+        .select(*KEY, "least_id", "head.keys", "head.sketch"),
         "nodes",
     )
+    nodes = _named(sets_by_key)
     members = bucket_members(nodes)
-    heads = nodes.select("node", "least_id").join(members.select("node").distinct(), "node")
+    heads = nodes.select("node", "least_id", *KEY).join(members.select("node").distinct(), "node")
     sets, sets_path = stored(node_sets(docs, heads).dropDuplicates(["node"]), "node-sets")
     stars, _ = stored(star_pairs(members, nodes), "star-pairs")
     links, _ = stored(confirmed(stars, sets), "star-links")
