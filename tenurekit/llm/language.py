@@ -2,8 +2,9 @@
 
 Character n-grams of words, with word edges, are hashed to rows of an embedding table. A text is the
 mean of its rows; a linear softmax over that mean gives the language. Table and softmax are learnt by
-stochastic gradient descent in numpy from a bounded sample of texts. Since both are linear, the product
-of table and softmax is kept: a prediction adds up one small row per n-gram of the text.
+stochastic gradient descent in numpy from a bounded sample of texts. Half of it is dealt out evenly among the
+languages, so a rare one is learnt however large the corpus, half goes by their frequencies.
+Since table and softmax are linear, their product is kept: a prediction adds up one small row per n-gram.
 
 Part of the sample is set aside to fit a temperature, so scores mean probabilities, and the lowest score
 at which accepted predictions are right often enough; ``accepted`` tells which predictions pass it.
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenurekit.llm.common import held_out, id_and_text, slices
@@ -168,8 +169,45 @@ def _calibrate(model: LanguageModel, bags: list[tuple[np.ndarray, np.ndarray]],
     model.accept = float(p.max(1)[order[good[-1]]]) if len(good) else 1.0
 
 
+def shares(counts: dict[str, int], total: int) -> dict[str, int]:
+    """How many texts each language gives to a sample of ``total``, all it has at most.
+
+    Half of the places are dealt out evenly, what a rare language leaves going to the others; half by frequency.
+    If there are more languages than places in the even half, the most frequent ones get one each.
+    """
+    even, out = total - total // 2, {}
+    names = sorted(counts, key=lambda x: (-counts[x], x))[:even]
+    for k, name in enumerate(reversed(names)):
+        out[name] = min(counts[name], even // (len(names) - k))
+        even -= out[name]
+    everything = sum(counts.values())
+    return {x: min(counts[x], n + total // 2 * counts[x] // everything) for x, n in out.items()}
+
+
+def _chosen(usable: DataFrame, sample_rows: int) -> DataFrame:
+    """lang, doc_id of the sample: in each language the ids of the least hashes, at most ``sample_rows`` in all.
+
+    Ids that a share of the hashes rules out go before anything is ordered; twice as many stay as are needed, and some more,
+    so what is ordered is bounded by the sample. A repeated id counts once.
+    """
+    spark = usable.sparkSession
+    # As many languages as the sample has places at most.
+    top = usable.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("n")).orderBy(F.desc("n"), "lang").limit(sample_rows)
+    # Estimates are good to a few per cent; a language may give somewhat more than its estimate.
+    counts = {r["lang"]: r["n"] + r["n"] // 8 + 1 for r in top.collect()}
+    below = [(x, quota, min(1 << 30, (2 * quota + 100 << 30) // counts[x])) for x, quota in shares(counts, sample_rows).items()]
+    limits = spark.createDataFrame(below, "lang string, quota int, below long")
+    near = usable.join(F.broadcast(limits), "lang").filter(F.pmod("order", F.lit(1 << 30)) < F.col("below"))
+    ids = near.select("lang", "quota", "doc_id", F.pmod("order", F.lit(1 << 30)).alias("rank_key")).distinct()
+    ranked = ids.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("rank_key", "doc_id")))
+    return ranked.filter("place <= quota").select("lang", "doc_id")
+
+
 def fit_languages(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
-    """Learn from at most ``sample_rows`` labelled texts outside the held-out fold, chosen by hash of their ids."""
+    """Learn from at most ``sample_rows`` labelled texts outside the held-out fold, chosen by hash of their ids.
+
+    The texts are shared out among the languages. An id that is repeated gives one text to a language.
+    """
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,16 +219,17 @@ def fit_languages(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageMo
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     usable = named.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).withColumn("order", F.xxhash64("doc_id"))
-    chosen = usable.select("doc_id", "order", "lang").orderBy("order", "doc_id", "lang").limit(sample_rows).select("doc_id").distinct()
-    texts = usable.join(F.broadcast(chosen), "doc_id")  # at most sample_rows ids
-    sample = texts.select("order", "lang", "text").orderBy("order", "lang", "text").limit(sample_rows)
+    chosen = _chosen(usable.select("lang", "doc_id", "order"), sample_rows)
+    texts = usable.join(F.broadcast(chosen), ["lang", "doc_id"])  # at most sample_rows ids
+    sample = texts.groupBy("lang", "doc_id").agg(F.min("order").alias("order"), F.min("text").alias("text")).select("order", "lang", "text")
     rows = sample.mapInArrow(bags, "order long, lang string, buckets binary, counts binary").toArrow()
     if not rows.num_rows:
         return LanguageModel([], np.zeros((0, 1)), np.zeros(0))
     features = [(np.frombuffer(b.as_py(), "<u2"), np.frombuffer(c.as_py(), "<u4")) for b, c in zip(rows["buckets"], rows["counts"], strict=True)]
-    order = np.argsort(rows["order"].to_numpy(), kind="stable")
     labels = rows["lang"].to_pylist()
-    aside = (rows["order"].to_numpy()[order] >> 9) % 4 == 0
+    order = np.lexsort((np.array(labels), rows["order"].to_numpy()))
+    # Other bits than those the sample is chosen by.
+    aside = (rows["order"].to_numpy()[order] >> 40) % 4 == 0
     return train([features[i] for i in order], [labels[i] for i in order], aside)
 
 
