@@ -4,9 +4,10 @@ Base spans follow fixed patterns and always stay. Beside them, looser patterns p
 secrets, numbers that just miss a check, addresses spelled out. Regular expressions, gazetteers, context
 and checks vote on every proposed span, for, against or not at all. Expectation maximisation over the
 counts of vote patterns, which are few however large the corpus, estimates how reliable each labeler is
-for each kind. Its posteriors train a logistic classifier of span features, and that classifier decides which
-proposed spans are added. It learns from bounded samples of the base and of the proposed spans of each kind,
-weighted to their numbers; a kind with fewer than ``LEAST_ROWS`` spans decides by its posteriors instead.
+for each kind. Its posteriors train a logistic classifier of span features on bounded samples of the base and
+of the proposed spans of each kind, weighted to their numbers. Which proposed spans are added is decided by the
+log-odds of classifier and posterior together: the posterior weighs as much as ``PRIOR_ROWS`` spans, the
+classifier as much as the kind has spans, so rare kinds lean on the votes and frequent ones on the features.
 
 All patterns run in time proportional to the text. Positions are code points, ends exclusive.
 
@@ -36,7 +37,8 @@ KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
 #: Most spans learnt from, of each kind, base and proposed ones apart.
 SAMPLE_ROWS = 50_000
-LEAST_ROWS = 10
+#: So many spans' worth of trust in the posterior of the votes against the classifier.
+PRIOR_ROWS = 10
 MASKS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "secret": "<SECRET>"}
 Span = tuple[int, int, int]
 
@@ -210,24 +212,31 @@ def reliabilities(codes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> t
 
 @dataclasses.dataclass
 class SpanModel:
-    """Weights of the span classifier, one row per kind, and the reliabilities behind it.
+    """Weights of the span classifier, the reliabilities behind it and the number of spans, by kind.
 
-    Kinds without a row of weights (nan) decide by the posterior of their votes.
+    A kind that no span was seen of has no reliabilities; its spans stay if the votes for it outweigh those against.
     """
 
     weights: np.ndarray
     tables: dict[str, np.ndarray]
     priors: dict[str, float] = dataclasses.field(default_factory=dict)
+    counts: dict[str, int] = dataclasses.field(default_factory=dict)
+    known: dict[tuple[int, int], float] = dataclasses.field(default_factory=dict, repr=False)
+
+    def odds(self, kind: int, votes: int) -> float:
+        """Log-odds of the posterior of a vote pattern."""
+        if (kind, votes) not in self.known:
+            name, cast = KINDS[kind], _decoded(np.array([votes]))[0]
+            if name in self.tables:
+                log = np.log([1 - self.priors[name], self.priors[name]]) + sum(np.log(self.tables[name][k][:, v + 1]) for k, v in enumerate(cast))
+                self.known[kind, votes] = float(log[1] - log[0])
+            else:
+                self.known[kind, votes] = float(cast.sum())
+        return self.known[kind, votes]
 
     def keep(self, kind: int, features: list[float], votes: int) -> bool:
-        if not np.isnan(self.weights[kind, 0]):
-            return float(self.weights[kind] @ np.array([*features, 1.0])) > 0
-        table, prior = self.tables.get(KINDS[kind]), self.priors.get(KINDS[kind], 0.5)
-        cast = _decoded(np.array([votes]))[0]
-        if table is None:
-            return int(cast.sum()) > 0
-        log = np.log([1 - prior, prior]) + sum(np.log(table[k][:, v + 1]) for k, v in enumerate(cast))
-        return bool(log[1] > log[0])
+        learnt = float(self.weights[kind] @ np.array([*features, 1.0]))
+        return self.counts.get(KINDS[kind], 0) * learnt + PRIOR_ROWS * self.odds(kind, votes) > 0
 
 
 def _regression(x: np.ndarray, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -270,29 +279,47 @@ def candidates(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).mapInArrow(run, f"doc_id long, found {shape}")
 
 
+def _in_sample(totals: dict[tuple[int, bool], int], sample_rows: int) -> Column:
+    """Spans whose hash lies in the share that leaves about ``sample_rows`` of their kind, base and proposed ones apart."""
+    out = F.lit(False)
+    for (kind, base), total in totals.items():
+        share = min(1.0, sample_rows / total)
+        here = (F.col("kind") == kind) & (F.col("base") == F.lit(base))
+        out = out | (here & (F.pmod(F.xxhash64("doc_id", "start", "kind", "end", "x"), F.lit(1 << 30)) < math.ceil(share * (1 << 30))))
+    return out
+
+
 def fit_spans(found: DataFrame, sample_rows: int = SAMPLE_ROWS) -> SpanModel:
-    """Reliabilities from the vote patterns of all spans; the classifier from samples by hash, one per kind and base."""
+    """Reliabilities from the vote patterns of all spans; the classifier from samples by hash, one per kind and base.
+
+    All samples come from one pass. Equal spans fall into or out of a sample together and travel as one row with
+    their number, so a sample holds about ``sample_rows`` rows however often spans are repeated.
+    """
     spans = found.select("doc_id", F.explode("found").alias("s")).select("doc_id", "s.*")
     patterns = spans.groupBy("kind", "votes", "base").agg(F.count("*").alias("n")).toArrow().to_pandas()
-    ordered = spans.withColumn("order", F.xxhash64("doc_id", "start", "kind"))
-    weights = np.full((len(KINDS), 9), np.nan)
-    tables, priors = {}, {}
+    totals = {(int(k), bool(b)): int(n) for (k, b), n in patterns.groupby(["kind", "base"]).n.sum().items()}
+    chosen = spans.filter(_in_sample(totals, sample_rows)).groupBy("kind", "base", "votes", "x").agg(F.count("*").alias("n"))
+    sample = chosen.toArrow().to_pandas() if totals else None
+    weights = np.zeros((len(KINDS), 9))
+    tables, priors, counts = {}, {}, {}
     for kind, name in enumerate(KINDS):
         both = patterns[patterns.kind == kind]
         own = both.groupby("votes", as_index=False).n.sum().sort_values("votes")
         if own.empty:
             continue
         posterior, tables[name], priors[name] = reliabilities(own.votes.to_numpy(), own.n.to_numpy(dtype=float))
+        counts[name] = int(own.n.sum())
         of = dict(zip(own.votes, posterior, strict=True))
-        x, p, weight = [], [], []
-        for base, count in both.groupby("base").n.sum().items():
-            rows = ordered.filter((F.col("kind") == kind) & (F.col("base") == bool(base))).orderBy("order").limit(sample_rows).select("votes", "x").toArrow()
-            x.append(np.array(rows["x"].combine_chunks().flatten()).reshape(-1, 8).astype(float))
-            p.append(np.array([of[v] for v in rows["votes"].to_pylist()]))
-            weight.append(np.full(rows.num_rows, count / rows.num_rows))
-        if own.n.sum() >= LEAST_ROWS:
-            weights[kind] = _regression(np.concatenate(x), np.concatenate(p), np.concatenate(weight))
-    return SpanModel(weights, tables, priors)
+        rows = sample[sample.kind == kind]
+        if rows.empty:
+            continue
+        # Rows of a sample stand for all spans of its kind and base.
+        drawn = rows.groupby("base").n.transform("sum")
+        stands_for = rows.n / drawn * np.array([totals[kind, bool(b)] for b in rows.base])
+        order = np.lexsort((rows.base, rows.votes, *np.stack(rows.x.to_numpy()).T))
+        x = np.stack(rows.x.to_numpy()).astype(float)[order]
+        weights[kind] = _regression(x, np.array([of[v] for v in rows.votes])[order], stands_for.to_numpy(dtype=float)[order])
+    return SpanModel(weights, tables, priors, counts)
 
 
 def _kept(model: SpanModel, found: list[dict]) -> list[Span]:
