@@ -8,8 +8,12 @@ begins, and its number in the file. The scan has two levels, so no file has all
 
 Defined cases: two separators in a row enclose an empty document of 0 tokens; ids after a file's last
 separator are a last document with ``ended = false``; an empty file has none; a file whose size is no
-multiple of the id width raises. The writer gives null and empty texts 0 tokens, keeps repeated rows,
-and never emits the separator for text that spells it.
+multiple of the id width raises, and so does writing an id that the width can't hold. The writer gives null
+and empty texts 0 tokens, keeps repeated rows, and never emits the separator for text that spells it.
+
+Token files are read and written by byte range, which Spark's readers don't offer, so tasks open them with Arrow's
+file systems: local and shared folders, ``hdfs``, ``gs``, ``abfs(s)`` and ``s3``; ``s3a`` and ``s3n`` mean ``s3``.
+Access to object stores then follows their own environment settings, not those of Hadoop.
 """
 
 from __future__ import annotations
@@ -41,9 +45,20 @@ def _at(uri: str):
 
 
 def _uri(path: str) -> str:
+    """The path as Arrow's file systems spell it."""
+    scheme, colon, rest = path.partition(":")
+    if scheme in ("s3a", "s3n") and colon:
+        return f"s3:{rest}"
     return path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
 
 
+def _flat(ids: np.ndarray, width: int) -> bytes:
+    """The ids as they stand in a file."""
+    if len(ids) and int(ids.max()) >> 8 * width:
+        raise ValueError(f"id {int(ids.max())} doesn't fit in {width} bytes")
+    return ids.astype(f"<u{width}").tobytes()
+
+
 def write_token_files(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, separator: int = END_OF_TEXT_ID, width: int = WIDTH) -> DataFrame:
     """Write one flat file per task below a shared folder; gives (file, n_bytes, ordinal, doc_id), one row per document.
 
@@ -56,13 +71,13 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = _at(folder)
         name = f"{TaskContext.get().partitionId():08d}-{uuid.uuid4().hex}.tok"
-        kind, end = f"<u{width}", np.array([separator], f"<u{width}").tobytes()
+        end = _flat(np.array([separator]), width)
         ordinal = 0
         with system.open_output_stream(f"{root}/{name}") as out:
             for batch in batches:
                 ids = batch.column(0)
                 for text in batch.column(1):
-                    out.write(token_ids(text.as_py(), vocabulary, special_as_text=True).astype(kind).tobytes())
+                    out.write(_flat(token_ids(text.as_py(), vocabulary, special_as_text=True), width))
                     out.write(end)
                 n = len(ids)
                 yield pa.RecordBatch.from_arrays(
