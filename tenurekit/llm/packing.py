@@ -121,12 +121,26 @@ def _places(patterns: list[Pattern]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return columns[:, 0].copy(), columns[:, 1].copy(), columns[:, 2].copy()
 
 
+def _bases(counts: DataFrame) -> DataFrame:
+    """length, block, base: how many pieces of that length earlier blocks hold.
+
+    In two levels, first by the tasks that cut, then by the blocks of one task, so that a common length
+    brings one group a row per task, not one per block of the corpus.
+    """
+    parts = counts.withColumn("part", F.shiftright("block", 32))
+    totals = parts.groupBy("length", "part").agg(F.sum("n").alias("n"))
+    earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("length", "part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = totals.select("length", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    within = parts.withColumn("within", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    return within.join(firsts, ["length", "part"]).select("length", "block", (F.col("before") + F.col("within")).alias("base"))
+
+
 def pack(docs: DataFrame, limit: int = LIMIT, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:
     """One row per piece: where it comes from in its document and where it lies in which sequence."""
     cut, _ = stored(pieces(docs, limit, vocabulary, end_id), "pieces")
     counts = cut.groupBy("length", "block").agg((F.max("local_rank") + 1).alias("n"))
-    before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    bases = _bases(counts)
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     keys, sequences, offsets = _places(shortest_pack_first(histogram, limit))
 
