@@ -73,6 +73,33 @@ def test_prediction_is_not_moved_by_other_columns(spark, medium):
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, language.identify(swapped).select("doc_id", "lang_pred", "score").collect()))
 
 
+def test_rare_languages_are_learnt(spark, medium):
+    # One text in a thousand; a sample by hash alone of this size would hold none or one of them.
+    words = "он она это как что для при все или так уже был год дом мир вода рука время слово город".split()
+    rng = random.Random(3)
+    rare = [(10_000_000 + k, " ".join(rng.choices(words, k=40)), "ru") for k in range(20)]
+    common = medium.filter("lang IS NOT NULL").select("doc_id", "text", "lang")
+    many = common.crossJoin(spark.range(20)).selectExpr("doc_id + 100000 * id AS doc_id", "text", "lang")
+    docs = many.unionByName(spark.createDataFrame(rare, "doc_id long, text string, lang string"))
+    rows = language.identify(docs, sample_rows=400).join(docs.select("doc_id", "lang").filter("lang = 'ru'"), "doc_id").collect()
+    assert len(rows) == 20 and all(r["lang_pred"] == "ru" for r in rows)
+
+
+def test_a_sample_is_bounded_whatever_repeats(spark):
+    rows = [(k % 3, "some words here", "en") for k in range(3000)] + [(k, "quelques mots", "fr") for k in range(100, 700)]
+    usable = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("order", F.xxhash64("doc_id"))
+    chosen = [tuple(r) for r in language._chosen(usable, 40).collect()]
+    assert len(chosen) == len(set(chosen)) <= 40
+    assert {i for x, i in chosen if x == "en"} == {0, 1, 2} and sum(x == "fr" for x, _ in chosen) > 20
+
+
+def test_shares_of_languages():
+    assert language.shares({"a": 1000, "b": 1000, "c": 3}, 100) == {"c": 3, "b": 23 + 24, "a": 24 + 24}
+    assert language.shares({"a": 2, "b": 1}, 100) == {"a": 2, "b": 1}
+    assert language.shares({}, 10) == {}
+    assert sum(language.shares({str(k): k + 1 for k in range(50)}, 20).values()) <= 20
+
+
 # --- quality
 
 
@@ -174,6 +201,30 @@ def test_rare_kinds_are_added_beside_a_hot_one(spark, rare):
     assert [got[i] for i, _ in secrets] == [1] * rare
 
 
+def test_one_sampling_pass_for_all_kinds(spark, medium):
+    # Without a sample smaller than the spans, nothing is drawn; copies of rows don't move the weights.
+    found = pd_.candidates(medium)
+    once, thrice = pd_.fit_spans(found), pd_.fit_spans(found.union(found).union(found))
+    assert {k: 3 * n for k, n in once.counts.items()} == thrice.counts
+    assert np.isfinite(once.weights).all()
+    spans = found.selectExpr("doc_id", "explode(found) AS s").select("doc_id", "s.*")
+    n = spans.filter(pd_._in_sample({(0, True): 40_000, (3, True): 10}, 20_000)).groupBy("kind", "base").count().collect()
+    totals = {(r["kind"], r["base"]): r["count"] for r in spans.groupBy("kind", "base").count().collect()}
+    got = {(r["kind"], r["base"]): r["count"] for r in n}
+    assert set(got) <= {(0, True), (3, True)} and got[3, True] == totals[3, True]
+    assert abs(got[0, True] / totals[0, True] - 0.5) < 0.2
+
+
+def test_posterior_and_classifier_weigh_by_the_number_of_spans():
+    weights = np.zeros((len(pd_.KINDS), 9))
+    weights[4, -1] = -1.0  # the classifier speaks against, log-odds -1
+    table = np.full((len(pd_.LABELERS), 2, 3), 1 / 3)
+    model = lambda n: pd_.SpanModel(weights, {"secret": table}, {"secret": 1 / (1 + np.exp(-2.0))}, {"secret": n})  # posterior log-odds 2
+    votes = sum(3**k for k in range(6))
+    assert model(0).keep(4, [0.0] * 8, votes) and model(19).keep(4, [0.0] * 8, votes)
+    assert not model(21).keep(4, [0.0] * 8, votes)
+
+
 def test_reliabilities_find_a_planted_truth():
     rng = np.random.default_rng(5)
     truth = rng.random(20_000) < 0.4

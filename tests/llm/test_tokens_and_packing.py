@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from helpers import ODD_TEXTS, no_documents, odd_documents
 from tenurekit.llm import token_counts as tc
-from tenurekit.llm.packing import LIMIT, pack, shortest_pack_first
+from tenurekit.llm.packing import LIMIT, _bases, pack, shortest_pack_first
 from tenurekit.llm.tokens import token_ids
 from tenurekit.session import scratch_path
 
@@ -69,6 +69,20 @@ def test_odd_size_raises(spark, tmp_path):
         tc.find_separators(tc.token_files(spark, str(tmp_path)), f"file://{tmp_path}").collect()
 
 
+def test_ids_beyond_the_width_raise():
+    assert tc._flat(np.array([0, 65_535]), 2) == b"\x00\x00\xff\xff"
+    assert tc._flat(np.array([65_536]), 4) == b"\x00\x00\x01\x00"
+    assert tc._flat(np.zeros(0, np.int64), 2) == b""
+    with pytest.raises(ValueError, match="65536"):
+        tc._flat(np.array([1, 65_536]), 2)
+
+
+def test_folders_as_arrow_spells_them():
+    assert tc._uri("s3a://bucket/a") == "s3://bucket/a" and tc._uri("s3n://bucket/a") == "s3://bucket/a"
+    assert tc._uri("file:/tmp/a") == "file:///tmp/a" and tc._uri("file:///tmp/a") == "file:///tmp/a"
+    assert tc._uri("hdfs://host/a") == "hdfs://host/a" and tc._uri("/tmp/s3a") == "/tmp/s3a"
+
+
 def test_counts_of_documents(spark, library):
     library.encode_special_tokens = True
     got = Counter((r["doc_id"], r["n_tokens"]) for r in tc.token_counts(odd_documents(spark), block_bytes=128).collect())
@@ -118,6 +132,13 @@ def test_one_dominant_length_fills_open_sequences():
     assert sum(n for _, n in patterns) == 3010 + -(-(10_000 - room) // 10)
 
 
+def test_bases_add_up_over_tasks_and_blocks(spark):
+    rng = np.random.default_rng(4)
+    rows = [(length, part << 32 | number, int(rng.integers(1, 9))) for length in (5, 1024) for part in range(4) for number in range(6) if rng.random() < 0.8]
+    got = {(r["length"], r["block"]): r["base"] for r in _bases(spark.createDataFrame(rows, "length long, block long, n long")).collect()}
+    assert got == {(a, b): sum(n for x, y, n in rows if x == a and y < b) for a, b, _ in rows}
+
+
 @pytest.mark.parametrize("limit", [64, 1024])
 def test_pack(spark, library, limit):
     docs = odd_documents(spark).repartition(3)
