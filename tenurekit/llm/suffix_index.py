@@ -9,8 +9,9 @@ rewritten a logarithmic number of times.
 
 Matched suffixes are extended to long matches. Strings around one sample are told apart by a fingerprint
 of all their bytes: equal ones are repeated as a whole. Those that equal no other in full, at the ends of
-copies, are compared string by string with all of the same name. A name of very many such places is dealt
-over several tasks, whose findings are joined by the strings' fingerprints.
+copies, are compared string by string with all of the same name. The strings of a name of very many such
+places are first told apart by blocks of neighbouring starts: those that share no bytes common to a block
+with another place can't be repeated. What is left of such a name is compared by the strings' fingerprints.
 
 Defined cases: null is empty; texts shorter than ``length`` lose nothing; overlaps and repeats inside one
 document count; repeated rows, with their id or not, repeat each other's strings and lose them all; an
@@ -19,7 +20,9 @@ empty table gives no rows; further columns are not read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +36,7 @@ from tenurekit.llm.words import prefix_hashes, substring_hash
 LENGTH = 200
 GRAM = 32
 BATCHES = 4
-#: Window starts worked on at once; places of one name compared in one task.
+#: Window starts worked on at once; the most places of one name that are compared in one task.
 SEGMENT = 1 << 20
 GROUP = 2048
 _PLACE = np.uint64((1 << 22) - 1)
@@ -136,7 +139,7 @@ class SuffixIndex:
 
 
 def _contexts(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
-    """Bytes around each place: (name, salt, salts, doc_key, place, whole, bytes)."""
+    """Bytes around each place: (name, doc_key, place, whole, bytes)."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
@@ -147,66 +150,116 @@ def _contexts(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
                 cut = [raw[r["place"] >> 20 : (r["place"] >> 20) + (r["place"] & 1023) + length] for r in rows]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(pa.array([r[c] for r in rows], t) for c, t in (("name", pa.int64()), ("salt", pa.int32()), ("salts", pa.int32()))),
+                        pa.array([r["name"] for r in rows], pa.int64()),
                         pa.array([batch.column(2)[i].as_py()] * len(rows), pa.int64()),
                         pa.array([r["place"] for r in rows], pa.int64()),
                         pa.array([r["whole"] for r in rows], pa.bool_()),
                         pa.array(cut, pa.binary()),
                     ],
-                    names=["name", "salt", "salts", "doc_key", "place", "whole", "bytes"],
+                    names=["name", "doc_key", "place", "whole", "bytes"],
                 )
 
-    lists = places.groupBy("doc_key").agg(F.collect_set(F.struct("name", "salt", "salts", "place", "whole")).alias("rows"))
-    shape = "name long, salt int, salts int, doc_key long, place long, whole boolean, bytes binary"
+    lists = places.groupBy("doc_key").agg(F.collect_set(F.struct("name", "place", "whole")).alias("rows"))
+    shape = "name long, doc_key long, place long, whole boolean, bytes binary"
     return docs.select("text", "doc_key").join(lists.hint("merge"), "doc_key").select("text", "rows", "doc_key").mapInArrow(run, shape)
 
 
-def _group_findings(rows: list[dict], length: int) -> Iterator[tuple[int, int, int, int | None]]:
-    """(doc_key, first start, last start, None) of repeated strings; for a dealt name also its strings' prints once each."""
-    salts = rows[0]["salts"]
+def _group_findings(rows: list[dict], length: int) -> Iterator[tuple[int, int, int]]:
+    """(doc_key, first start, last start) of repeated strings."""
     prints: list[np.ndarray] = []
     for r in rows:
         raw = np.frombuffer(r["bytes"], np.uint8)
         more, offset = r["place"] & 1023, r["place"] >> 10 & 1023
         at = np.arange(more + 1)
         prints.append(mixed(substring_hash(prefix_hashes(raw), at, at + length) + (offset - at).astype(np.uint64)))
-    every = np.concatenate(prints)
-    _, back, count = np.unique(every, return_inverse=True, return_counts=True)
+    _, back, count = np.unique(np.concatenate(prints), return_inverse=True, return_counts=True)
     repeated = count[back] > 1
     stops = np.cumsum([len(p) for p in prints])
-    seen = np.zeros(len(count), bool)
     for r, own, stop in zip(rows, prints, stops.tolist(), strict=True):
-        start = stop - len(own)
         base = r["place"] >> 20
-        hit = np.flatnonzero(repeated[start:stop])
+        hit = np.flatnonzero(repeated[stop - len(own) : stop])
         if len(hit) and not r["whole"]:
-            yield r["doc_key"], base + int(hit[0]), base + int(hit[-1]), None
-        if salts > 1:
-            for k in range(len(own)):
-                if not seen[back[start + k]]:
-                    seen[back[start + k]] = True
-                    yield r["doc_key"], base + k, base + k, int(as_long(own[k : k + 1])[0])
+            yield r["doc_key"], base + int(hit[0]), base + int(hit[-1])
 
 
 def _findings(contexts: DataFrame, length: int) -> DataFrame:
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def give(rows: list[dict]) -> pa.RecordBatch:
-            columns = list(zip(*_group_findings(rows, length), strict=True)) or [()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_key", "first", "last", "print"])
+            columns = list(zip(*_group_findings(rows, length), strict=True)) or [()] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_key", "first", "last"])
 
         waiting: list[dict] = []
         for batch in stream:
             for at in range(0, batch.num_rows, 512):
                 for row in batch.slice(at, 512).to_pylist():
-                    if waiting and (row["name"], row["salt"]) != (waiting[0]["name"], waiting[0]["salt"]):
+                    if waiting and row["name"] != waiting[0]["name"]:
                         yield give(waiting)
                         waiting = []
                     waiting.append(row)
         if waiting:
             yield give(waiting)
 
-    dealt = contexts.repartition("name", "salt").sortWithinPartitions("name", "salt")
-    return dealt.mapInArrow(run, "doc_key long, first long, last long, print long")
+    return contexts.repartition("name").sortWithinPartitions("name").mapInArrow(run, "doc_key long, first long, last long")
+
+
+def _cut(contexts: DataFrame, length: int, step: int) -> DataFrame:
+    """Places cut where their strings' sample offsets pass a multiple of ``step``: (doc_key, root, name, place, print).
+
+    The name is a fingerprint of the bytes that all strings of such a block of offsets have in common, so equal
+    strings have equal names; with a step of 1, of the string itself.
+    """
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            for part in (batch.slice(at, 512) for at in range(0, batch.num_rows, 512)):
+                out: list[tuple[np.ndarray, ...]] = []
+                for r in part.to_pylist():
+                    sums = prefix_hashes(np.frombuffer(r["bytes"], np.uint8))
+                    start, more, offset = r["place"] >> 20, r["place"] & 1023, r["place"] >> 10 & 1023
+                    at = np.arange(more + 1)
+                    block = (offset - at) // step
+                    low = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+                    high = np.append(low[1:] - 1, more)
+                    skip = start - (r["root"] >> 20)
+                    common = skip + offset - block[low] * step
+                    names = mixed(substring_hash(sums, common, common + length - step + 1) + block[low].astype(np.uint64))
+                    prints = substring_hash(sums, skip + low, skip + high + length)
+                    places = (start + low) << 20 | (offset - low) << 10 | (high - low)
+                    same = [np.full(len(low), r[c], np.int64) for c in ("doc_key", "root")]
+                    out.append((*same, as_long(names), places, as_long(prints)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["doc_key", "root", "name", "place", "print"])
+
+    return contexts.select("doc_key", "root", "place", "bytes").mapInArrow(run, "doc_key long, root long, name long, place long, print long")
+
+
+def _classes(suspects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Spans of places that equal another as a whole, and the places of which only strings can be repeated.
+
+    Those are places that equal no other as a whole, with one of each that does, where they share a name:
+    (name, whole, size, doc_key, place and further columns), with the number of such places of the name.
+    """
+    shape = F.col("place").bitwiseAND(F.lit((1 << 20) - 1)).alias("shape")
+    rest = [c for c in suspects.columns if c not in ("name", "print")]
+    around, _ = stored(suspects.groupBy("name", shape, "print").agg(F.count("*").alias("n"), F.min(F.struct(*rest)).alias("one")), "contexts")
+    alike = around.filter("n > 1").select("name", "shape", "print").hint("merge")
+    whole = suspects.withColumn("shape", shape).join(alike, ["name", "shape", "print"], "left_semi")
+    start, more = F.shiftright("place", 20), F.col("place").bitwiseAND(F.lit(1023))
+    spans = whole.select("doc_key", start.alias("first"), (start + more).alias("last")).distinct()
+    sizes = around.groupBy("name").agg(F.count("*").alias("size"), F.min("n").alias("least")).filter("size > 1 AND least = 1")
+    places = around.join(sizes.select("name", "size").hint("merge"), "name").select("name", (F.col("n") > 1).alias("whole"), "size", "one.*")
+    return spans, places
+
+
+def _narrowed(docs: DataFrame, places: DataFrame, length: int) -> list[DataFrame]:
+    """Spans of repeated strings at the places of names of very many, without a task that holds all places of a name."""
+    around, path = stored(_contexts(docs, places, length), "bytes-around")
+    roots = around.select("doc_key", F.col("place").alias("root"), "bytes")
+    step = math.isqrt(length - GRAM) + 1
+    blocks, _ = stored(_cut(roots.withColumn("place", F.col("root")), length, step), "string-blocks")
+    spans, left = _classes(blocks)
+    strings, _ = stored(_cut(roots.join(left.select("doc_key", "root", "place").hint("merge"), ["doc_key", "root"]), length, 1), "strings")
+    drop(docs.sparkSession, path)
+    return [spans, _classes(strings)[0]]
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES, group: int = GROUP) -> DataFrame:
@@ -224,24 +277,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
     suspects, _ = stored(every.join(matched.hint("merge"), "name", "left_semi").select("doc_key", "name", "place", "print"), "suspects")
     drop(spark, every_path)
 
-    shape = F.col("place").bitwiseAND(F.lit((1 << 20) - 1)).alias("shape")
-    around, _ = stored(
-        suspects.groupBy("name", shape, "print").agg(F.count("*").alias("n"), F.min(F.struct("doc_key", "place")).alias("one")), "contexts"
-    )
-    whole = suspects.withColumn("shape", shape).join(around.filter("n > 1").select("name", "shape", "print").hint("merge"), ["name", "shape", "print"], "left_semi")
-    start, more = F.shiftright("place", 20), F.col("place").bitwiseAND(F.lit(1023))
-    spans = whole.select("doc_key", start.alias("first"), (start + more).alias("last")).distinct()
-
-    # Places that equal no other as a whole, with one of each that does, where they share a name.
-    open_names = around.filter("n = 1").groupBy("name").agg(F.count("*").alias("open"))
-    places = around.join(open_names.hint("merge"), "name").select("name", "one.doc_key", "one.place", (F.col("n") > 1).alias("whole"))
-    sizes = places.groupBy("name").agg(F.ceil(F.count("*") / group).cast("int").alias("salts"), F.count("*").alias("size")).filter("size > 1")
-    salted = places.join(sizes.select("name", "salts").hint("merge"), "name").withColumn("salt", F.pmod(F.xxhash64("doc_key", "place"), F.col("salts")).cast("int"))
-    found, _ = stored(_findings(_contexts(docs, salted, length), length), "findings")
-    strings = found.filter("print IS NOT NULL")
-    again = strings.join(strings.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print").hint("merge"), "print", "left_semi")
-    parts = [spans, found.filter("print IS NULL").select("doc_key", "first", "last"), again.select("doc_key", "first", "last")]
-    union = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    spans, places = _classes(suspects)
+    dealt, _ = stored(places.select("name", "whole", "doc_key", "place", (F.col("size") > group).alias("many")), "open-places", ("many",))
+    found, _ = stored(_findings(_contexts(docs, dealt.filter("NOT many"), length), length), "findings")
+    parts = [spans, found]
+    many = dealt.filter("many")
+    if not many.isEmpty():
+        parts += _narrowed(docs, many, length)
+    union = functools.reduce(DataFrame.unionByName, parts)
     return union.select("doc_key", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
 
 

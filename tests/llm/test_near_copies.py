@@ -225,6 +225,27 @@ def test_repeats_take_odd_rows(spark):
     assert si.remove_repeats(no_documents(spark)).count() == 0
 
 
+def test_names_of_very_many_places_are_not_taken_apart_into_all_strings(spark, monkeypatch):
+    made, store = Counter(), si.stored
+
+    def counting(df, name, *rest):
+        out = store(df, name, *rest)
+        made[name] += out[0].count()
+        return out
+
+    monkeypatch.setattr(si, "stored", counting)
+    rng = random.Random(5)
+    shared = "".join(rng.choice("abcdefgh ") for _ in range(240))
+    sides = [["".join(rng.choice("klmnopq ") for _ in range(300)) for _ in range(300)] for _ in range(2)]
+    rows = [(k, a + shared + b) for k, (a, b) in enumerate(zip(*sides, strict=True))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r) for r in si.remove_repeats(docs, group=16).collect())
+    assert got == plain_repeats(rows, 200)
+    assert made["open-places"] >= len(rows)
+    # A place has strings by the dozen; few blocks of them are shared with another place.
+    assert made["findings"] + made["string-blocks"] + made["strings"] < 30 * made["open-places"]
+
+
 def test_levels_merge_geometrically(spark, monkeypatch):
     monkeypatch.setattr(si, "LEVEL_ROWS", 1)
     index, seen = si.SuffixIndex(), set()
