@@ -5,8 +5,10 @@ gets leading coordinates on principal directions (from a bounded sample; any dir
 results) and the length of what those leave over, a further valid coordinate. Vectors are sorted by the
 grid cells of side epsilon that these coordinates fall in and cut into blocks, intervals of that order.
 Pairs of intervals are refined level by level, from the whole order down to blocks and, inside a task,
-to runs of a few vectors; a pair whose bounding boxes lie more than epsilon apart is left. What remains
-is compared by cosine in double precision.
+to runs of a few vectors; a pair whose bounding boxes lie more than epsilon apart is left. Vectors of what
+remains are held against each other by more such coordinates first: with the length of the rest they are unit
+vectors too, and no cosine is above the product of these. Pairs that this leaves are compared by cosine in
+double precision.
 
 A task gives counts of links per vector and a spanning forest of its links, never the links themselves.
 Equal vectors are one node with a number of copies, named by the vector, so rows that share an id but not
@@ -35,8 +37,14 @@ COSINE = 0.95
 LEAD = 8
 SAMPLE_ROWS = 10_000
 SAMPLE_BYTES = 32 << 20
-BLOCK_ROWS = 512
+BLOCK_ROWS = 1024
 LEAF_ROWS = 64
+#: Leading coordinates that vectors of two runs are compared by before their cosine is worked out.
+FINE = 16
+#: Rounding of products of those, in single precision, is far below this.
+FINE_SLACK = 1e-5
+#: From one pair in so many on, a run's cosines are worked out all at once.
+DENSE = 32
 #: Children of a node in the tree of intervals.
 FAN = 16
 #: Lets rounding of coordinates never part a pair.
@@ -62,7 +70,7 @@ def _coordinates(units: np.ndarray, basis: np.ndarray | None, lead: int) -> np.n
     if basis is None or basis.shape[0] != units.shape[1]:
         top = units[:, :lead]
     else:
-        top = units @ basis
+        top = units @ basis[:, :lead]
     rest = np.sqrt(np.maximum(0, 1 - (top * top).sum(1)))
     return np.column_stack([top, np.zeros((len(units), lead - top.shape[1])), rest])
 
@@ -218,25 +226,34 @@ def _forest(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out_r), np.concatenate(out_c)) if out_r else (empty, empty)
 
 
-def _compare(a: np.ndarray, b: np.ndarray, box_a: np.ndarray, box_b: np.ndarray, cosine: float, epsilon: float, out: np.ndarray) -> None:
-    """Mark links between two runs of the order, halving runs while their boxes come near."""
-    gap = np.maximum(0, np.maximum(box_a.min(0) - box_b.max(0), box_b.min(0) - box_a.max(0)))
-    if gap @ gap > epsilon * epsilon:
-        return
-    if max(len(a), len(b)) <= LEAF_ROWS:
-        out[...] = a @ b.T >= cosine
-        return
-    if len(a) >= len(b):
-        h = len(a) // 2
-        _compare(a[:h], b, box_a[:h], box_b, cosine, epsilon, out[:h])
-        _compare(a[h:], b, box_a[h:], box_b, cosine, epsilon, out[h:])
-    else:
-        h = len(b) // 2
-        _compare(a, b[:h], box_a, box_b[:h], cosine, epsilon, out[:, :h])
-        _compare(a, b[h:], box_a, box_b[h:], cosine, epsilon, out[:, h:])
+def _near_runs(box_a: np.ndarray, box_b: np.ndarray, epsilon: float) -> np.ndarray:
+    """Whether the boxes of runs of ``LEAF_ROWS`` vectors come within epsilon, for all pairs of runs of two blocks."""
+    starts_a, starts_b = (np.arange(0, len(x), LEAF_ROWS) for x in (box_a, box_b))
+    low_a, low_b = np.minimum.reduceat(box_a, starts_a), np.minimum.reduceat(box_b, starts_b)
+    high_a, high_b = np.maximum.reduceat(box_a, starts_a), np.maximum.reduceat(box_b, starts_b)
+    gap = np.maximum(0, np.maximum(low_a[:, None] - high_b, low_b - high_a[:, None]))
+    return (gap * gap).sum(2) <= epsilon * epsilon
 
 
-def join_blocks(blocks: DataFrame, pairs: DataFrame, cosine: float, epsilon: float, basis: np.ndarray | None, lead: int, kind: type) -> DataFrame:
+def _compare(a: np.ndarray, b: np.ndarray, box_a: np.ndarray, box_b: np.ndarray, cosine: float, epsilon: float, out: np.ndarray) -> None:
+    """Mark links between two blocks, run by run."""
+    fine_a, fine_b = box_a.astype(np.float32), box_b.astype(np.float32)
+    for start, near in zip(range(0, len(a), LEAF_ROWS), _near_runs(box_a, box_b, epsilon), strict=True):
+        if not near.any():
+            continue
+        run = slice(start, start + LEAF_ROWS)
+        cols = slice(None) if near.all() else np.flatnonzero(np.repeat(near, LEAF_ROWS)[: len(b)])
+        maybe = fine_a[run] @ fine_b[cols].T >= cosine - FINE_SLACK
+        n = np.count_nonzero(maybe)
+        if n * DENSE >= maybe.size:
+            out[run, cols] = a[run] @ b[cols].T >= cosine
+        elif n:
+            r, c = np.nonzero(maybe)
+            r, c = r + start, c if isinstance(cols, slice) else cols[c]
+            out[r, c] = np.einsum("ij,ij->i", a[r], b[c]) >= cosine
+
+
+def join_blocks(blocks: DataFrame, pairs: DataFrame, cosine: float, epsilon: float, basis: np.ndarray | None, kind: type) -> DataFrame:
     """(a, b, links): a forest edge between nodes a and b, or with b null the number of vectors that a links with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,13 +264,17 @@ def join_blocks(blocks: DataFrame, pairs: DataFrame, cosine: float, epsilon: flo
                 for s in "pq":
                     ids, copies = (np.frombuffer(row[f"{s}_{x}"], np.int64) for x in ("ids", "copies"))
                     units = _units(np.frombuffer(row[f"{s}_vectors"], kind).reshape(len(ids), -1))
-                    sides.append((ids, copies, units, _coordinates(units, basis, lead)))
+                    sides.append((ids, copies, units, _coordinates(units, basis, FINE)))
                 (ids_a, n_a, a, box_a), (ids_b, n_b, b, box_b) = sides
                 links = np.zeros((len(a), len(b)), bool)
                 _compare(a, b, box_a, box_b, cosine, epsilon, links)
                 if same:
                     links |= links.T
                     np.fill_diagonal(links, False)
+                rows, cols = np.flatnonzero(links.any(1)), np.flatnonzero(links.any(0))
+                if not len(rows):
+                    continue
+                links, ids_a, n_a, ids_b, n_b = links[np.ix_(rows, cols)], ids_a[rows], n_a[rows], ids_b[cols], n_b[cols]
                 r, c = _forest(links)
                 counts = [(ids_a, links @ n_b)] if same else [(ids_a, links @ n_b), (ids_b, links.T @ n_a)]
                 ids = np.concatenate([i[n > 0] for i, n in counts])
@@ -285,10 +306,10 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, lead: int = LEAD, b
         "vector-heads",
     )
     epsilon = math.sqrt(2 - 2 * cosine) + SLACK
-    basis = fit_basis(heads, lead)
+    basis = fit_basis(heads, max(lead, FINE))
     blocks = cut_blocks(heads, basis, epsilon, lead, block_rows)
     kind = np.float32 if heads.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64
-    found, _ = stored(join_blocks(blocks, near_blocks(blocks, epsilon), cosine, epsilon, basis, lead, kind), "vector-links")
+    found, _ = stored(join_blocks(blocks, near_blocks(blocks, epsilon), cosine, epsilon, basis, kind), "vector-links")
     counts = found.filter("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("outer_links"))
     labels = components(found.filter("b IS NOT NULL").select("a", "b"))
     grouped = heads.select(*key, "node", "least_id", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))

@@ -177,6 +177,34 @@ def test_near_vectors_take_odd_rows(spark):
     assert [tuple(r) for r in twice] == [(1, 1, 1, True)] * 2
 
 
+@pytest.mark.parametrize("sizes, near", [((5, 5), 0.05), ((150, 90), 0.05), ((150, 90), 0.9), ((64, 130), 0.0)])
+@pytest.mark.parametrize("directions", [True, False])
+def test_blocks_are_compared_without_a_lost_link(sizes, near, directions):
+    rng = np.random.default_rng(sum(sizes))
+    centres = rng.normal(size=(8, 40)) * 3.0 ** -np.arange(40)
+    a, b = (ej._units(np.where(rng.random((n, 1)) < near, centres[rng.integers(8, size=n)], rng.normal(size=(n, 40))) + rng.normal(size=(n, 40)) * 0.03) for n in sizes)
+    basis = ej._basis(np.concatenate([a, b]), ej.FINE) if directions else None
+    out = np.zeros(sizes, bool)
+    epsilon = math.sqrt(2 - 2 * ej.COSINE) + ej.SLACK
+    ej._compare(a, b, *(ej._coordinates(x, basis, ej.FINE) for x in (a, b)), ej.COSINE, epsilon, out)
+    assert (out == (a @ b.T >= ej.COSINE)).all()
+
+
+def test_few_cosines_are_worked_out_of_unlike_vectors(monkeypatch):
+    """Vectors without a structure: their leading coordinates settle nearly all pairs, so cosines are worked out of few."""
+    rng, worked = np.random.default_rng(4), []
+    a, b = (ej._units(rng.normal(size=(512, 64))) for _ in range(2))
+    a[7] = b[400]
+    wide, einsum = np.einsum, lambda spec, x, y: worked.append(len(x)) or wide(spec, x, y)
+    monkeypatch.setattr(np, "einsum", einsum)
+    monkeypatch.setattr(ej, "DENSE", 1)
+    out = np.zeros((512, 512), bool)
+    basis = ej._basis(np.concatenate([a, b]), ej.FINE)
+    ej._compare(a, b, *(ej._coordinates(x, basis, ej.FINE) for x in (a, b)), ej.COSINE, math.sqrt(2 - 2 * ej.COSINE), out)
+    assert [tuple(x) for x in np.argwhere(out)] == [(7, 400)]
+    assert 0 < sum(worked) < out.size / 100
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.integers(1, 12), st.integers(1, 12), st.integers(0, 100_000))
 def test_forest_connects_what_links_connect(rows, columns, seed):
