@@ -279,3 +279,18 @@ def test_optimality_is_noticed_and_its_lack_too(sample):
     assert all(r.holds for r in diagnostics.optimality(path, frame, 0.5).collect())
     path.coefficients[path.best] *= 1.001
     assert not all(r.holds for r in diagnostics.optimality(path, frame, 0.5).collect())
+
+
+def test_known_facts_of_many_predictors_do_not_multiply(spark):
+    """What Spark knows of the rows of the scores must not double with each predictor."""
+    names = [f"p{k}" for k in range(11)]
+    rows = [(float(t), t % 2 == 0, *(float((t * k) % 5) for k in range(1, 12))) for t in range(1, 30)]
+    frame = spark.createDataFrame(rows, ["survival_time", "churned", *names])
+    found = diagnostics.scores(frame, dict.fromkeys(names, 0.1), names, efron=False)
+
+    def most(plan):
+        below = [plan.children().apply(i) for i in range(plan.children().size())]
+        return max([plan.validConstraints().size(), *(most(x) for x in below)])
+
+    assert found.count() == len(names)
+    assert most(found._jdf.queryExecution().optimizedPlan()) < 100
