@@ -11,6 +11,7 @@ from tenurekit.sources.roles import SCHEMAS
 STORING = [
     "concordance_index",
     "core_feature_columns",
+    "drop_reactivated",
 ]
 
 
