@@ -13,6 +13,7 @@ STORING = [
     "core_feature_columns",
     "drop_reactivated",
     "engineered_features",
+    "engineered_roundtrip",
 ]
 
 
