@@ -15,6 +15,7 @@ STORING = [
     "engineered_features",
     "engineered_roundtrip",
     "feature_correlation",
+    "feature_matrix",
 ]
 
 
