@@ -16,6 +16,7 @@ STORING = [
     "engineered_roundtrip",
     "feature_correlation",
     "feature_matrix",
+    "keep_qualifying",
 ]
 
 
