@@ -17,6 +17,7 @@ STORING = [
     "feature_correlation",
     "feature_matrix",
     "keep_qualifying",
+    "scan_businesses",
 ]
 
 
