@@ -18,6 +18,7 @@ STORING = [
     "feature_matrix",
     "keep_qualifying",
     "scan_businesses",
+    "scan_reviews",
     "scan_tips",
 ]
 
