@@ -20,6 +20,7 @@ STORING = [
     "scan_businesses",
     "scan_reviews",
     "scan_tips",
+    "scan_users",
 ]
 
 
