@@ -21,6 +21,7 @@ STORING = [
     "scan_reviews",
     "scan_tips",
     "scan_users",
+    "scan_with_bad_lines",
 ]
 
 
