@@ -1,3 +1,5 @@
+import time as clock
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -294,3 +296,26 @@ def test_known_facts_of_many_predictors_do_not_multiply(spark):
 
     assert found.count() == len(names)
     assert most(found._jdf.queryExecution().optimizedPlan()) < 100
+
+
+def test_a_pass_leaves_no_shuffle_files(spark, sample):
+    x, time, event, frame = sample
+    data = risksets.prepare(frame, NAMES, folds=5)
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles()
+        return {f for f in (files.apply(i).getName() for i in range(files.size())) if f.startswith("shuffle_")}
+
+    start = risksets.ModelBatch(
+        np.zeros((2, 4)), np.tile(np.arange(4), (2, 1)), np.array([-1, 0]), np.zeros((2, len(data.times))), np.arange(len(data.times))
+    )
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = shuffled(), spark.conf.get(key, None)
+    assert np.isfinite(data.evaluate(start).s0).all()
+    until = clock.time() + 10
+    while (left := shuffled() - before) and clock.time() < until:  # they go in the background
+        clock.sleep(0.1)
+    data.close()
+    assert not left
+    assert spark.conf.get(key, None) == setting
