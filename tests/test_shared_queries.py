@@ -60,3 +60,12 @@ def cluster(spark, monkeypatch, tmp_path):
 @pytest.mark.parametrize("name", STORING)
 def test_storing_queries_run_on_clusters(cluster, folder, name):
     assert QUERIES[name](cluster, folder).count() > 0
+
+
+def test_lines_go_once_they_are_split(cluster, folder, tmp_path):
+    found = {r.what: r.n for r in QUERIES["scan_with_bad_lines"](cluster, folder).collect()}
+    lines = [(o, k) for o in range(1, 600) for k in (1, 2)]
+    good = [(o, k) for o, k in lines if o % 50 > 1]
+    promo = [(o, k) for o, k in good if (1 + (o + k) % 8) % 2]
+    assert found == {"lines": len(lines), "rows": len(good), "bad": len(lines) - len(good), "of the category": len(promo)}
+    assert list(tmp_path.glob("*/aside-*")) and not list(tmp_path.glob("*/review-*"))
