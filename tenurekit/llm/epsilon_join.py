@@ -10,6 +10,10 @@ remains are held against each other by more such coordinates first: with the len
 vectors too, and no cosine is above the product of these. Pairs that this leaves are compared by cosine in
 double precision.
 
+Blocks that follow each other make a tile. A task gets two tiles and the pairs of blocks to compare among them. Pairs of
+tiles are taken in rounds in which no tile is met more than twice, so a round moves every vector twice at most, and its
+shuffle files go when it ends: disk follows the vectors, not their pairs.
+
 A task gives counts of links per vector and a spanning forest of its links, never the links themselves.
 Equal vectors are one node with a number of copies, named by the vector, so rows that share an id but not
 a vector go by their own.
@@ -32,6 +36,7 @@ from pyspark.sql import functions as F
 
 from tenurekit.llm.common import drop, stored
 from tenurekit.llm.components import components
+from tenurekit.session import dropped_shuffles, scratch_path
 
 COSINE = 0.95
 LEAD = 8
@@ -47,6 +52,11 @@ FINE_SLACK = 1e-5
 DENSE = 32
 #: Children of a node in the tree of intervals.
 FAN = 16
+#: Bytes of blocks in a tile, about; tiles that there are at least, if there are as many blocks.
+TILE_BYTES = 8e6
+LEAST_TILES = 24
+#: Rounds that move no more bytes than this together go side by side.
+ROUND_BYTES = 128e6
 #: Lets rounding of coordinates never part a pair.
 SLACK = 1e-6
 
@@ -119,7 +129,8 @@ def cut_blocks(heads: DataFrame, basis: np.ndarray | None, epsilon: float, lead:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(cells), pa.list_(pa.int32()))], names=[*batch.schema.names, "cell"])
 
     shape = f"node long, copies long, dimension int, embedding array<{kind}>"
-    placed, placed_path = stored(heads.select("node", "copies", "dimension", F.col("embedding").cast(f"array<{kind}>").alias("embedding")).mapInArrow(place, f"{shape}, cell array<int>"), "cells")
+    # Worked out twice, for the ranges and for the rows: that costs less than a table of all vectors.
+    placed = heads.select("node", "copies", "dimension", F.col("embedding").cast(f"array<{kind}>").alias("embedding")).mapInArrow(place, f"{shape}, cell array<int>")
     order = ["dimension", *(F.col("cell")[k] for k in range(lead)), "node"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,9 +166,7 @@ def cut_blocks(heads: DataFrame, basis: np.ndarray | None, epsilon: float, lead:
             yield block()
 
     ranged = placed.repartitionByRange(*order).sortWithinPartitions(*order).drop("cell")
-    blocks, _ = stored(ranged.mapInArrow(cut, "part long, seq long, n long, low array<double>, high array<double>, ids binary, copies binary, vectors binary"), "blocks")
-    drop(heads.sparkSession, placed_path)
-    return blocks
+    return ranged.mapInArrow(cut, "part long, seq long, n long, low array<double>, high array<double>, ids binary, copies binary, vectors binary")
 
 
 def _apart(epsilon: float):
@@ -168,17 +177,22 @@ def _apart(epsilon: float):
     return F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g) > epsilon * epsilon
 
 
-def near_blocks(blocks: DataFrame, epsilon: float) -> DataFrame:
-    """Pairs (p, q), p <= q, of block numbers whose boxes come within epsilon; refined from the root down."""
-    spark = blocks.sparkSession
+def _numbered(blocks: DataFrame) -> tuple[DataFrame, int]:
+    """Blocks with their number in the grid order as ``id``, and how many there are."""
     sizes = {r["part"]: r["n"] for r in blocks.groupBy("part").agg((F.max("seq") + 1).alias("n")).collect()}
     bases, total = [], 0
     for part in sorted(sizes):
         bases.append((part, total))
         total += sizes[part]
-    base = spark.createDataFrame(bases or [(0, 0)], "part long, base long")
-    numbered = blocks.select("part", "seq", "low", "high").join(F.broadcast(base), "part")  # a row per partition
-    level, _ = stored(numbered.select((F.col("base") + F.col("seq")).alias("id"), "part", "seq", "low", "high"), "intervals")
+    base = blocks.sparkSession.createDataFrame(bases or [(0, 0)], "part long, base long")
+    numbered = blocks.join(F.broadcast(base), "part")  # a row per partition
+    return numbered.withColumn("id", F.col("base") + F.col("seq")), total
+
+
+def near_blocks(blocks: DataFrame, epsilon: float) -> DataFrame:
+    """Pairs (p, q), p <= q, of block numbers whose boxes come within epsilon; refined from the root down."""
+    numbered, total = _numbered(blocks)
+    level, _ = stored(numbered.select("id", "low", "high"), "intervals")
     levels = [level]
     width = len(level.first()["low"]) if total else 0
     while total > 1:
@@ -194,11 +208,7 @@ def near_blocks(blocks: DataFrame, epsilon: float) -> DataFrame:
         b = child.selectExpr("id AS b", "up AS q", "low AS b_low", "high AS b_high")
         pairs = pairs.join(a, "p").join(b, "q").filter((F.col("a") <= F.col("b")) & ~_apart(epsilon)).selectExpr("a AS p", "b AS q")
         pairs, _ = stored(pairs, "interval-pairs")
-    places = levels[0].select("id", "part", "seq")
-    return (
-        pairs.join(places.selectExpr("id AS p", "part AS p_part", "seq AS p_seq"), "p")
-        .join(places.selectExpr("id AS q", "part AS q_part", "seq AS q_seq"), "q")
-    )
+    return pairs
 
 
 def _forest(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,65 +263,155 @@ def _compare(a: np.ndarray, b: np.ndarray, box_a: np.ndarray, box_b: np.ndarray,
             out[r, c] = np.einsum("ij,ij->i", a[r], b[c]) >= cosine
 
 
+class _Tree:
+    """Edges between numbered nodes, those left out that join what earlier ones joined."""
+
+    def __init__(self, n: int):
+        self.top = list(range(n))
+        self.a: list[int] = []
+        self.b: list[int] = []
+
+    def _find(self, x: int) -> int:
+        top = self.top
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            one, other = self._find(x), self._find(y)
+            if one != other:
+                self.top[one] = other
+                self.a.append(x)
+                self.b.append(y)
+
+
+def _links_of(found: dict[int, dict], cosine: float, epsilon: float, basis: np.ndarray | None, kind: type) -> Iterator[pa.RecordBatch]:
+    """Links among the blocks of two tiles, each block held against the ones it names."""
+    sides, total = {}, 0
+    for number, row in found.items():
+        ids, copies = (np.frombuffer(row[x], np.int64) for x in ("ids", "copies"))
+        units = _units(np.frombuffer(row["vectors"], kind).reshape(len(ids), -1))
+        sides[number] = total, ids, copies, units, _coordinates(units, basis, FINE)
+        total += len(ids)
+    if not total:
+        return
+    counts, tree = np.zeros(total, np.int64), _Tree(total)
+    for p, row in found.items():
+        first_a, _, n_a, a, box_a = sides[p]
+        for q in sorted(row["partners"]):
+            first_b, _, n_b, b, box_b = sides[q]
+            links = np.zeros((len(a), len(b)), bool)
+            _compare(a, b, box_a, box_b, cosine, epsilon, links)
+            if p == q:
+                links |= links.T
+                np.fill_diagonal(links, False)
+            rows, cols = np.flatnonzero(links.any(1)), np.flatnonzero(links.any(0))
+            if not len(rows):
+                continue
+            links = links[np.ix_(rows, cols)]
+            counts[first_a + rows] += links @ n_b[cols]
+            if p != q:
+                counts[first_b + cols] += links.T @ n_a[rows]
+            r, c = _forest(links)
+            tree.add(first_a + rows[r], first_b + cols[c])
+    ids, linked = np.concatenate([side[1] for side in sides.values()]), np.flatnonzero(counts)
+    if len(linked):
+        a, b = np.array(tree.a, np.int64), np.array(tree.b, np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([ids[a], ids[linked]])),
+                pa.array([*ids[b].tolist(), *[None] * len(linked)], pa.int64()),
+                pa.array(np.concatenate([np.zeros(len(a), np.int64), counts[linked]])),
+            ],
+            names=["a", "b", "links"],
+        )
+
+
+def _rounds(pairs: DataFrame, per_tile: int, tiles: int) -> DataFrame:
+    """(round, work, id, partners): blocks that a pair of tiles needs, with the blocks they are held against there.
+
+    Tiles i <= j meet in round j - i or tiles - (j - i), whichever is less, so a round has every tile twice at most.
+    """
+    i, j = (F.floor(F.col(c) / per_tile) for c in "pq")
+    sides = F.array(
+        F.struct(F.col("p").alias("id"), F.col("q").alias("partner")), F.struct(F.col("q").alias("id"), F.lit(None).cast("long").alias("partner"))
+    )
+    met = pairs.select(F.least(j - i, F.lit(tiles) - (j - i)).alias("round"), (i * tiles + j).alias("work"), F.inline(sides))
+    return met.groupBy("round", "work", "id").agg(F.collect_list("partner").alias("partners"))
+
+
 def join_blocks(blocks: DataFrame, pairs: DataFrame, cosine: float, epsilon: float, basis: np.ndarray | None, kind: type) -> DataFrame:
-    """(a, b, links): a forest edge between nodes a and b, or with b null the number of vectors that a links with."""
+    """(a, b, links): a forest edge between nodes a and b, or with b null a number of vectors that a links with.
+
+    ``pairs`` (p, q) are numbers of blocks; the numbers of a node add up over its rows.
+    """
+    spark = blocks.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work, found = None, {}
         for batch in batches:
-            for row in batch.to_pylist():
-                same = (row["p_part"], row["p_seq"]) == (row["q_part"], row["q_seq"])
-                sides = []
-                for s in "pq":
-                    ids, copies = (np.frombuffer(row[f"{s}_{x}"], np.int64) for x in ("ids", "copies"))
-                    units = _units(np.frombuffer(row[f"{s}_vectors"], kind).reshape(len(ids), -1))
-                    sides.append((ids, copies, units, _coordinates(units, basis, FINE)))
-                (ids_a, n_a, a, box_a), (ids_b, n_b, b, box_b) = sides
-                links = np.zeros((len(a), len(b)), bool)
-                _compare(a, b, box_a, box_b, cosine, epsilon, links)
-                if same:
-                    links |= links.T
-                    np.fill_diagonal(links, False)
-                rows, cols = np.flatnonzero(links.any(1)), np.flatnonzero(links.any(0))
-                if not len(rows):
-                    continue
-                links, ids_a, n_a, ids_b, n_b = links[np.ix_(rows, cols)], ids_a[rows], n_a[rows], ids_b[cols], n_b[cols]
-                r, c = _forest(links)
-                counts = [(ids_a, links @ n_b)] if same else [(ids_a, links @ n_b), (ids_b, links.T @ n_a)]
-                ids = np.concatenate([i[n > 0] for i, n in counts])
-                n = np.concatenate([n[n > 0] for _, n in counts])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([ids_a[r], ids])),
-                        pa.array([*ids_b[c].tolist(), *[None] * len(ids)], pa.int64()),
-                        pa.array([*[0] * len(r), *n.tolist()], pa.int64()),
-                    ],
-                    names=["a", "b", "links"],
-                )
-
+            for k in range(batch.num_rows):
+                row = {name: batch.column(name)[k].as_py() for name in batch.schema.names}
+                if row["work"] != work:
+                    yield from _links_of(found, cosine, epsilon, basis, kind)
+                    work, found = row["work"], {}
+                found[row["id"]] = row
+        yield from _links_of(found, cosine, epsilon, basis, kind)
+
+    numbered, total = _numbered(blocks)
     columns = ["ids", "copies", "vectors"]
-    p = blocks.select(F.col("part").alias("p_part"), F.col("seq").alias("p_seq"), *(F.col(c).alias(f"p_{c}") for c in columns))
-    q = blocks.select(F.col("part").alias("q_part"), F.col("seq").alias("q_seq"), *(F.col(c).alias(f"q_{c}") for c in columns))
-    wide = pairs.select("p_part", "p_seq", "q_part", "q_seq").join(p, ["p_part", "p_seq"]).join(q, ["q_part", "q_seq"])
-    return wide.mapInArrow(run, "a long, b long, links long")
+    size = sum(F.length(c) for c in columns)
+    each, largest = (1 + (x or 0) for x in blocks.agg(F.avg(size), F.max(size)).first())  # bytes of a block
+    # Of vectors of unlike lengths, a tile of the longest ones takes a few times as much at most.
+    per_tile = int(max(1, min(TILE_BYTES // each, 8 * TILE_BYTES // largest, -(-total // LEAST_TILES))))
+    rounds, rounds_path = stored(_rounds(pairs, per_tile, max(1, -(-total // per_tile))), "rounds")
+    # A row per round: half the number of tiles.
+    loads = rounds.groupBy("round").agg(F.countDistinct("work").alias("works"), F.count("*").alias("rows")).orderBy("round").collect()
+    most = max(2 * total, ROUND_BYTES // each)
+    shape, path = "a long, b long, links long", scratch_path(spark, "vector-links")
+    spark.createDataFrame([], shape).write.parquet(path)
+    jobs: list[list] = []
+    moved = 0
+    for load in loads:
+        if not jobs or moved + load["rows"] > most:
+            jobs.append([])
+            moved = 0
+        jobs[-1].append(load)
+        moved += load["rows"]
+    for now in jobs:
+        # Two rows per block and round at most.
+        members = F.broadcast(rounds.filter(F.col("round").between(now[0]["round"], now[-1]["round"])).select("work", "id", "partners"))
+        with dropped_shuffles(spark):
+            dealt = numbered.select("id", *columns).join(members, "id").repartition(sum(x["works"] for x in now), "work")
+            dealt.sortWithinPartitions("work", "id").mapInArrow(run, shape).write.mode("append").parquet(path)
+    drop(spark, rounds_path)
+    return spark.read.schema(shape).parquet(path)
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, lead: int = LEAD, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
-    rows, _ = stored(nodes_of(vectors), "vectors")
-    key = ["print_a", "print_b", "dimension"]
-    heads, _ = stored(
-        rows.filter("usable").groupBy(key)
-        .agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
-        .withColumn("node", F.xxhash64(*key)),
-        "vector-heads",
-    )
-    epsilon = math.sqrt(2 - 2 * cosine) + SLACK
-    basis = fit_basis(heads, max(lead, FINE))
-    blocks = cut_blocks(heads, basis, epsilon, lead, block_rows)
-    kind = np.float32 if heads.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64
-    found, _ = stored(join_blocks(blocks, near_blocks(blocks, epsilon), cosine, epsilon, basis, kind), "vector-links")
-    counts = found.filter("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("outer_links"))
-    labels = components(found.filter("b IS NOT NULL").select("a", "b"))
+    spark, key = vectors.sparkSession, ["print_a", "print_b", "dimension"]
+    # The vectors themselves are kept once: as heads, then as blocks, until they are compared.
+    with dropped_shuffles(spark):
+        parsed = nodes_of(vectors)
+        rows, _ = stored(parsed.drop("embedding"), "vectors")
+        full, full_path = stored(
+            parsed.filter("usable").groupBy(key)
+            .agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
+            .withColumn("node", F.xxhash64(*key)),
+            "vector-heads",
+        )
+        heads, _ = stored(full.drop("embedding"), "heads")
+        epsilon = math.sqrt(2 - 2 * cosine) + SLACK
+        basis = fit_basis(full, max(lead, FINE))
+        blocks, blocks_path = stored(cut_blocks(full, basis, epsilon, lead, block_rows), "blocks")
+        drop(spark, full_path)
+        kind = np.float32 if full.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64
+        found = join_blocks(blocks, near_blocks(blocks, epsilon), cosine, epsilon, basis, kind)
+        drop(spark, blocks_path)
+        counts = found.filter("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("outer_links"))
+        labels = components(found.filter("b IS NOT NULL").select("a", "b"))
     grouped = heads.select(*key, "node", "least_id", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
     least = grouped.groupBy("label").agg(F.min("least_id").alias("component_id"))
     named = (

@@ -1,7 +1,10 @@
+import contextlib
 import hashlib
 import math
+import os
 import random
 import re
+import threading
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -217,6 +220,64 @@ def test_forest_connects_what_links_connect(rows, columns, seed):
     assert join(every) == join(list(zip(r.tolist(), c.tolist(), strict=True)))
 
 
+@pytest.mark.parametrize("tile, together", [(1, 1), (3_000, 1), (3_000, 20_000), (1e9, 1e9)])
+def test_rounds_meet_every_pair_once(spark, monkeypatch, tile, together):
+    monkeypatch.setattr(ej, "TILE_BYTES", tile)
+    monkeypatch.setattr(ej, "LEAST_TILES", 1 if tile > 1e6 else 5)
+    monkeypatch.setattr(ej, "ROUND_BYTES", together)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(4, 12))
+    rows = [(i, np.float32(centres[i % 4] + rng.normal(size=12) * rng.choice([0.0, 0.2, 2])).astype(float).tolist()) for i in range(150)]
+    rows += [(900 + k, np.float32(rng.normal(size=3)).astype(float).tolist()) for k in range(30)]
+    got = ej.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), block_rows=16).collect()
+    assert Counter(tuple(r) for r in got) == Counter(plain_vectors(rows))
+
+
+@pytest.mark.parametrize("per_tile", [1, 3, 10, 40])
+def test_a_round_has_every_block_twice_at_most(spark, per_tile):
+    every = [(p, q) for p in range(40) for q in range(p, 40)]
+    found = ej._rounds(spark.createDataFrame(every, "p long, q long"), per_tile, -(-40 // per_tile)).collect()
+    assert sorted((r.id, q) for r in found for q in r.partners) == every
+    assert max(Counter((r["round"], r.id) for r in found).values()) <= 2
+    for work in {r.work for r in found}:
+        ids = {r.id for r in found if r.work == work}
+        assert {q for r in found if r.work == work for q in r.partners} <= ids
+
+
+def test_shuffled_vectors_do_not_grow_with_their_pairs(spark, monkeypatch):
+    """Files of shuffles while vectors without a structure are compared: a few times the vectors, not blocks times blocks."""
+    monkeypatch.setattr(ej, "ROUND_BYTES", 1, raising=False)
+    rng = np.random.default_rng(6)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(3000, 64)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+
+    def shuffled():
+        found = {}
+        for at, name in ((at, name) for folder in folders for at, _, names in os.walk(folder) for name in names if name.startswith("shuffle_")):
+            with contextlib.suppress(FileNotFoundError):
+                found[name] = os.path.getsize(f"{at}/{name}")
+        return found
+
+    before, most, done = shuffled(), [0], threading.Event()
+
+    def watch():
+        while not done.wait(0.05):
+            most[0] = max(most[0], sum(size for name, size in shuffled().items() if name not in before))
+
+    watcher, key = threading.Thread(target=watch), "spark.sql.autoBroadcastJoinThreshold"
+    threshold = spark.conf.get(key)
+    spark.conf.set(key, "-1")  # as for tables that Spark wouldn't broadcast
+    watcher.start()
+    try:
+        assert ej.near_vectors(df, block_rows=32).filter("n_links > 0").count() == 0
+    finally:
+        spark.conf.set(key, threshold)
+        done.set()
+        watcher.join()
+    assert 0 < most[0] < 8 * 3000 * 64 * 8, most
+
+
 # --- suffix arrays
 
 
